@@ -51,34 +51,43 @@ def spread_rank(
     df: DataFrame,
     by: list[str],
     key: list[str],
-    seed,
+    seed=None,
     name: str = "rn",
     size: str | None = None,
+    position: Column | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """1-based place of each row in its group's seeded order: by hash of (seed, key), then key.
+    """1-based place of each row in its group, by ``position`` and then ``key``.
 
-    ``size`` also gives the group's row count. A hot group is cut into ranges of the
-    hash, ranked within each, and shifted by the rows in the ranges before.
+    Without a ``position`` the order is the seeded one, by hash of (seed, key).
+    ``size`` also gives the group's row count. A hot group is cut into equal ranges of
+    the position, ranked within each, and shifted by the rows in the ranges before.
     """
-    work = df.withColumn("__h", seeded_hash(seed, *key))
-    order = [F.col("__h"), *[F.col(k) for k in key]]
+    at = seeded_hash(seed, *key) if position is None else position
+    work = df.withColumn("__at", at)
+    order = [F.col("__at"), *[F.col(k) for k in key]]
     total, biggest = profile(df, by)
     if biggest <= rows_per_task:
         out = work.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         if size:
             out = out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        return out.drop("__h")
+        return out.drop("__at")
 
-    share = F.col("__h") / F.lit(float(2**HASH_BITS))
+    limit = max(rows_per_task, math.ceil(total / MOST_HOT))
     if by:
-        hot, _ = hot_groups(df, by, total, rows_per_task)
-        cut = work.join(F.broadcast(hot), by, "left").withColumn(
-            "__piece", F.coalesce(F.floor(share * F.col("__parts")), F.lit(0)).cast("bigint")
+        hot = (
+            work.groupBy(*by)
+            .agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+            .where(F.col("__n") > limit)
         )
+        cut = work.join(F.broadcast(hot), by, "left")
     else:
-        pieces = math.ceil(total / max(rows_per_task, math.ceil(total / MOST_HOT)))
-        cut = work.select("*", F.lit(total).alias("__n"), F.floor(share * pieces).cast("bigint").alias("__piece"))
+        ends = work.agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).first()
+        cut = work.select("*", F.lit(total).alias("__n"), F.lit(ends["lo"]).alias("__lo"), F.lit(ends["hi"]).alias("__hi"))
+    parts = F.ceil(F.col("__n") / F.lit(limit))
+    share = (F.col("__at") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1))
+    piece = F.least(F.floor(share * parts), parts - 1)
+    cut = cut.withColumn("__piece", F.coalesce(piece, F.lit(0)).cast("bigint"))
     before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.where(F.col("__n").isNotNull())
@@ -88,13 +97,36 @@ def spread_rank(
     )
     within = Window.partitionBy(*by, "__piece")
     out = cut.join(F.broadcast(offsets), [*by, "__piece"], "left").withColumn(
-        name, (F.row_number().over(within.orderBy(*order)) + F.coalesce(F.col("__before"), F.lit(0))).cast("int")
+        name, F.row_number().over(within.orderBy(*order)) + F.coalesce(F.col("__before"), F.lit(0))
     )
     if size:
         out = out.withColumn(size, F.coalesce(F.col("__n"), F.count(F.lit(1)).over(within)))
     return out.select(*df.columns, name, *([size] if size else []))
 
 
+def spread_sum(
+    df: DataFrame, value: str, key: list[str], seed, name: str = "running", pieces: int = 4096
+) -> DataFrame:
+    """Running total of ``value`` over the whole table in seeded order, the row's own value left out.
+
+    The hash range is cut into ``pieces``; the pieces' totals are the only rows summed in one task.
+    """
+    at = seeded_hash(seed, *key)
+    cut = df.withColumn("__at", at).withColumn(
+        "__piece", F.floor(F.col("__at") / F.lit(float(2**HASH_BITS)) * pieces).cast("int")
+    )
+    earlier = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("__piece").agg(F.sum(value).alias("__sum")).select(
+        "__piece", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before")
+    )
+    within = Window.partitionBy("__piece").orderBy("__at", *key).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        cut.join(F.broadcast(offsets), "__piece")
+        .withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)) + F.col("__before"))
+        .select(*df.columns, name)
+    )
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
     """First ``k`` rows per group. Spark cuts each map task's rows to ``k`` per group before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -128,9 +128,9 @@ def scan_groups(files: DataFrame, alphabet: Alphabet, **options) -> DataFrame:
     )
 
 
-def stable_order(df: DataFrame, *more: str) -> DataFrame:
-    """Writer and passage as text, line and word as numbers."""
-    return df.orderBy("writer_id", "text_id", "line_index", *more)
+def stable_order(df: DataFrame, ids: list[str] = ["writer_id", "text_id"], places: list[str] = ["line_index"]) -> DataFrame:
+    """Total order by ids as text, then by places as numbers."""
+    return df.orderBy(*[F.col(c).cast("string") for c in ids], *[F.col(c).cast("bigint") for c in places])
 
 
 def numbered_text(spark: SparkSession, path: str) -> DataFrame:
