@@ -47,7 +47,7 @@ def drop_report(df: DataFrame) -> DataFrame:
     )
 
 
-def exclude(df: DataFrame, column: str, values: list[str], reason: str) -> Rule:
+def exclude(column: str, values: list[str], reason: str) -> Rule:
     """Rule that sets a list of ids aside as out of scope."""
     return Rule(reason, F.col(column).isin(*values), EXCLUDED)
 
