@@ -1,6 +1,6 @@
 """The registered queries: each operator bound to the sample tables, with its SQL twin."""
 
-from plumbline.plans import curation, joining, measures, numeric, sampling  # noqa: F401
+from plumbline.plans import curation, joining, measures, numeric, sampling, selecting  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

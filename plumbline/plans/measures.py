@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
@@ -12,21 +11,28 @@ from plumbline.functions import vectors
 from plumbline.operators import baselines, detect, moments, rates, sampling, similarity
 from plumbline.plans.registry import h, query, r6
 
-# A part's reading is the next part's name within its brand; its target is its own name.
+# A part's reading is the name of the part with the next key; its target is its own name.
 
 
 def readings(read):
-    order = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return read("part").select(
-        "p_partkey", "p_brand", F.col("p_name").alias("target"),
-        F.coalesce(F.lead("p_name").over(order), F.lit("")).alias("reading"),
+    part = read("part")
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
+    return part.join(following, "p_partkey", "left").select(
+        "p_partkey", "p_brand", F.col("p_name").alias("target"), F.coalesce("next", F.lit("")).alias("reading"),
         F.concat(F.substring("p_name", 1, 4), F.col("p_type")).alias("second"),
     )
 
 
+def turns_before(read, name):
+    """Each turn with the text of the turn before it, empty for the first."""
+    turns = read("conversations")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias(name))
+    return turns.join(before, ["conv_id", "turn"], "left").fillna("", [name])
+
+
 SQL_READINGS = """
-WITH r AS (SELECT p_partkey, p_brand, p_name AS target,
-  coalesce(lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey), '') AS reading, substr(p_name, 1, 4) || p_type AS second FROM part)
+WITH r AS (SELECT p.p_partkey, p.p_brand, p.p_name AS target, coalesce(n.p_name, '') AS reading, substr(p.p_name, 1, 4) || p.p_type AS second
+  FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey + 1)
 """
 
 
@@ -69,8 +75,7 @@ e AS (SELECT conv_id, turn,
   FROM s)
 SELECT conv_id, turn, list_filter(twice, lambda w: NOT list_contains(allowed, w))[1] AS doubled FROM e""")
 def repeated_word(read):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = read("conversations").withColumn("target", F.coalesce(F.lag("text").over(order), F.lit("")))
+    rows = turns_before(read, "target")
     return rows.select("conv_id", "turn", tx.doubled_word(F.col("text"), F.col("target")).alias("doubled"))
 
 
@@ -92,8 +97,7 @@ def overrun(read):
 @query("leave_one_out", r"""
 WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM conversations)
 SELECT conv_id, turn, i::INT AS index, md5(array_to_string(list_concat(ws[1:i], ws[i + 2:len(ws)]), ' ')) AS text_md5
-FROM w, generate_series(0, 1000000) t(i) WHERE i < len(ws) - 1""".replace(
-    "FROM w, generate_series(0, 1000000) t(i) WHERE i < len(ws) - 1", "FROM (SELECT conv_id, turn, ws, unnest(range(0, greatest(len(ws) - 1, 0))) AS i FROM w)"))
+FROM (SELECT conv_id, turn, ws, unnest(range(0, greatest(len(ws) - 1, 0))) AS i FROM w)""")
 def leave_one_out(read):
     rows = read("conversations").select("conv_id", "turn", F.explode(tx.leave_one_out(F.col("text"))).alias("l"))
     return rows.select("conv_id", "turn", "l.index", F.md5("l.text").alias("text_md5"))
@@ -105,8 +109,7 @@ s AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(replace(text,
              list_distinct(list_filter(string_split(replace(shown, ' ', ''), ''), lambda x: x <> '')) AS there FROM c)
 SELECT conv_id, turn, round(CASE WHEN len(wanted) = 0 THEN 0 ELSE len(list_intersect(wanted, there)) / len(wanted) END, 6) AS coverage FROM s""")
 def coverage(read):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = read("conversations").withColumn("shown", F.coalesce(F.lag("text").over(order), F.lit("")))
+    rows = turns_before(read, "shown")
     return rows.select("conv_id", "turn", r6(tx.coverage(F.col("text"), F.col("shown"))).alias("coverage"))
 
 
