@@ -40,7 +40,7 @@ def pack_write(
         told = F.concat(F.col("key"), F.lit(": height "), record_height.cast("string"), F.lit(f" is not the pack's {height}"))
         rows = rows.where(F.when(record_height == height, True).otherwise(F.raise_error(told).cast("boolean")))
     rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA])
-    _clear(spark, f"{path}/header")
+    clear(spark, f"{path}/header")
     ranged = rows.repartitionByRange(files, "key") if files else rows.repartitionByRange("key")
     ranged.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/records")
 
@@ -58,7 +58,7 @@ def pack_write(
     return read_header(spark, path)
 
 
-def _clear(spark: SparkSession, path: str) -> None:
+def clear(spark: SparkSession, path: str) -> None:
     """Take the old header away first, so a stopped rewrite does not look finished."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
