@@ -30,6 +30,7 @@ from plumbline.session import settle
 
 DRAW_LIMIT = 100_000_000
 CLASSES_PER_CHUNK = 50_000
+SLOTS_PER_TASK = 250_000
 
 
 def bootstrap(
@@ -59,7 +60,7 @@ def bootstrap(
     if biggest < 2:
         replicates = None
     elif method == "draws":
-        replicates = _replicates_by_draws(table, by, key, sums, resamples, seed)
+        replicates = _replicates_by_draws(table, by, key, sums, resamples, seed, everything)
     else:
         replicates = _replicates_by_weights(table, by, sums, resamples, seed)
 
@@ -90,13 +91,18 @@ def bootstrap(
     )
 
 
-def _replicates_by_draws(table: DataFrame, by: list[str], key: list[str], sums: list[str], resamples: int, seed) -> DataFrame:
-    """Every unit is a slot of every replicate; each slot fetches the unit it draws."""
+def _replicates_by_draws(table: DataFrame, by: list[str], key: list[str], sums: list[str], resamples: int, seed, units: int) -> DataFrame:
+    """Every unit is a slot of every replicate; each slot fetches the unit it draws.
+
+    The units are few and the slots many, so the units are first dealt to enough tasks
+    for the slots.
+    """
     whole = Window.partitionBy(*by)
     seats = settle(
         table.withColumn("__seat", (F.row_number().over(whole.orderBy(*key)) - 1).cast("bigint")).withColumn("__n", F.count(F.lit(1)).over(whole))
     )
-    slots = seats.select(*by, "__n", F.col("__seat").alias("__slot"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
+    tasks = max(1, min(10_000, math.ceil(units * resamples / SLOTS_PER_TASK)))
+    slots = seats.select(*by, "__n", F.col("__seat").alias("__slot")).repartition(tasks, *by, "__slot").select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
     drawn = slots.select(*by, "__r", F.pmod(seeded_hash(seed, "__r", "__slot"), F.col("__n")).alias("__seat"))
     values = checked_broadcast(seats.select(*by, "__seat", *sums))
     fetched = drawn.join(values, [*by, "__seat"])

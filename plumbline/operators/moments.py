@@ -74,9 +74,9 @@ def _solve_moments(pdf: pd.DataFrame, d: int, center: np.ndarray) -> tuple[np.nd
     return center + shift, (gram[:d, :d] - n * np.outer(shift, shift)) / (n - 1), n
 
 
-def gaussian_stats(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+def gaussian_stats(df: DataFrame, by: list[str], vector: str, d: int | None = None) -> DataFrame:
     """(by..., n, mean, cov): mean vector and sample covariance (row-major) per set."""
-    d = width_of(df, vector)
+    d = d or width_of(df, vector)
     center = _center(df, vector, d)
     sums = gram_sums(df, by, vector, center)
 
@@ -106,11 +106,11 @@ def frechet(mean_a: np.ndarray, cov_a: np.ndarray, mean_b: np.ndarray, cov_b: np
     return max(0.0, float(gap @ gap + np.trace(cov_a) + np.trace(cov_b) - 2.0 * cross))
 
 
-def _two_sides(df: DataFrame, side: str, vector: str, real: str, generated: str, minimum: int) -> dict[str, tuple]:
+def _two_sides(df: DataFrame, side: str, vector: str, real: str, generated: str, minimum: int, d: int | None = None) -> dict[str, tuple]:
     """Both sides' moments; 2 x (d x d) numbers."""
     found = {
         r[side]: (np.array(r["mean"]), np.array(r["cov"]).reshape(len(r["mean"]), -1), r["n"])
-        for r in gaussian_stats(df, [side], vector).collect()
+        for r in gaussian_stats(df, [side], vector, d).collect()
     }
     for name in (real, generated):
         n = found[name][2] if name in found else 0
@@ -120,24 +120,25 @@ def _two_sides(df: DataFrame, side: str, vector: str, real: str, generated: str,
 
 
 def frechet_distance(
-    df: DataFrame, side: str, vector: str, real: str = "real", generated: str = "generated", minimum: int = fixed.FRECHET_MIN_ROWS
+    df: DataFrame, side: str, vector: str, real: str = "real", generated: str = "generated", minimum: int = fixed.FRECHET_MIN_ROWS,
+    d: int | None = None,
 ) -> DataFrame:
     """One row: distance between the two sides' Gaussians, and their rows."""
-    found = _two_sides(df, side, vector, real, generated, minimum)
+    found = _two_sides(df, side, vector, real, generated, minimum, d)
     value = frechet(found[real][0], found[real][1], found[generated][0], found[generated][1])
     return df.sparkSession.createDataFrame(
         [(value, int(found[real][2]), int(found[generated][2]))], "value double, real bigint, generated bigint"
     )
 
 
-def span_project(df: DataFrame, side: str, vector: str, out: str | None = None) -> DataFrame:
+def span_project(df: DataFrame, vector: str, out: str | None = None, d: int | None = None) -> DataFrame:
     """``vector`` in an orthonormal basis of the span of all rows about their common mean.
 
     Distances between the sides' Gaussians are unchanged; the width becomes the rank.
     Rows come back unchanged where they already fill their space.
     """
-    d = width_of(df, vector)
-    stats = gaussian_stats(df, [], vector).first()
+    d = d or width_of(df, vector)
+    stats = gaussian_stats(df, [], vector, d).first()
     n, cov = stats["n"], np.array(stats["cov"]).reshape(d, d)
     values, basis = np.linalg.eigh(cov * (n - 1))
     sigma = np.sqrt(np.maximum(values, 0.0))

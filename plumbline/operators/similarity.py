@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.vectors import NORM_FLOOR, vector_mean, width_of
+from plumbline.functions.vectors import NORM_FLOOR, vector_mean
 from plumbline.operators.tiles import tiled_cogroup
 
-GALLERY_CELLS = 8_000_000
+GALLERY_ROWS = 8_192
 QUERY_BLOCK = 20_000
 GALLERY_TILE = 4_096
 
@@ -61,7 +61,7 @@ OUT = "own double, total double, groups bigint, top array<struct<s:double,g:stri
 def score_against(
     queries: DataFrame, gallery: DataFrame, key: list[str], group: str, vector: str, k: int,
     metric: str = "cosine", gallery_group: str | None = None, gallery_vector: str = "mean",
-    gallery_cells: int = GALLERY_CELLS,
+    gallery_rows: int = GALLERY_ROWS,
 ) -> DataFrame:
     """(key..., group, own, total, groups, top) per query.
 
@@ -69,19 +69,20 @@ def score_against(
     groups, ``top`` the k best as (s, g), best first, equal scores by group name.
     Euclidean scores are minus distances.
 
-    A gallery of at most ``gallery_cells`` numbers goes to every task and the queries
+    A gallery of at most ``gallery_rows`` groups goes to every task and the queries
     are streamed past it where they lie. A larger one is cut into tiles that meet
     blocks of queries, and the tiles' results are merged per query.
     """
     g = gallery.select(F.col(gallery_group or group).cast("string").alias("g"), F.col(gallery_vector).cast("array<double>").alias("v"))
     q = queries.select(*key, F.col(group).cast("string").alias("__group"), F.col(vector).cast("array<double>").alias("__v"))
-    d = width_of(g, "v")
-    room = max(1, gallery_cells // d)
     types = {f.name: f.dataType.simpleString() for f in q.schema}
     schema = ", ".join([*[f"{c} {types[c]}" for c in key], "__group string", OUT])
 
-    few = g.limit(room + 1).collect()
-    if len(few) <= room:
+    few = g.limit(gallery_rows + 1).collect()
+    if not few:
+        raise ValueError("an empty gallery")
+    if len(few) <= gallery_rows:
+        d = len(few[0]["v"])
         few.sort(key=lambda r: r["g"])
         packed = queries.sparkSession.sparkContext.broadcast(
             (np.array([r["g"] for r in few]), np.array([r["v"] for r in few], dtype=float).reshape(len(few), d))
@@ -163,7 +164,8 @@ def per_group_accuracy(hits: DataFrame, group: str) -> DataFrame:
 
 
 def group_distance(
-    side: DataFrame, reference: DataFrame, by: list[str], group: str, vector: str, k: int = 1, gallery_cells: int = GALLERY_CELLS
+    side: DataFrame, reference: DataFrame, by: list[str], group: str, vector: str, k: int = 1, d: int | None = None,
+    gallery_rows: int = GALLERY_ROWS,
 ) -> DataFrame:
     """(by..., group, own, wrong, gap, nearest_is_right, candidates) of each set's group means.
 
@@ -171,10 +173,10 @@ def group_distance(
     the mean distance to all others (NULL if there are none). A group without a
     reference stops the job.
     """
-    means = vector_mean(side, [*by, group], vector)
-    gallery = vector_mean(reference, [group], vector)
+    means = vector_mean(side, [*by, group], vector, d=d)
+    gallery = vector_mean(reference, [group], vector, d=d)
     scored = score_against(
-        means.withColumn("__id", F.col(group)), gallery, [*by, "__id"], group, "mean", k, "euclidean", gallery_cells=gallery_cells
+        means.withColumn("__id", F.col(group)), gallery, [*by, "__id"], group, "mean", k, "euclidean", gallery_rows=gallery_rows
     )
     own = -F.coalesce(F.col("own"), F.raise_error(F.concat(F.lit("no reference for group "), F.col(group))).cast("double"))
     wrong = F.when(F.col("groups") > 1, (-F.col("total") - own) / (F.col("groups") - 1))
@@ -259,11 +261,11 @@ def retrieval_sensitivity(
     return table.select("damage", "top1", "topk", share.alias("kept"))
 
 
-def page_vectors(refs: DataFrame, by: list[str], vector: str) -> DataFrame:
+def page_vectors(refs: DataFrame, by: list[str], vector: str, d: int | None = None) -> DataFrame:
     """A page as one unit vector per group: the mean of its records' unit vectors, scaled to one."""
     from plumbline.functions.vectors import unit
 
     units = refs.select(*by, unit(F.col(vector).cast("array<double>")).alias("__u"))
-    return vector_mean(units, by, "__u", "page").withColumn("page", unit(F.col("page"))).drop("n")
+    return vector_mean(units, by, "__u", "page", d).withColumn("page", unit(F.col("page"))).drop("n")
 
 

@@ -13,21 +13,21 @@ from plumbline.plans.registry import h, query, r6
 SEED = fixed.SEED
 
 
-def sql_boot(units: str, stat: str, resamples: int, key: str, by: str = "") -> str:
-    """CTEs u (units), s (seats), f (replicates), z (point and ends). ``stat`` is over u's columns."""
+def sql_boot(units: str, stat: str, resamples: int, key: str, by: str = "", tag: str = "boot") -> str:
+    """CTEs of a bootstrap: units, seats, draws, replicates and, as ``<tag>_z``, the point and its ends."""
     part = f"PARTITION BY {by}" if by else ""
     lead, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     using = f"{by}, seat" if by else "seat"
     join = f"USING ({by})" if by else "ON true"
     return f"""
-u AS ({units}),
-s AS (SELECT *, row_number() OVER ({part} ORDER BY {key}) - 1 AS seat, count(*) OVER ({part}) AS n FROM u),
-d AS (SELECT {lead}r, {h('r', 'seat')} % n AS seat FROM s, range({resamples}) t(r)),
-f AS (SELECT {lead}r, {stat} AS stat FROM d JOIN s USING ({using}) GROUP BY {lead}r),
-e AS (SELECT {lead}CASE WHEN count(stat) = {resamples} THEN quantile_cont(stat, 0.025) END AS low,
-             CASE WHEN count(stat) = {resamples} THEN quantile_cont(stat, 0.975) END AS high FROM f {group}),
-p AS (SELECT {lead}{stat} AS value, count(*) AS n FROM u {group}),
-z AS (SELECT * FROM p JOIN e {join})
+{tag}_u AS ({units}),
+{tag}_s AS (SELECT *, row_number() OVER ({part} ORDER BY {key}) - 1 AS seat, count(*) OVER ({part}) AS n FROM {tag}_u),
+{tag}_d AS (SELECT {lead}r, {h('r', 'seat')} % n AS seat FROM {tag}_s, range({resamples}) t(r)),
+{tag}_f AS (SELECT {lead}r, {stat} AS stat FROM {tag}_d JOIN {tag}_s USING ({using}) GROUP BY {lead}r),
+{tag}_e AS (SELECT {lead}CASE WHEN count(stat) = {resamples} THEN quantile_cont(stat, 0.025) END AS low,
+             CASE WHEN count(stat) = {resamples} THEN quantile_cont(stat, 0.975) END AS high FROM {tag}_f {group}),
+{tag}_p AS (SELECT {lead}{stat} AS value, count(*) AS n FROM {tag}_u {group}),
+{tag}_z AS (SELECT * FROM {tag}_p JOIN {tag}_e {join})
 """
 
 
@@ -45,7 +45,7 @@ def customer_totals(read):
 CUSTOMER_TOTALS = "SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS orders FROM orders GROUP BY 1"
 
 
-@query("bootstrap", "WITH " + sql_boot(CUSTOMER_TOTALS, "sum(total) / sum(orders)", 200, "o_custkey") + f"SELECT {INTERVAL} FROM z")
+@query("bootstrap", "WITH " + sql_boot(CUSTOMER_TOTALS, "sum(total) / sum(orders)", 200, "o_custkey") + f"SELECT {INTERVAL} FROM boot_z")
 def bootstrap(read):
     found = intervals.bootstrap(
         customer_totals(read), ["o_custkey"], ["total", "orders"], lambda t: t("total") / t("orders"), resamples=200
@@ -53,7 +53,7 @@ def bootstrap(read):
     return shown(found)
 
 
-@query("rate_interval", measures.SQL_COSINES + ", " + sql_boot("SELECT vec_id, hit1 FROM hits", "sum(hit1::INT) / count(*)", 2000, "vec_id") + f"SELECT {INTERVAL} FROM z")
+@query("rate_interval", measures.SQL_COSINES + ", " + sql_boot("SELECT vec_id, hit1 FROM hits", "sum(hit1::INT) / count(*)", 2000, "vec_id") + f"SELECT {INTERVAL} FROM boot_z")
 def rate_interval(read):
     return shown(intervals.rate_interval(measures.hits(read), ["vec_id"], "hit1"))
 
@@ -61,14 +61,14 @@ def rate_interval(read):
 TERMS = measures.SQL_READINGS + ", t AS (SELECT p_partkey, levenshtein(reading, target) AS errors, length(target) AS length FROM r), "
 
 
-@query("ratio_interval", TERMS + sql_boot("SELECT * FROM t", "sum(errors) / sum(length)", 500, "p_partkey") + f"SELECT {INTERVAL} FROM z")
+@query("ratio_interval", TERMS + sql_boot("SELECT * FROM t", "sum(errors) / sum(length)", 500, "p_partkey") + f"SELECT {INTERVAL} FROM boot_z")
 def ratio_interval(read):
     terms = rates.error_terms(measures.readings(read), "reading", "target")
     return shown(intervals.ratio_interval(terms, ["p_partkey"], "errors", "length", resamples=500))
 
 
 @query("group_interval", measures.SQL_THREE + ", " + sql_boot("SELECT set, label, own, gap, nearest_is_right FROM w", "avg(gap)", 2000, "label", "set")
-       + f"SELECT set, {INTERVAL} FROM z")
+       + f"SELECT set, {INTERVAL} FROM boot_z")
 def group_interval(read):
     found = intervals.mean_interval(measures.three_distances(read), ["label"], "gap", by=["set"])
     return shown(found, "set")
@@ -87,7 +87,7 @@ def gaps(read):
 
 
 @query("paired_ratio_interval", measures.SQL_THREE + ", " + sql_boot(GAPS, "CASE WHEN sum(truth) > 0 THEN sum(made) / sum(truth) END", 2000, "label")
-       + f"SELECT {INTERVAL} FROM z")
+       + f"SELECT {INTERVAL} FROM boot_z")
 def paired_ratio_interval(read):
     return shown(intervals.paired_ratio_interval(gaps(read), ["label"], "made", "truth"))
 
@@ -101,7 +101,7 @@ SELECT o_custkey, sum(o_totalprice) FILTER (o_orderpriority LIKE '1%') AS first,
     f"SELECT o_custkey, coalesce(first, 0) AS first, coalesce(second, 0) AS second, base FROM ({CUSTOMER_GAPS})",
     "sum(first) / sum(base) - sum(second) / sum(base)", 200, "o_custkey") + f"""
 SELECT {INTERVAL}, CASE WHEN n < 10 THEN 'too few groups to judge' WHEN low > 0 THEN 'higher, and the difference is real'
-       WHEN high < 0 THEN 'lower, and the difference is real' ELSE 'no difference that survives resampling' END AS verdict FROM z""")
+       WHEN high < 0 THEN 'lower, and the difference is real' ELSE 'no difference that survives resampling' END AS verdict FROM boot_z""")
 def paired_diff_interval(read):
     price, priority = F.col("o_totalprice"), F.substring("o_orderpriority", 1, 1)
     units = read("orders").groupBy("o_custkey").agg(
@@ -115,7 +115,7 @@ def paired_diff_interval(read):
 @query("relative_change_interval", "WITH " + sql_boot(
     """SELECT user_id, (last - first) / first AS change FROM (SELECT user_id, arg_min(value, struct_pack(t := ts, e := event_id)) AS first,
        arg_max(value, struct_pack(t := ts, e := event_id)) AS last FROM events WHERE value > 0 GROUP BY 1)""",
-    "avg(change)", 1000, "user_id") + f"SELECT {INTERVAL}, CASE WHEN value <= -0.03 AND high < 0 THEN 'run' ELSE 'close' END AS decision FROM z")
+    "avg(change)", 1000, "user_id") + f"SELECT {INTERVAL}, CASE WHEN value <= -0.03 AND high < 0 THEN 'run' ELSE 'close' END AS decision FROM boot_z")
 def relative_change_interval(read):
     rows = read("events").where("value > 0")
     found = intervals.relative_change_interval(rows, "user_id", F.struct("ts", "event_id"), "value", resamples=1000)
@@ -138,7 +138,7 @@ def bootstrap_weights(read):
 
 
 @query("blind_interval", measures.SQL_BLIND + ", " + sql_boot("SELECT judge, avg(hit::INT) AS share FROM hits GROUP BY 1", "avg(share)", 500, "judge")
-       + f"SELECT {INTERVAL} FROM z")
+       + f"SELECT {INTERVAL} FROM boot_z")
 def blind_interval(read):
     per_judge = rates.blind_score(measures.answers(read), measures.trial_key(read))[1]
     return shown(intervals.mean_interval(per_judge, ["judge"], "accuracy", resamples=500))
@@ -164,17 +164,13 @@ def brand_interval(read, reading):
 
 
 def sql_brand(reading, tag):
-    text = sql_boot(f"SELECT p_partkey, p_brand AS name, levenshtein({reading}, target) AS errors, length(target) AS length FROM r",
-                    "sum(errors) / sum(length)", 200, "p_partkey", "name")
-    for cte in ("u", "s", "d", "f", "e", "p", "z"):
-        text = text.replace(f"\n{cte} AS (", f"\n{tag}{cte} AS (").replace(f"FROM {cte} ", f"FROM {tag}{cte} ").replace(f"FROM {cte})", f"FROM {tag}{cte})")
-        text = text.replace(f"JOIN {cte} ", f"JOIN {tag}{cte} ").replace(f"FROM {cte},", f"FROM {tag}{cte},")
-    return text
+    units = f"SELECT p_partkey, p_brand AS name, levenshtein({reading}, target) AS errors, length(target) AS length FROM r"
+    return sql_boot(units, "sum(errors) / sum(length)", 200, "p_partkey", "name", tag)
 
 
 @query("compare_runs", measures.SQL_READINGS + ", " + sql_brand("reading", "a") + ", " + sql_brand("second", "b") + """
-SELECT az.name, round(az.value, 6) AS first_value, round(bz.value, 6) AS second_value,
-       CASE WHEN az.high < bz.low OR bz.high < az.low THEN 'SEPARATE' ELSE 'overlap' END AS verdict FROM az JOIN bz USING (name)""")
+SELECT a_z.name, round(a_z.value, 6) AS first_value, round(b_z.value, 6) AS second_value,
+       CASE WHEN a_z.high < b_z.low OR b_z.high < a_z.low THEN 'SEPARATE' ELSE 'overlap' END AS verdict FROM a_z JOIN b_z USING (name)""")
 def compare_runs(read):
     table = intervals.compare_runs(brand_interval(read, "reading"), brand_interval(read, "second"))
     return table.select("name", r6("first_value").alias("first_value"), r6("second_value").alias("second_value"), "verdict")

@@ -128,6 +128,10 @@ def char_set_ops(read):
 # -- vectors: the two halves of each label's seeded order are gallery and queries --
 
 
+def width(read):
+    return vectors.width_of(read("embeddings"), "embedding")
+
+
 def sides(read):
     rows = read("embeddings").select("vec_id", F.col("label").cast("string").alias("label"), vectors.as_doubles("embedding").alias("v"))
     return sampling.stratified_folds(rows, "label", "vec_id", 2, fixed.SEED)
@@ -142,7 +146,7 @@ def query_rows(read):
 
 
 def scored(read, k=5):
-    gallery = vectors.vector_mean(gallery_rows(read), ["label"], "v")
+    gallery = vectors.vector_mean(gallery_rows(read), ["label"], "v", d=width(read))
     return similarity.score_against(query_rows(read), gallery, ["vec_id"], "label", "v", k)
 
 
@@ -168,7 +172,7 @@ hits AS (SELECT vec_id, label, bool_or(g = label AND rank = 1) AS hit1, bool_or(
 WITH {SQL_SIDES}, {SQL_MEANS}
 SELECT label, fold::INT AS fold, array_to_string(list_transform(mean, lambda x: printf('%.6f', round(x, 6) + 0.0)), ',') AS mean FROM means""")
 def vector_mean(read):
-    means = vectors.vector_mean(sides(read), ["label", "fold"], "v")
+    means = vectors.vector_mean(sides(read), ["label", "fold"], "v", d=width(read))
     text = F.array_join(F.transform("mean", lambda x: F.format_string("%.6f", F.round(x, 6) + 0.0)), ",")
     return means.select("label", "fold", text.alias("mean"))
 
@@ -186,7 +190,7 @@ WITH {SQL_SIDES}, {SQL_MEANS}
 SELECT vec_id, round(list_dot_product(v, mean) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(mean, mean))), 6) AS cosine
 FROM s JOIN gallery ON g = label WHERE fold = 1""")
 def cosine(read):
-    gallery = vectors.vector_mean(gallery_rows(read), ["label"], "v")
+    gallery = vectors.vector_mean(gallery_rows(read), ["label"], "v", d=width(read))
     joined = query_rows(read).join(gallery, "label")
     return joined.select("vec_id", F.round(vectors.cosine(F.col("v"), F.col("mean")), 6).alias("cosine"))
 
@@ -238,7 +242,7 @@ SELECT damage, round(top1, 6) AS top1, round(topk, 6) AS topk,
 
 @query("retrieval_sensitivity", SQL_DAMAGES)
 def retrieval_sensitivity(read):
-    gallery = vectors.vector_mean(gallery_rows(read), ["label"], "v")
+    gallery = vectors.vector_mean(gallery_rows(read), ["label"], "v", d=width(read))
     table = similarity.retrieval_sensitivity(query_rows(read), gallery, "vec_id", "label", "v")
     return table.withColumns({c: r6(c) for c in ("top1", "topk", "kept")})
 
@@ -253,7 +257,7 @@ def three_sets(read):
 
 
 def three_distances(read):
-    return similarity.group_distance(three_sets(read), gallery_rows(read), ["set"], "label", "v")
+    return similarity.group_distance(three_sets(read), gallery_rows(read), ["set"], "label", "v", d=width(read))
 
 
 SQL_THREE = f"""
@@ -319,7 +323,7 @@ p AS (SELECT CASE fold WHEN 0 THEN 'real' ELSE 'generated' END AS side, i, j, v[
 c AS (SELECT side, i, j, count(*) AS n, covar_samp(x, y) AS c FROM p GROUP BY 1, 2, 3)
 SELECT side, max(n) AS n, round(sum(c) FILTER (i = j), 6) AS trace, round(sum(c * (i * 64 + j)), 3) AS weighted FROM c GROUP BY 1""")
 def gaussian_stats(read):
-    stats = moments.gaussian_stats(two_halves(read), ["side"], "v")
+    stats = moments.gaussian_stats(two_halves(read), ["side"], "v", width(read))
     at = F.posexplode("cov").alias("p", "c")
     long = stats.select("side", "n", at).withColumns({"i": F.floor(F.col("p") / 64) + 1, "j": F.pmod("p", F.lit(64)) + 1})
     return long.groupBy("side").agg(
@@ -330,7 +334,7 @@ def gaussian_stats(read):
 
 @query("frechet_distance")
 def frechet_distance(read):
-    return moments.frechet_distance(two_halves(read), "side", "v").withColumn("value", r6("value"))
+    return moments.frechet_distance(two_halves(read), "side", "v", d=width(read)).withColumn("value", r6("value"))
 
 
 @query("span_project", f"""
@@ -338,7 +342,7 @@ WITH {SQL_SIDES} SELECT vec_id, 65 - 1 AS width FROM s""")
 def span_project(read):
     # Two copies of every entry span no more than one, so the width comes back to 64.
     wide = two_halves(read).withColumn("v", F.concat("v", "v"))
-    return moments.span_project(wide, "side", "v").select("vec_id", F.size("v").alias("width"))
+    return moments.span_project(wide, "v", d=2 * width(read)).select("vec_id", F.size("v").alias("width"))
 
 
 @query("self_checks", """
@@ -352,8 +356,8 @@ def self_checks(read):
     real = halves.where("side = 'real'")
     twin = real.unionByName(real.withColumn("side", F.lit("generated")))
     figures = [
-        moments.frechet_distance(twin, "side", "v").select(F.col("value").alias("fid_self")),
-        moments.frechet_distance(halves, "side", "v").select(F.col("value").alias("fid_floor")),
+        moments.frechet_distance(twin, "side", "v", d=width(read)).select(F.col("value").alias("fid_self")),
+        moments.frechet_distance(halves, "side", "v", d=width(read)).select(F.col("value").alias("fid_floor")),
         similarity.retrieval_score(hits(read), 5).select(F.col("top1").alias("retrieval_real")),
         rates.error_gap(readings(read), "second", "target").select(F.col("generated").alias("cer_real")),
     ]
@@ -377,7 +381,7 @@ def text_features(read):
         ((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / n).alias("spaces"),
         ((F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))) / n).alias("lines"),
         (F.length(F.translate(text, tx.alphabet("english").characters, "")) / n).alias("accents"),
-        (F.length(F.regexp_replace(text, "[^0-9]", "")) / n).alias("digits"),
+        (F.length(F.regexp_replace(text, "[^0-9]+", "")) / n).alias("digits"),
     )
 
 

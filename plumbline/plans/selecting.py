@@ -209,5 +209,5 @@ WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE /
 m AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS m FROM u, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1)
 SELECT label, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS total FROM m""")
 def page_vectors(read):
-    pages = similarity.page_vectors(read("embeddings"), ["label"], "embedding")
+    pages = similarity.page_vectors(read("embeddings"), ["label"], "embedding", 64)
     return pages.select("label", F.round(F.aggregate("page", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))

@@ -27,9 +27,10 @@ def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def stem(path: Column) -> Column:
-    """File name without its last suffix."""
-    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+def crop_stem(path: Column) -> Column:
+    """Name of a ``.tif`` file without the suffix."""
+    name = file_name(path)
+    return F.substring(name, F.lit(1), F.length(name) - 4)
 
 
 def _inside(path: Column, folder: str) -> Column:
@@ -69,11 +70,12 @@ def scan_pages(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def parse_parts(files: DataFrame) -> DataFrame:
     """Word crops with the five fields of their names; NULL fields where the name does not parse."""
     path = F.col("path")
-    crops = files.where(F.endswith(path, F.lit(".tif")) & _inside(path, "words")).withColumn("__stem", stem(path))
+    crops = files.where(F.endswith(path, F.lit(".tif")) & _inside(path, "words")).withColumn("__stem", crop_stem(path))
     ok = F.regexp_like("__stem", F.lit(fixed.PART_NAME))
 
     def field(i: int) -> Column:
-        return F.when(ok, F.regexp_extract("__stem", fixed.PART_NAME, i))
+        # Of the five fields only the last may hold hyphens.
+        return F.when(ok, F.split("__stem", "-", 5)[i - 1])
 
     return crops.select(
         field(1).alias("writer_id"),
@@ -107,11 +109,11 @@ def scan_parts(
 def scan_groups(files: DataFrame, alphabet: Alphabet, **options) -> DataFrame:
     """Line crops of a listing, each with the text its word crops spell."""
     path = F.col("path")
-    crops = files.where(F.endswith(path, F.lit(".tif")) & _inside(path, "lines")).withColumn("__stem", stem(path))
+    crops = files.where(F.endswith(path, F.lit(".tif")) & _inside(path, "lines")).withColumn("__stem", crop_stem(path))
     ok = F.regexp_like("__stem", F.lit(fixed.LINE_NAME))
 
     def field(i: int) -> Column:
-        return F.when(ok, F.regexp_extract("__stem", fixed.LINE_NAME, i))
+        return F.when(ok, F.split("__stem", "-")[i - 1])
 
     lines = crops.select(
         field(1).alias("writer_id"),

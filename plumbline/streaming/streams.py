@@ -139,18 +139,15 @@ def stream_first_ok(draws: DataFrame, request: str, ts: str, lateness: str, pati
             return
         good = None
         for frame in frames:
-            seen = max(seen, int(frame[ts].max().timestamp() * 1000))
+            seen = max(seen, int(frame[ts].to_numpy().max().astype("datetime64[ms]").astype("int64")))
             if done:
                 continue
-            fine = frame[frame["ok"]]
-            if len(fine):
-                first = fine.loc[fine["attempt"].idxmin()]
-                if good is None or first["attempt"] < good[0]:
-                    good = (int(first["attempt"]), float(first["score"]))
-            for b, a, s in zip(frame["bad"], frame["attempt"], frame["score"], strict=True):
-                b = [float(x) for x in b]
-                if bad is None or b < list(bad):
-                    bad, attempt, score = b, int(a), float(s)
+            for b, a, s, fine in zip(*(frame[c].to_numpy() for c in ("bad", "attempt", "score", "ok")), strict=True):
+                if fine and (good is None or a < good[0]):
+                    good = (int(a), float(s))
+                rank = [float(x) for x in b]
+                if bad is None or rank < list(bad):
+                    bad, attempt, score = rank, int(a), float(s)
         if good and not done:
             done = True
             yield row(good[0], good[1], True)
