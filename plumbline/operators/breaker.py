@@ -20,25 +20,25 @@ def breaker(
     then folded from its stretches.
     """
     stretch = F.floor(F.col(seq) / F.lit(width)) if width else F.lit(0)
-    rows = df.select(key, F.col(seq).cast("bigint").alias("q"), F.col(ok).alias("ok"), stretch.cast("bigint").alias("s"))
-    line = Window.partitionBy(key, "s").orderBy("q")
-    placed = rows.withColumn("rn", F.row_number().over(line)).withColumn(
-        "since", F.max(F.when(F.col("ok"), F.col("rn"))).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("k", F.col("rn") - F.coalesce("since", F.lit(0)))
-    opening = F.col("since").isNull()
-    summary = placed.groupBy(key, "s").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("ok"), F.col("rn"))).alias("last_ok"),
-        F.array(*[F.min(F.when(opening & (F.col("k") == i), F.col("q"))) for i in range(1, limit + 1)]).alias("opening"),
-        F.min(F.when(~opening & ~F.col("ok") & (F.col("k") == limit), F.col("q"))).alias("inner"),
+    rows = df.select(key, F.col(seq).cast("bigint").alias("__q"), F.col(ok).alias("__ok"), stretch.cast("bigint").alias("__s"))
+    line = Window.partitionBy(key, "__s").orderBy("__q")
+    placed = rows.withColumn("__rn", F.row_number().over(line)).withColumn(
+        "__since", F.max(F.when(F.col("__ok"), F.col("__rn"))).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("__k", F.col("__rn") - F.coalesce("__since", F.lit(0)))
+    opening = F.col("__since").isNull()
+    summary = placed.groupBy(key, "__s").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.max(F.when(F.col("__ok"), F.col("__rn"))).alias("last_ok"),
+        F.array(*[F.min(F.when(opening & (F.col("__k") == i), F.col("__q"))) for i in range(1, limit + 1)]).alias("opening"),
+        F.min(F.when(~opening & ~F.col("__ok") & (F.col("__k") == limit), F.col("__q"))).alias("inner"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("s", "n", "last_ok", "opening", "inner")))
+    ordered = F.array_sort(F.collect_list(F.struct("__s", "__n", "last_ok", "opening", "inner")))
     start = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(None).cast("bigint").alias("dead_at"))
 
     def fold(state, part):
         through = F.get(part["opening"], (F.lit(limit - 1) - state["run"]).cast("int"))
         broken = F.coalesce(state["dead_at"], through, part["inner"])
-        run = F.when(part["last_ok"].isNull(), state["run"] + part["n"]).otherwise(part["n"] - part["last_ok"])
+        run = F.when(part["last_ok"].isNull(), state["run"] + part["__n"]).otherwise(part["__n"] - part["last_ok"])
         return F.struct(
             F.when(broken.isNotNull(), F.lit(limit)).otherwise(run).cast("bigint").alias("run"), broken.alias("dead_at")
         )

@@ -129,7 +129,7 @@ def selection_log(used: DataFrame, request: str) -> DataFrame:
         F.count(F.lit(1)).alias("requests"),
         F.sum("used").alias("draws"),
         (F.sum("used") / F.count(F.lit(1))).alias("draws_per_request"),
-        F.count_if((F.col("used") == 1) & (F.col("made") > 0)).alias("first_draw_accepted"),
+        F.count_if((F.col("used") == 1) & F.col("any_ok")).alias("first_draw_accepted"),
         F.count_if((F.col("made") > 0) & ~F.col("any_ok")).alias("none_accepted"),
         F.count_if(F.col("made") == 0).alias("no_output"),
     )

@@ -52,6 +52,7 @@ def tiled_cogroup(
     l = place(left).withColumn("__block", one(blocks, left_key)).withColumn("__tile", every(tiles))
     r = place(right).withColumn("__tile", one(tiles, right_key)).withColumn("__block", every(blocks))
     group = [*by, "__block", "__tile"]
-    l = l.select(*left.columns, "__block", "__tile")
-    r = r.select(*right.columns, "__block", "__tile")
+    # Both sides may come from one table; fresh names keep them apart.
+    l = l.select(*left.columns, "__block", "__tile").toDF(*left.columns, "__block", "__tile")
+    r = r.select(*right.columns, "__block", "__tile").toDF(*right.columns, "__block", "__tile")
     return l.groupBy(*group).cogroup(r.groupBy(*group)).applyInPandas(kernel, schema)

@@ -109,7 +109,7 @@ def rejections(read):
 @query("selection_log", SQL_DRAWS + f""",
 p AS (SELECT request, count(*) AS used, count(score) AS made, bool_or(ok) AS any_ok FROM used GROUP BY 1),
 t AS (SELECT count(*) AS requests, sum(used)::BIGINT AS draws, round(sum(used) / count(*), 6) AS draws_per_request,
-             count(*) FILTER (used = 1 AND made > 0) AS first_draw_accepted, count(*) FILTER (made > 0 AND NOT any_ok) AS none_accepted,
+             count(*) FILTER (used = 1 AND any_ok) AS first_draw_accepted, count(*) FILTER (made > 0 AND NOT any_ok) AS none_accepted,
              count(*) FILTER (made = 0) AS no_output FROM p),
 x AS (SELECT {SQL_FAULTS} FROM used)
 SELECT * FROM t, x""")

@@ -13,7 +13,10 @@ from plumbline.operators.skew import first_per_group
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of every file below ``root``; contents are never read."""
+    """(path, length) of every file below ``root``; contents are never read.
+
+    Files of no bytes, and names beginning with ``_`` or ``.``, are not listed.
+    """
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     )
@@ -137,7 +140,7 @@ def stable_order(df: DataFrame, ids: list[str] = ["writer_id", "text_id"], place
 
 def numbered_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no from 1, text) of each line of the text files."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return number_lines(whole, ["path"], F.col("value"))
 
 
