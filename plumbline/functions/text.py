@@ -193,21 +193,6 @@ def overrun(reading: Column, target: Column) -> Column:
     return F.array_min(ends)["worse"]
 
 
-def leave_one_out(text: Column) -> Column:
-    """(index, text without that word) for every word but the last."""
-    ws = words(text)
-    count = F.size(ws)
-    return F.when(count < 2, F.array().cast("array<struct<index:int,text:string>>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(count - 2, F.lit(0))),
-            lambda i: F.struct(
-                i.alias("index"),
-                F.array_join(F.filter(ws, lambda w, k: k != i), " ").alias("text"),
-            ),
-        )
-    )
-
-
 def letters_of(text: Column) -> Column:
     """Distinct characters, the plain space left out."""
     tight = F.replace(text, F.lit(" "), F.lit(""))

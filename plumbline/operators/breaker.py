@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
+from plumbline.operators.skew import ROWS_PER_TASK, profile
 
 
 def breaker(
@@ -14,11 +15,16 @@ def breaker(
     """(key, dead, dead_at, failures) after all rows of each key in ``seq`` order.
 
     ``dead_at`` is the place of the failure that made ``limit`` in a row. ``failures``
-    counts the running ones, and stays at ``limit`` once dead. With ``width`` a key's
-    rows are cut into stretches of that many places and each stretch is reduced to
-    how it begins, how it ends, and where it breaks by itself; a key of any size is
-    then folded from its stretches.
+    counts the running ones, and stays at ``limit`` once dead. A key's rows are cut
+    into stretches of ``width`` places (one stretch, unless a key is too big for a
+    task) and each is reduced to how it begins, how it ends, and where it breaks by
+    itself; a key of any size is then folded from its stretches.
     """
+    if width is None:
+        _, biggest = profile(df, [key])
+        if biggest > ROWS_PER_TASK:
+            ends = df.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
+            width = max(1, (ends["hi"] - ends["lo"]) // -(-biggest // ROWS_PER_TASK))
     stretch = F.floor(F.col(seq) / F.lit(width)) if width else F.lit(0)
     rows = df.select(key, F.col(seq).cast("bigint").alias("__q"), F.col(ok).alias("__ok"), stretch.cast("bigint").alias("__s"))
     line = Window.partitionBy(key, "__s").orderBy("__q")

@@ -48,16 +48,20 @@ def bootstrap(
     ``recentre`` reports value plus and minus half the interval's width.
     """
     by = by or []
-    table = settle(units.select(*by, *key, *[F.col(c).cast("double").alias(c) for c in sums]))
-    n_max = table.groupBy(*by).count().agg(F.max("count").alias("m"), F.sum("count").alias("s")).first()
-    biggest, everything = int(n_max["m"] or 0), int(n_max["s"] or 0)
+    plain = units.select(*by, *key, *[F.col(c).cast("double").alias(c) for c in sums])
+    few = settle(plain if method == "draws" else plain.limit(BROADCAST_ROWS + 1))
+    everything = few.count()
     if method is None:
-        method = "draws" if everything * resamples <= DRAW_LIMIT and everything <= BROADCAST_ROWS else "weights"
+        method = "draws" if everything <= BROADCAST_ROWS and everything * resamples <= DRAW_LIMIT else "weights"
+    if method == "draws":
+        table = few.withColumn("__m", F.lit(1.0))
+    else:
+        whole = few if everything <= BROADCAST_ROWS else plain
+        table = settle(whole.groupBy(*by, *sums).agg(F.count(F.lit(1)).cast("double").alias("__m")))
 
-    columns = [*sums, "n"]
-    point = table.withColumn("n", F.lit(1.0)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
-    point = point.select(*by, "n", statistic(F.col).alias("value"))
-    if biggest < 2:
+    weighed = [F.sum(F.col(c) * F.col("__m")).alias(c) for c in sums]
+    point = table.groupBy(*by).agg(*weighed, F.sum("__m").alias("n")).select(*by, "n", statistic(F.col).alias("value"))
+    if everything < 2:
         replicates = None
     elif method == "draws":
         replicates = _replicates_by_draws(table, by, key, sums, resamples, seed, everything)
@@ -109,21 +113,19 @@ def _replicates_by_draws(table: DataFrame, by: list[str], key: list[str], sums:
     return fetched.groupBy(*by, "__r").agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def _replicates_by_weights(table: DataFrame, by: list[str], sums: list[str], resamples: int, seed) -> DataFrame:
-    """Multinomial weights in two steps, over classes of equal units."""
+def _replicates_by_weights(classes: DataFrame, by: list[str], sums: list[str], resamples: int, seed) -> DataFrame:
+    """Multinomial weights in two steps, over classes of equal units (``__m`` of each)."""
     set_id = F.concat_ws("\x1f", F.lit(""), *by)
-    classes = table.groupBy(*by, *sums).agg(F.count(F.lit(1)).alias("__m"))
-    counted = classes.count()
-    chunks = max(1, math.ceil(counted / CLASSES_PER_CHUNK))
+    chunks = max(1, math.ceil(classes.count() / CLASSES_PER_CHUNK))
     order = F.concat_ws(":", *[F.col(c).cast("string") for c in sums])
-    placed = settle(classes.select(*by, *sums, "__m", set_id.alias("__set"), order.alias("__o"),
-                                   F.pmod(seeded_hash("chunk", order), F.lit(chunks)).cast("int").alias("__chunk")))
+    placed = classes.select(*by, *sums, "__m", set_id.alias("__set"), order.alias("__o"),
+                            F.pmod(seeded_hash("chunk", order), F.lit(chunks)).cast("int").alias("__chunk"))
     sizes = placed.groupBy("__set", "__chunk").agg(F.sum("__m").alias("__units"), F.count(F.lit(1)).alias("__classes"))
     shares = sizes.groupBy("__set").agg(F.sum("__units").alias("__all"))
     # Units in the chunks before this one: where its share of the draws is cut off.
     before = Window.partitionBy("__set").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     cuts = sizes.join(shares, "__set").withColumn("__before", F.coalesce(F.sum("__units").over(before), F.lit(0)))
-    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "__r int", *[f"{c} double" for c in sums], "n double"])
     seed_number = int.from_bytes(str(seed).encode(), "big") % (2**32)
 
@@ -134,9 +136,7 @@ def _replicates_by_weights(table: DataFrame, by: list[str], sums: list[str], res
         p = pdf["__m"].to_numpy(float)
         p = p / p.sum()
         rng = np.random.default_rng([seed_number, 1, chunk])
-        # The split of the draws over chunks comes from one stream per replicate that every
-        # chunk replays the same way: binomials over halves of the unit range.
-        taken = np.array([_share_of_draws(seed_number, r, total, skip, units) for r in range(resamples)])
+        taken = np.array([share_of_draws(seed_number, r, total, skip, units) for r in range(resamples)])
         rows = np.empty((resamples, len(sums)))
         for r in range(resamples):
             rows[r] = rng.multinomial(taken[r], p) @ values
@@ -151,7 +151,7 @@ def _replicates_by_weights(table: DataFrame, by: list[str], sums: list[str], res
     return drawn.groupBy(*by, "__r").agg(*[F.sum(c).alias(c) for c in [*sums, "n"]])
 
 
-def _share_of_draws(seed: int, replicate: int, total: int, start: int, length: int) -> int:
+def share_of_draws(seed: int, replicate: int, total: int, start: int, length: int) -> int:
     """How many of ``total`` draws over units 0..total-1 fall into [start, start + length).
 
     The counts below two points: a point's count is found by halving the range, each

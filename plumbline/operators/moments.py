@@ -11,12 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions.hashing import seeded_hash
 from plumbline.functions.vectors import vector_mean, width_of
+from plumbline.operators.intervals import share_of_draws
+from plumbline.operators.skew import checked_broadcast
 from plumbline.session import settle
 
 ROWS_PER_CHUNK = 20_000
@@ -177,31 +179,33 @@ def frechet_interval(
     center = found[generated][0]
     chunks = max(1, -(-n // ROWS_PER_CHUNK))
     placed = made.withColumn("__chunk", F.pmod(seeded_hash("chunk", key), F.lit(chunks)).cast("int"))
-    sizes = [r["count"] for r in placed.groupBy("__chunk").count().orderBy("__chunk").collect()]
-    # A chunk's share of each replicate's draws; at most rows / ROWS_PER_CHUNK columns.
-    shares = np.random.default_rng([seed, 1]).multinomial(n, np.array(sizes) / n, size=resamples)
-    packed = df.sparkSession.sparkContext.broadcast((shares, center, found[real][0], found[real][1]))
+    earlier = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = placed.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__rows")).withColumn(
+        "__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
+    )
+    packed = df.sparkSession.sparkContext.broadcast((center, found[real][0], found[real][1]))
     upper = np.triu_indices(d + 1)
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        shares, center, _, _ = packed.value
-        chunk = int(pdf["__chunk"].iloc[0])
+        center, _, _ = packed.value
+        chunk, before = int(pdf["__chunk"].iloc[0]), int(pdf["__before"].iloc[0])
         pdf = pdf.sort_values(key)
         x = np.hstack([np.stack(pdf[vector].to_numpy()) - center, np.ones((len(pdf), 1))])
         rng = np.random.default_rng([seed, 2, chunk])
         parts = []
-        for r in range(shares.shape[0]):
-            w = rng.multinomial(shares[r, chunk], np.full(len(x), 1.0 / len(x)))
+        for r in range(resamples):
+            w = rng.multinomial(share_of_draws(seed, r, n, before, len(x)), np.full(len(x), 1.0 / len(x)))
             parts.append(((x * w[:, None]).T @ x)[upper])
         return pd.DataFrame({
-            "__r": np.repeat(np.arange(shares.shape[0]), len(upper[0])), "i": np.tile(upper[0], shares.shape[0]),
-            "j": np.tile(upper[1], shares.shape[0]), "s": np.concatenate(parts),
+            "__r": np.repeat(np.arange(resamples), len(upper[0])), "i": np.tile(upper[0], resamples),
+            "j": np.tile(upper[1], resamples), "s": np.concatenate(parts),
         })
 
-    sums = placed.groupBy("__chunk").applyInPandas(weigh, "__r int, i int, j int, s double").groupBy("__r", "i", "j").agg(F.sum("s").alias("s"))
+    weighted = placed.join(checked_broadcast(cuts.drop("__rows")), "__chunk")
+    sums = weighted.groupBy("__chunk").applyInPandas(weigh, "__r int, i int, j int, s double").groupBy("__r", "i", "j").agg(F.sum("s").alias("s"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, center, mean_real, cov_real = packed.value
+        center, mean_real, cov_real = packed.value
         mean, cov, _ = _solve_moments(pdf, d, center)
         return pd.DataFrame({"v": [frechet(mean_real, cov_real, mean, cov)]})
 

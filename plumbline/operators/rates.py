@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import fixed
-from plumbline.functions.text import error_rate
+from plumbline.functions.text import error_rate, words
 from plumbline.operators.skew import ROWS_PER_TASK, checked_broadcast, exact_quantiles
 
 
@@ -42,6 +42,15 @@ def error_gap(df: DataFrame, generated: str, target: str, real: str | None = Non
     )
 
 
+def leave_one_out(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(keep..., index, text): the text without each of its words in turn, the last one excepted."""
+    ws = df.select(*keep, words(F.col(text)).alias("__w")).where(F.size("__w") > 1)
+    each = ws.select(*keep, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - 2)).alias("index"))
+    i, n = F.col("index"), F.size("__w")
+    rest = F.concat(F.slice("__w", F.lit(1), i), F.slice("__w", i + 2, n))
+    return each.select(*keep, "index", F.array_join(rest, " ").alias("text"))
+
+
 def width_report(df: DataFrame, real: Column, generated: Column, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """One row on generated size over real size: mean, median, p10, p90, shares too wide and too narrow."""
     ratio = generated / F.greatest(real, F.lit(1.0))

@@ -7,7 +7,7 @@ measured, which no gate rejects.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
@@ -69,10 +69,11 @@ def draws_used(
     marked = draws.where(F.col("attempt") <= candidates + extra).withColumn(
         "ok", F.coalesce(acceptable(), F.lit(False))
     )
-    first = F.min(F.when(F.col("ok"), F.col("attempt")))
+    first = F.min(F.when(F.col("ok"), F.col("attempt"))).over(Window.partitionBy(request))
     last = first if mode == "readable" else F.greatest(first, F.lit(candidates))
-    stops = marked.groupBy(request).agg(F.coalesce(last, F.lit(candidates + extra)).alias("__stop"))
-    return marked.join(stops, request).where(F.col("attempt") <= F.col("__stop")).drop("__stop")
+    # A request has at most candidates + extra rows here, so its window is small.
+    stop = F.coalesce(last, F.lit(candidates + extra)).alias("__stop")
+    return marked.select("*", stop).where(F.col("attempt") <= F.col("__stop")).drop("__stop")
 
 
 def choose_readable(used: DataFrame, request: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.skew import MOST_HOT, profile
+from plumbline.operators.skew import checked_broadcast, profile
 
 
 def _pieces(df: DataFrame, by: list[str], rows: int, name: str) -> tuple[DataFrame | None, Column]:
@@ -18,10 +18,10 @@ def _pieces(df: DataFrame, by: list[str], rows: int, name: str) -> tuple[DataFra
     if biggest <= rows:
         return None, F.lit(1)
     big = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(rows, -(-total // MOST_HOT)))
+        df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
         .select(*by, F.ceil(F.col("n") / rows).cast("int").alias(name))
     )
-    return F.broadcast(big), F.coalesce(F.col(name), F.lit(1))
+    return checked_broadcast(big), F.coalesce(F.col(name), F.lit(1))
 
 
 def tiled_cogroup(

@@ -288,11 +288,13 @@ def distinct_groups(read):
 
 
 @query("group_rows", """
-SELECT source, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS keys_md5 FROM documents GROUP BY 1""")
+SELECT source, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, sum(doc_id)::BIGINT AS total FROM documents GROUP BY 1""")
 def group_rows(read):
     members = joins.group_members(read("documents"), ["source"], "doc_id")
-    merged = members.groupBy("source").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"))
-    return merged.select("source", "n", F.md5(F.array_join("keys", ",")).alias("keys_md5"))
+    rows = members.select("source", F.explode("keys").alias("key"))
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"), F.sum("key").alias("total")
+    )
 
 
 @query("dataset_summary", """

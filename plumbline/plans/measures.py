@@ -99,8 +99,8 @@ WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), la
 SELECT conv_id, turn, i::INT AS index, md5(array_to_string(list_concat(ws[1:i], ws[i + 2:len(ws)]), ' ')) AS text_md5
 FROM (SELECT conv_id, turn, ws, unnest(range(0, greatest(len(ws) - 1, 0))) AS i FROM w)""")
 def leave_one_out(read):
-    rows = read("conversations").select("conv_id", "turn", F.explode(tx.leave_one_out(F.col("text"))).alias("l"))
-    return rows.select("conv_id", "turn", "l.index", F.md5("l.text").alias("text_md5"))
+    rows = rates.leave_one_out(read("conversations"), ["conv_id", "turn"], "text")
+    return rows.select("conv_id", "turn", "index", F.md5("text").alias("text_md5"))
 
 
 @query("coverage", """

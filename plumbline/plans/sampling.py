@@ -110,7 +110,7 @@ def requests(read):
     return sampling.build_requests(docs(read), "source", "doc_id", 4, request_count(read), SEED)
 
 
-@query("build_requests", f"""
+SQL_REQUESTS = f"""
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 6),
 g AS (SELECT source, n, row_number() OVER (ORDER BY {h('source')}, source) AS g, count(*) OVER () AS groups FROM sizes),
 spine AS (SELECT i AS request FROM range((SELECT count(*) FROM documents)) t(i)),
@@ -119,6 +119,10 @@ d AS (SELECT request, source, n, {h('request', seed=f'{SEED}:key')} % n AS start
 seats AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {h('doc_id')}, doc_id) - 1 AS seat FROM documents),
 k AS (SELECT request, d.source, j, doc_id FROM d, range(5) r(j), seats s
       WHERE s.source = d.source AND s.seat = (start + j) % n)
+"""
+
+
+@query("build_requests", SQL_REQUESTS + """
 SELECT request, source, max(doc_id) FILTER (j = 0) AS target,
        string_agg(doc_id::VARCHAR, ',' ORDER BY j) FILTER (j > 0) AS refs
 FROM k GROUP BY 1, 2""")
@@ -126,7 +130,7 @@ def build_requests(read):
     return requests(read).withColumn("refs", F.array_join("refs", ","))
 
 
-@query("consumed_keys")
+@query("consumed_keys", SQL_REQUESTS + "SELECT DISTINCT doc_id AS key FROM k")
 def consumed_keys(read):
     return sampling.consumed_keys(requests(read))
 

@@ -41,12 +41,13 @@ def pack_read(read):
 
 
 @query("pack_groups", """
-SELECT source AS writer_id, count(*) AS n, md5(string_agg('d' || doc_id, ',' ORDER BY 'd' || doc_id)) AS keys_md5 FROM documents GROUP BY 1""")
+SELECT source AS writer_id, count(*) AS n, min('d' || doc_id) AS first, max('d' || doc_id) AS last FROM documents GROUP BY 1""")
 def pack_groups(read):
     spark, path, _ = packed(read)
     parts = packs.pack_groups(spark, path)
-    merged = parts.groupBy("writer_id").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"))
-    return merged.select("writer_id", "n", F.md5(F.array_join("keys", ",")).alias("keys_md5"))
+    return parts.groupBy("writer_id").agg(
+        F.sum("n").alias("n"), F.min(F.element_at("keys", 1)).alias("first"), F.max(F.element_at("keys", -1)).alias("last")
+    )
 
 
 @query("pack_size")

@@ -167,7 +167,7 @@ def test_weights_agree_with_draws(spark, monkeypatch):
 def test_shares_of_draws_add_up():
     edges = [0, 10, 11, 400, 777, 1000]
     for r in range(20):
-        parts = [intervals._share_of_draws(5, r, 1000, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+        parts = [intervals.share_of_draws(5, r, 1000, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
         assert sum(parts) == 1000 and min(parts) >= 0
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions import text as tx
+from plumbline.operators import rates
 
 
 def column(spark, rows, schema, expression):
@@ -59,8 +60,8 @@ def test_doubled(spark):
 
 
 def test_leave_one_out(spark):
-    got = column(spark, [("a b  c",), ("one",), ("",)], "a string", tx.leave_one_out(F.col("a")))
-    assert [[(r["index"], r["text"]) for r in x] for x in got] == [[(0, "b c"), (1, "a c")], [], []]
+    df = spark.createDataFrame([(1, "a b  c"), (2, "one"), (3, "")], "id int, t string")
+    assert sorted(map(tuple, rates.leave_one_out(df, ["id"], "t").collect())) == [(1, 0, "b c"), (1, 1, "a c")]
 
 
 def test_alphabet(spark):
