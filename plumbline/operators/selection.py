@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions.numbers import in_band
-from plumbline.functions.text import coverage, is_blank
+from plumbline.functions.text import coverage, doubled_word, error_rate, is_blank, overrun
 from plumbline.operators.skew import checked_broadcast, top_per_group
 
 MAX_ATTEMPTS = fixed.CANDIDATES + fixed.EXTRA_DRAWS
@@ -31,6 +31,25 @@ def predicted_size(refs: DataFrame, by: list[str], size: str, text: str, targets
     ).drop("__rate")
 
 
+def score_draws(draws: DataFrame, requests: DataFrame, request: str, text: str, predicted: str | None = None) -> DataFrame:
+    """Draws (request, attempt, reading, size, ...) with what the gates ask: score, overrun, doubled, width_ratio.
+
+    ``requests`` holds each request's text and, if known, its predicted size. A draw
+    without a reading produced nothing and has no score.
+    """
+    wanted = [text, *([predicted] if predicted else [])]
+    joined = draws.join(requests.select(request, *[F.col(c).alias(f"__{c}") for c in wanted]), request)
+    reading, target = F.coalesce("reading", F.lit("")), F.col(f"__{text}")
+    made = F.col("reading").isNotNull()
+    ratio = F.col("size") / F.nullif(F.col(f"__{predicted}"), F.lit(0.0)) if predicted else F.lit(None).cast("double")
+    return joined.withColumns({
+        "score": F.when(made, error_rate(reading, target)),
+        "overrun": F.when(made, overrun(reading, target)),
+        "doubled": F.when(made, doubled_word(reading, target)),
+        "width_ratio": F.when(made, ratio),
+    }).drop(*[f"__{c}" for c in wanted])
+
+
 def omitted() -> Column:
     return F.coalesce(F.col("support") > fixed.OMISSION_SUPPORT, F.lit(False))
 

@@ -21,6 +21,8 @@ def query(name: str, sql: str | None = None):
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The tables' timestamps carry no zone; the SQL twins read them as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(partial(table, spark, sf_dir))
 
         QUERIES[name] = run

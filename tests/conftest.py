@@ -25,3 +25,12 @@ def read(spark):
     from plumbline.plans.registry import table
 
     return partial(table, spark, SF_SMALL)
+
+
+@pytest.fixture(scope="session", autouse=True)
+def package_travels():
+    from pyspark import cloudpickle
+
+    import plumbline
+
+    cloudpickle.register_pickle_by_value(plumbline)
