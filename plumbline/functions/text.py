@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -132,16 +134,23 @@ def error_rate(prediction: Column, target: Column) -> Column:
     )
 
 
-def doubled_word(reading: Column, target: Column) -> Column:
-    """The first word the reading says twice running where the target does not; else NULL."""
-    said, asked = F.transform(words(reading), F.lower), F.transform(words(target), F.lower)
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _echoes(text: Column) -> Column:
+    """Words of ``text``, case folded, that equal the word before them."""
 
-    def echoes(ws: Column) -> Column:
-        pairs = F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.when(a == b, b))
-        return F.filter(pairs, lambda w: w.isNotNull())
+    def repeats(ws: Column) -> Column:
+        return F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, i - 1)))
 
-    fresh = F.filter(echoes(said), lambda w: ~F.array_contains(echoes(asked), w))
-    return F.when(F.size(fresh) > 0, F.element_at(fresh, 1))
+    return bind(words(F.lower(text)), repeats)
+
+
+def doubled_word(reading: Column, target: Column) -> Column:
+    """The first word the reading says twice running where the target does not; else NULL."""
+    return F.get(F.array_except(_echoes(reading), _echoes(target)), F.lit(0))
 
 
 def overrun(reading: Column, target: Column) -> Column:

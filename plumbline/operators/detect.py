@@ -142,9 +142,9 @@ def two_sample_test(
 
     The features come most telling first.
     """
-    judged = settle(two_sample_rows(df, key, label, features, folds, seed))
+    rows = settle(measurable(df.select(key, label, *features), features)[0])
+    judged = settle(two_sample_rows(rows, key, label, features, folds, seed))
     accuracy = rate_interval(judged.where("model = 'all'"), [key], "correct", **interval)
-    rows, _ = measurable(df, features)
     alone = judged.where("model <> 'all'").groupBy(F.col("model").alias("feature")).agg(F.avg(F.col("correct").cast("double")).alias("alone"))
     table = alone.join(class_means(rows, label, features), "feature")
     return accuracy, by_accuracy_desc(table)

@@ -73,12 +73,14 @@ def scan_pages(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def parse_parts(files: DataFrame) -> DataFrame:
     """Word crops with the five fields of their names; NULL fields where the name does not parse."""
     path = F.col("path")
-    crops = files.where(F.endswith(path, F.lit(".tif")) & _inside(path, "words")).withColumn("__stem", crop_stem(path))
-    ok = F.regexp_like("__stem", F.lit(fixed.PART_NAME))
+    stem = crop_stem(path)
+    # Of the five fields only the last may hold hyphens.
+    fields = F.when(F.regexp_like(stem, F.lit(fixed.PART_NAME)), F.split(stem, "-", 5))
+    crops = files.where(F.endswith(path, F.lit(".tif")) & _inside(path, "words")).withColumn("__f", fields)
+    ok = F.col("__f").isNotNull()
 
     def field(i: int) -> Column:
-        # Of the five fields only the last may hold hyphens.
-        return F.when(ok, F.split("__stem", "-", 5)[i - 1])
+        return F.col("__f")[i - 1]
 
     return crops.select(
         field(1).alias("writer_id"),
