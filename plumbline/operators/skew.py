@@ -3,21 +3,18 @@
 Each measures the groups first (one map-side-combined count) and takes the plain
 plan unless a group is too big for one task; then the big groups, and only they,
 are cut along the order in question and the pieces' counts put the cut together.
-At most ``MOST_HOT`` groups can exceed 1/``MOST_HOT`` of all rows, so the list of
-big groups has that bound whatever the data's size.
+The list of big groups has at most rows / ``ROWS_PER_TASK`` entries and is counted
+before it is broadcast.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import HASH_BITS, seeded_hash
 
 ROWS_PER_TASK = 2_000_000
-MOST_HOT = 10_000
 BROADCAST_ROWS = 200_000
 
 
@@ -35,18 +32,6 @@ def profile(df: DataFrame, by: list[str]) -> tuple[int, int]:
     return int(row["s"] or 0), int(row["m"] or 0)
 
 
-def hot_groups(df: DataFrame, by: list[str], total: int, rows_per_task: int) -> tuple[DataFrame, int]:
-    """Groups too big for a task, with the pieces to cut each into: fewer than MOST_HOT rows."""
-    limit = max(rows_per_task, math.ceil(total / MOST_HOT))
-    hot = (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > limit)
-        .withColumn("__parts", F.ceil(F.col("__n") / F.lit(limit)).cast("bigint"))
-    )
-    return hot, limit
-
-
 def spread_rank(
     df: DataFrame,
     by: list[str],
@@ -73,18 +58,17 @@ def spread_rank(
             out = out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by)))
         return out.drop("__at")
 
-    limit = max(rows_per_task, math.ceil(total / MOST_HOT))
     if by:
         hot = (
             work.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-            .where(F.col("__n") > limit)
+            .where(F.col("__n") > rows_per_task)
         )
-        cut = work.join(F.broadcast(hot), by, "left")
+        cut = work.join(checked_broadcast(hot), by, "left")
     else:
         ends = work.agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).first()
         cut = work.select("*", F.lit(total).alias("__n"), F.lit(ends["lo"]).alias("__lo"), F.lit(ends["hi"]).alias("__hi"))
-    parts = F.ceil(F.col("__n") / F.lit(limit))
+    parts = F.ceil(F.col("__n") / F.lit(rows_per_task))
     share = (F.col("__at") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1))
     piece = F.least(F.floor(share * parts), parts - 1)
     cut = cut.withColumn("__piece", F.coalesce(piece, F.lit(0)).cast("bigint"))
@@ -96,7 +80,7 @@ def spread_rank(
         .select(*by, "__piece", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     )
     within = Window.partitionBy(*by, "__piece")
-    out = cut.join(F.broadcast(offsets), [*by, "__piece"], "left").withColumn(
+    out = cut.join(checked_broadcast(offsets), [*by, "__piece"], "left").withColumn(
         name, F.row_number().over(within.orderBy(*order)) + F.coalesce(F.col("__before"), F.lit(0))
     )
     if size:
@@ -158,19 +142,19 @@ def exact_quantiles(
     rows = df.select(*by, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
     if not by:
         rows = rows.withColumn("__all", F.when(F.col("__v").isNotNull(), F.lit(0)))
-    total, biggest = profile(rows, anchor)
+    _, biggest = profile(rows, anchor)
     plain = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
     if biggest <= rows_per_task:
         return rows.groupBy(*anchor).agg(plain).select(*by, name)
 
-    hot, _ = hot_groups(rows, anchor, total, rows_per_task)
-    hot_keys = F.broadcast(hot.select(*anchor))
+    hot = rows.groupBy(*anchor).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_task)
+    hot_keys = checked_broadcast(hot.select(*anchor))
     cool = rows.join(hot_keys, anchor, "left_anti").groupBy(*anchor).agg(plain)
 
     counted = rows.join(hot_keys, anchor, "left_semi").groupBy(*anchor, "__v").agg(F.count(F.lit(1)).alias("__c"))
     span = counted.groupBy(*anchor).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
     width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    binned = counted.join(F.broadcast(span), anchor).withColumn(
+    binned = counted.join(checked_broadcast(span), anchor).withColumn(
         "__b", F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1)).cast("int")
     )
     earlier = Window.partitionBy(*anchor).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,7 +174,7 @@ def exact_quantiles(
     )
     running = Window.partitionBy(*anchor, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        binned.join(F.broadcast(wanted.select(*anchor, "__b", "__start").distinct()), [*anchor, "__b"])
+        binned.join(checked_broadcast(wanted.select(*anchor, "__b", "__start").distinct()), [*anchor, "__b"])
         .withColumn("__to", F.col("__start") + F.sum("__c").over(running))
         .withColumn("__from", F.col("__to") - F.col("__c"))
         .select(*anchor, "__b", "__v", "__from", "__to")

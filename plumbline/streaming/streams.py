@@ -112,8 +112,8 @@ def stream_first_ok(draws: DataFrame, request: str, ts: str, lateness: str, pati
 
     The first acceptable draw to arrive settles a request; without one, the least
     bad is given when no draw came for ``patience`` of event time. Later draws are
-    ignored. State per request is one draw, whatever number of draws arrive, and a
-    settled request keeps only the fact.
+    ignored for as long as they come within ``patience`` of each other; then the
+    request is forgotten. State per request is one draw, however many arrive.
     """
     wait = int(pd.Timedelta(patience).total_seconds() * 1000)
     bad = badness()
