@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, secrets, simhash, tiff
+from plumbline.llm import bpe, chat, language, secrets, simhash, tiff
+from plumbline.llm.common import held_out
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -44,6 +46,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+@query("op7_language")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, 4, 2)
+    found = language.predict(docs.select("doc_id", "text", held_out(4, 2).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query("op8_chat_format", chat.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
