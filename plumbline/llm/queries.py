@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language, secrets, simhash, tiff
+from plumbline.llm import bpe, chat, language, quality, secrets, simhash, tiff, toxicity
 from plumbline.llm.common import held_out
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +31,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    letters = toxicity.letter_model(docs)
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), letters, 5, 0)
+    found = toxicity.predict(docs.select("doc_id", "text", held_out(5, 0).alias("held_out")), letters, scorer)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,6 +55,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality.fit(docs, table(spark, sf_dir, "labels"), 4, 2)
+    found = quality.predict(docs.select("doc_id", "text", held_out(4, 2).alias("held_out")), ranking)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op7_language")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
