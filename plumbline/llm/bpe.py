@@ -49,7 +49,7 @@ def split_words(text: str) -> list[str]:
     for stretch in BLANK.split(text):
         if SAFE.fullmatch(stretch) and SPECIAL not in stretch:
             words += WORD.findall(stretch.lower())
-        else:
+        elif stretch:
             words.append(stretch)
     return words
 
@@ -124,7 +124,7 @@ def _assembler(docs: DataFrame, head, finish: Callable, schema: str, unpack: boo
     """Every text's ids in its words' places. A batch's own words come in ``words``, lists of (word, ids)."""
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known = head.value.get
         open_text = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for part in slices(batch, *(("packed", SLICE_BYTES // 3) if unpack else ("text",))):
@@ -133,7 +133,7 @@ def _assembler(docs: DataFrame, head, finish: Callable, schema: str, unpack: boo
                 rows = []
                 for key, text in zip(keys, texts, strict=True):
                     words = split_words(open_text(text).decode() if unpack else text or "")
-                    rows.append((key, list(chain.from_iterable([known[w] if w in known else own[w] for w in words]))))
+                    rows.append((key, list(chain.from_iterable([known(w) or own[w] for w in words]))))
                 yield finish(rows)
 
     return docs.mapInArrow(assemble, schema)
@@ -149,17 +149,20 @@ def _encode_all(docs: DataFrame, path: str, finish: Callable, schema: str, head_
         return _assembler(texts, head, finish, schema, False)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        close_text = zstandard.ZstdCompressor(level=3).compress
+        close_text = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             raw = [close_text((t.as_py() or "").encode()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary())], names=["doc_id", "mark", "packed"])
 
     def missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known, asked = head.value, set()
         for batch in batches:
             for part in slices(batch):
                 marks, rare = [], []
                 for text, mark in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if mark in asked:
+                        continue
+                    asked.add(mark)
                     new = {w for w in split_words(text or "") if w not in known}
                     marks += [mark] * len(new)
                     rare += new
@@ -167,9 +170,9 @@ def _encode_all(docs: DataFrame, path: str, finish: Callable, schema: str, head_
 
     # Rare words by a hash of the text: equal texts ask once for all, and a collision only brings words that go unused.
     marked = texts.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    asked = marked.select("text", "mark").mapInArrow(missing, "mark bigint, word string").distinct()
+    asked = marked.select("text", "mark").mapInArrow(missing, "mark bigint, word string")
     rare = table.where(_rank() < least).select("word", "ids")
-    answers = asked.join(rare, "word").groupBy("mark").agg(F.collect_list(F.struct("word", "ids")).alias("words"))
+    answers = asked.join(rare, "word").groupBy("mark").agg(F.collect_set(F.struct("word", "ids")).alias("words"))
     packed = marked.mapInArrow(pack, "doc_id bigint, mark bigint, packed binary")
     return _assembler(packed.join(answers, "mark", "left").select("doc_id", "packed", "words"), head, finish, schema, True)
 
