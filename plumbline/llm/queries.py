@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language, quality, secrets, simhash, tiff, toxicity
+from plumbline.llm import bpe, chat, language, quality, secrets, simhash, suffixes, tiff, toxicity
 from plumbline.llm.common import held_out
 
 VOCABULARY = "word_bpe_49k.json"
@@ -76,6 +76,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op10_tiff")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"))
