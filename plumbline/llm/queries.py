@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, language, quality, secrets, simhash, suffixes, tiff, toxicity
+from plumbline.llm import bpe, chat, decontaminate, language, quality, secrets, simhash, suffixes, tiff, toxicity
 from plumbline.llm.common import held_out
 
 VOCABULARY = "word_bpe_49k.json"
@@ -50,6 +50,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_secrets", secrets.sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
