@@ -12,6 +12,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ SAMPLE = 3000
 GROUPS, LEAST, SWITCH, SCRIPT_SHARE = (1, 2, 3, 4), 3, 8.0, 0.005
 #: Distinct words whose scores a task remembers.
 REMEMBERED = 200_000
-SLICE = 4 << 20
+SLICE = 8 << 20
 
 
 def script_of(letter: str) -> str:
@@ -106,8 +107,16 @@ def fit(docs: DataFrame, modulus: int, remainder: int, sample: int = SAMPLE) ->
     return Model(languages, rows, np.log((counts + 1) / totals).astype(np.float32), np.log(1 / totals).astype(np.float32), scripts)
 
 
+class _Places(dict):
+    """A word's row; a new word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 class Words:
-    """Scores of distinct words, remembered up to a bound."""
+    """Scores and lengths of distinct words, remembered up to a bound."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -115,11 +124,12 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, len(self.model.languages)), np.float32)
+        self.place = _Places()
+        self.table = np.zeros((len(self.model.languages), 1 << 12), np.float32)
+        self.letters = np.zeros(1 << 12, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        """Enter new words. Their score is the mean over groups, times the letters, so long words count more."""
+    def learn(self, words: list[str], start: int) -> None:
+        """Enter the rows of new words: the sum over their letter groups of the languages' log-probabilities, the best one's taken off."""
         model, groups, cuts = self.model, [], []
         get, unseen = model.rows.get, len(model.rows)
         for word in words:
@@ -131,53 +141,64 @@ class Words:
             if allowed is not None and allowed.any() and not allowed.all():
                 row[~allowed] = row.min() - 50
         sums -= sums.max(axis=1, keepdims=True)
-        start = len(self.place)
-        while start + len(words) > len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
-        self.table[start:start + len(words)] = sums / len(GROUPS)
-        self.place.update(zip(words, range(start, start + len(words)), strict=True))
+        stop = start + len(words)
+        if stop > self.table.shape[1]:
+            more = max(stop, 2 * self.table.shape[1]) - self.table.shape[1]
+            self.table = np.pad(self.table, ((0, 0), (0, more)))
+            self.letters = np.pad(self.letters, (0, more))
+        self.table[:, start:stop] = (sums / len(GROUPS)).T
+        self.letters[start:stop] = list(map(len, words))
 
     def __call__(self, words: list[str]) -> np.ndarray:
         if len(self.place) > REMEMBERED:
             self.forget()
-        if new := list({w for w in words if w not in self.place}):
-            self.learn(new)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        known = len(self.place)
+        rows = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if len(self.place) > known:
+            self.learn(list(islice(self.place, known, None)), known)
+        return rows
 
 
 def best_paths(scores: np.ndarray, rows: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """The best language of every word of many texts, texts side by side: word t of all texts that have one in one step.
 
-    ``rows`` holds the words of all texts, one text after another, as rows of ``scores``. A switch comes from the best language,
-    so a step needs its place only, not all pairs of languages.
+    ``scores`` has a row for each language; ``rows`` holds the words of all texts, one text after another, as its columns. A switch
+    comes from the best language, so a step needs its place only, not all pairs of languages.
     """
     order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     longest = int(lengths.max(initial=0))
     active = np.searchsorted(-lengths[order], -np.arange(longest), side="left")
-    stayed = np.empty((len(rows), scores.shape[1]), bool)
-    came = np.empty(len(rows), np.int16)
-    labels = np.empty(len(rows), np.int16)
-    held = np.zeros((len(order), scores.shape[1]), np.float32)
+    blocks = np.append(0, np.cumsum(active))
+    # word t of a text stands in block t, texts in order of length
+    step = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = blocks[step] + np.repeat(rank, lengths)
+    gathered = np.empty((len(scores), len(rows)), np.float32)
+    gathered[:, place] = scores[:, rows]
+    stayed = np.empty(gathered.shape, bool)
+    came = np.empty(len(rows), np.int8 if len(scores) < 128 else np.int32)
+    state = np.zeros((len(scores), len(order)), np.float32)
+    bounds = blocks.tolist()
     for t in range(longest):
-        n = active[t]
-        at = starts[:n] + t
-        state = held[:n]
+        a, b = bounds[t], bounds[t + 1]
+        held = state[:, :b - a]
         if t:
-            best = state.argmax(axis=1)
-            jump = state[np.arange(n), best][:, None] - switch
-            keep = state >= jump
-            stayed[at], came[at] = keep, best
-            state = np.where(keep, state, jump)
-        held[:n] = state + scores[rows[at]]
-    label = held.argmax(axis=1).astype(np.int16)
+            jump = held.max(axis=0) - switch
+            came[a:b] = held.argmax(axis=0)
+            np.greater_equal(held, jump, out=stayed[:, a:b])
+            np.maximum(held, jump, out=held)
+        held += gathered[:, a:b]
+    label = state.argmax(axis=0)
+    labels = np.empty(len(rows), np.int64)
     for t in range(longest - 1, -1, -1):
-        n = active[t]
-        at = starts[:n] + t
-        labels[at] = label[:n]
+        a, b = bounds[t], bounds[t + 1]
+        now = label[:b - a]
+        labels[a:b] = now
         if t:
-            label[:n] = np.where(stayed[at, label[:n]], label[:n], came[at])
-    return labels
+            left = ~stayed[:, a:b][now, np.arange(b - a)]
+            now[left] = came[a:b][left]
+    return labels[place]
 
 
 def _has_letter(word: str) -> bool:
@@ -194,6 +215,10 @@ def words_of(text: str | None) -> list[str]:
 
 def spans_of(text: str, labels: np.ndarray, languages: list[str]) -> list[tuple[int, int, str]]:
     """Runs of words with one label, from the first word's start to the last one's end."""
+    if text.isascii() and (labels == labels[0]).all():
+        start = WORD.search(text).start()
+        end = len(text) - WORD.search(text[::-1]).start()
+        return [(start, end, languages[labels[0]])]
     bounds = [m.span() for m in WORD.finditer(text) if _has_letter(m[0])]
     cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(bounds)]
     return [(bounds[a][0], bounds[b - 1][1], languages[labels[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -222,7 +247,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                 rows = remembered(flat)
                 lengths = np.array([len(ws) for ws in each], np.int64)
                 labels = best_paths(remembered.table, rows, lengths, switch)
-                letters = np.fromiter(map(len, flat), np.int64, len(flat))
+                letters = remembered.letters[rows]
                 names, scores, spans, at = [], [], [], 0
                 for text, n in zip(texts, lengths.tolist(), strict=True):
                     if not n:
