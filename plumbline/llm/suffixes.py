@@ -23,9 +23,9 @@ from plumbline.session import settle
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of input for each counting bucket and for each shard.
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 6 << 20
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 3 << 19
 #: Bytes of text that a task takes together; copies inside such a block are resolved on the spot.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Anchors in more documents than this have their strings dealt out one by one, not by anchor.
 COMMON = 20_000
 #: Repeated anchors that fit the filter handed to all tasks; beyond, they are joined to the documents instead.
