@@ -1,7 +1,7 @@
 """Repeated byte strings across documents, by suffix arrays over shards.
 
 Only strings that begin in two documents matter, so most text never reaches a suffix array. Every 50-byte string has an anchor,
-the 16-byte piece of least hash in it; equal strings have equal anchors. Anchors are counted over the corpus by documents.
+the 24-byte piece of least hash in it; equal strings have equal anchors. Anchors are counted over the corpus by documents.
 Strings of consecutive places with one anchor form a stretch; stretches whose anchor occurs in several documents go to the
 anchor's shard, so all places of a string meet there. A shard sorts its stretches' suffixes by induced sorting, takes the common
 prefixes of neighbours in text order, and so finds for every string the least document it begins in.
@@ -13,7 +13,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
+import pyarrow.ipc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import SLICE_BYTES, slices
 from plumbline.session import settle
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24
 #: Bytes of input for each counting bucket and for each shard.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 3 << 19
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 3 << 20
 #: Bytes of text that a task takes together; copies inside such a block are resolved on the spot.
 BLOCK_BYTES = 16 << 20
 #: Anchors in more documents than this have their strings dealt out one by one, not by anchor.
@@ -311,7 +312,9 @@ def _with_own_keys(texts: DataFrame, repeated: DataFrame) -> DataFrame:
 # -- places to remove ------------------------------------------------------------------------------------------------------------
 
 REMOVED_SCHEMA = "doc bigint, mark bigint, start int, end int"
-SENT_SCHEMA = "shard bigint, " + REMOVED_SCHEMA + ", stretch binary, key bigint"
+SENT_SCHEMA = "shard bigint, packed binary"
+#: What a packed cell holds: places of stretches with their bytes and key, or settled spans without.
+CELL = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("stretch", pa.binary()), ("key", pa.int64())])
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,60 +336,69 @@ def _send(texts: DataFrame, shards: int, packed, size: int, common) -> DataFrame
         for rows in _blocks(batches):
             rows.sort(key=lambda r: r[0])
             seen: dict[bytes, int] = {}
-            out: list[list] = [[], [], [], [], [], [], []]
+            shard_of, docs, marks, starts, ends, pieces, of_key = out = [], [], [], [], [], [], []
             for document, mark, data, *own in rows:
                 keys, first, last = stretches(np.frombuffer(data, np.uint8))
                 kept = np.isin(keys, np.array(own[0], np.int64).astype(np.uint64)) if own else _passes(packed.value, size, keys)
                 keys, first, last = keys[kept], first[kept], last[kept]
-                if len(frequent):
-                    single = np.isin(keys, frequent)
-                    if single.any():
-                        more = last[single] - first[single] + 1
-                        places = _spread(first[single], more)
-                        keys = np.concatenate((keys[~single], np.repeat(keys[single], more)))
-                        first, last = np.concatenate((first[~single], places)), np.concatenate((last[~single], places))
-                        order = np.argsort(first, kind="stable")
-                        keys, first, last, single = keys[order], first[order], last[order], np.isin(keys[order], frequent)
-                else:
-                    single = np.zeros(len(keys), bool)
+                single = np.isin(keys, frequent) if len(frequent) else np.zeros(len(keys), bool)
+                if single.any():
+                    more = np.where(single, last - first + 1, 1)
+                    keys, single, last = np.repeat(keys, more), np.repeat(single, more), np.repeat(last, more)
+                    first = _spread(first, more)
+                    last = np.where(single, first, last)
                 gone_from, gone_to = [], []
                 for key, a, b, alone in zip(keys.tolist(), first.tolist(), (last + LENGTH).tolist(), single.tolist(), strict=True):
                     stretch = data[a:b]
-                    holder = seen.setdefault(stretch, document)
-                    if holder < document:
+                    if seen.setdefault(stretch, document) < document:
                         gone_from.append(a)
                         gone_to.append(b)
                         continue
                     # a common anchor's strings are told apart by all their bytes
                     at = hash_of(stretch) if alone else key
-                    for column, value in zip(out, (at % shards, document, mark, a, b, stretch, at), strict=True):
-                        column.append(value)
+                    shard_of.append(at % shards)
+                    docs.append(document)
+                    marks.append(mark)
+                    starts.append(a)
+                    ends.append(b)
+                    pieces.append(stretch)
+                    of_key.append(at)
                 if gone_from:
                     a, b = _merged(np.array(gone_from), np.array(gone_to))
-                    for column, value in zip(out, ([mark % shards] * len(a), [document] * len(a), [mark] * len(a), a.tolist(), b.tolist(), [None] * len(a), [None] * len(a)), strict=True):
-                        column += value
-                if len(out[0]) > 100_000:
-                    yield _sent(out)
-                    out = [[], [], [], [], [], [], []]
-            if out[0]:
-                yield _sent(out)
+                    for column, values in zip(out, ([mark % shards], [document], [mark], a.tolist(), b.tolist(), [None], [None]), strict=True):
+                        column += values if len(values) == len(a) else values * len(a)
+            yield from _packed(out)
 
     return texts.mapInArrow(send, SENT_SCHEMA)
 
 
+def _packed(out: list[list]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, those of a shard as one compressed cell."""
+    shard = np.array(out[0], np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    rows = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out[1:], CELL, strict=True)], schema=CELL).take(pa.array(order))
+    cuts = np.flatnonzero(np.append(True, np.diff(shard) != 0)[:len(shard)]).tolist()
+    names, cells = [], []
+    for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, CELL, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as writer:
+            writer.write_batch(rows.slice(a, b - a))
+        names.append(int(shard[a]))
+        cells.append(sink.getvalue().to_pybytes())
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(cells, pa.binary())], names=["shard", "packed"])
+
+
 def hash_of(data: bytes) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(data) >> 16
 
 
-def _sent(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["shard", "doc", "mark", "start", "end", "stretch", "key"])
-
-
 def _resolve(table: pa.Table) -> pa.Table:
     """One shard: the spans already settled, and those of strings that begin in a lesser document."""
+    table = pa.concat_tables([pa.ipc.open_stream(cell.as_buffer()).read_all() for cell in table.column("packed")])
     settled = table.filter(pa.compute.is_null(table.column("stretch")))
     open_rows = table.filter(pa.compute.is_valid(table.column("stretch")))
     columns = [settled.column(c) for c in ("doc", "mark", "start", "end")]
