@@ -26,22 +26,31 @@ SEGMENT_BITS = 32
 CROWDED = 1000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits set in more than half of the XXH64 values of the text's word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 values of the text's word shingles, repeats included; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     last = max(0, len(words) - shingle)
     bounds = zip(starts[:last + 1].tolist(), (ends[min(shingle, len(words)) - 1:] - 1).tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in bounds), np.uint64, last + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in bounds), np.uint64, last + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the values."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bits set in more than half of the XXH64 values of the text's word shingles."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text, as a BIGINT of the same bits. NULL and blank texts have zero."""
 
@@ -131,3 +140,95 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROW
     named = rooted.join(names, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- likeness instead of a number of bits --------------------------------------------------------------------------------------
+
+#: Words in a shingle, 64-bit words in a wide fingerprint, and the likeness (Jaccard, of shingles) of near-duplicates.
+WIDE_SHINGLE, WIDE, LIKENESS = 5, 6, 0.8
+#: Segments that have a table, their least bits, and by how many bits they exceed the logarithm of the number of fingerprints.
+TABLES, LEAST_SEGMENT, SEGMENT_EXCESS = 12, 20, 2
+#: Owners of a table entry that are met pair by pair; beyond, the least ones of 64 kinds stand for all.
+WIDE_CROWDED = 64
+
+
+def most_apart(likeness: float, bits: int) -> int:
+    """Bits by which fingerprints of two sets of this Jaccard likeness differ on the average: their cosine's angle over a half turn."""
+    return round(bits * float(np.arccos(2 * likeness / (1 + likeness)) / np.pi))
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """(doc_id, wide): fingerprints of ``words`` times 64 bits over the set of a text's shingles, hashes mixed anew for every word."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for text in part.column(1):
+                    hashes = np.unique(shingle_hashes(text.as_py(), shingle))
+                    marks = []
+                    for k in range(words):
+                        h = (hashes + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+                        h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+                        marks.append(majority(h ^ h >> np.uint64(29)) if len(h) else 0)
+                    rows.append(np.array(marks, np.uint64).view(np.int64).tolist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "wide"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(mark, "doc_id bigint, wide array<bigint>")
+
+
+def _wide_entries(nodes: DataFrame, segment: int, tables: int, ball: bool) -> DataFrame:
+    """(entry, node, first, own): nodes under the values of their segments and, with ``ball``, under those with one set bit cleared."""
+    rows = []
+    for number in range(tables):
+        word, place = divmod(number, 64 // segment)
+        value = F.shiftrightunsigned(F.element_at("wide", word + 1), segment * place).bitwiseAND((1 << segment) - 1)
+        base = number * (1 << segment)
+        rows.append(F.struct((value + base).alias("entry"), F.lit(True).alias("own")))
+        if ball:
+            rows += [F.when(value.bitwiseAND(1 << bit) != 0, F.struct((value - (1 << bit) + base).alias("entry"), F.lit(False).alias("own"))) for bit in range(segment)]
+    first = F.element_at("wide", -1)
+    return nodes.select("node", first.alias("first"), F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.entry", "node", "first", "x.own")
+
+
+def like_links(nodes: DataFrame, likeness: float = LIKENESS, words: int = WIDE, tables: int = TABLES, crowded: int = WIDE_CROWDED) -> DataFrame:
+    """(a, b): nodes whose wide fingerprints differ by few enough bits for ``likeness``.
+
+    ``nodes`` has a number and a distinct fingerprint in each row. A pair is found if one of its segments differs by one bit at most.
+    Segments are long enough for chance meetings to stay in proportion to the nodes. The last word's distance, which travels along,
+    drops most of them; what is left is checked in full. An entry's owners beyond ``crowded`` are represented by the least of
+    those alike in six more bits, so that a crowd costs rows in proportion to its size.
+    """
+    segment = max(LEAST_SEGMENT, nodes.count().bit_length() + SEGMENT_EXCESS)
+    tables = min(tables, words * (64 // segment))
+    owners = _wide_entries(nodes, segment, tables, False).select("entry", F.col("node").alias("b"), F.col("first").alias("other"))
+    sizes = owners.groupBy("entry").agg(F.count("*").alias("n"))
+    sized = settle(owners.join(sizes, "entry"))
+    kind = F.col("other").bitwiseAND(crowded - 1).alias("kind")
+    least = sized.where(F.col("n") > crowded).groupBy("entry", kind).agg(F.min(F.struct("b", "other")).alias("c")).select("entry", "c.b", "c.other")
+    table = sized.where(F.col("n") <= crowded).select("entry", "b", "other").unionByName(least)
+    near = F.bit_count(F.col("first").bitwiseXOR(F.col("other"))) <= most_apart(likeness, 64) + 11
+    found = _wide_entries(nodes, segment, tables, True).join(table, "entry").where(near & (F.col("node") != F.col("b")))
+    pairs = found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    sides = [nodes.select(F.col("node").alias(side), F.col("wide").alias(f"wide_{side}")) for side in "ab"]
+    apart = sum((F.bit_count(F.element_at("wide_a", k + 1).bitwiseXOR(F.element_at("wide_b", k + 1))) for k in range(words)), F.lit(0))
+    # half a standard deviation above the average of pairs that are just alike enough
+    allowed = most_apart(likeness, 64 * words) + round(0.5 * (64 * words * 0.13) ** 0.5)
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(apart <= allowed).select("a", "b")
+
+
+def like_groups(docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = WIDE_CROWDED) -> DataFrame:
+    """(doc_id, component_id): one row for every input row, groups linked by likeness; equal fingerprints are always linked.
+
+    Texts without words, NULL ones included, have fingerprint zero and form one group.
+    """
+    marked = settle(wide_fingerprints(docs, shingle, words))
+    key = F.concat_ws(",", F.transform("wide", lambda w: F.hex(w)))
+    # a fingerprint's number is its least doc_id; fingerprints without one can't be named and are left alone
+    nodes = settle(marked.where("doc_id IS NOT NULL").groupBy(key.alias("key")).agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")))
+    numbered = settle(nodes.withColumn("least", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(like_links(numbered, likeness, words, TABLES, crowded), "a", "b").withColumnRenamed("node", "member")
+    rooted = settle(numbered.join(roots, F.col("node") == F.col("member"), "left").select("key", "least", F.coalesce("root", "node").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, "root").select("key", "component_id")
+    return marked.select("doc_id", key.alias("key")).join(named, "key", "left").select("doc_id", "component_id")
