@@ -97,8 +97,8 @@ def _rank() -> Column:
     return F.floor(F.log2("n") * 8)
 
 
-def head_of(table: DataFrame, most: int, most_bytes: int) -> tuple[dict[str, list[int]], int, bool]:
-    """The most frequent words and their ids, the least step they reach down to, and whether any word is left out.
+def head_of(table: DataFrame, most: int, most_bytes: int, entry: Callable) -> tuple[dict[str, tuple], int, bool]:
+    """The most frequent words with ``entry`` of their ids, the least step they reach down to, and whether any word is left out.
 
     Whole steps are taken while both bounds hold, so what is sent to the driver and to the tasks is bounded at any size of table.
     """
@@ -111,7 +111,7 @@ def head_of(table: DataFrame, most: int, most_bytes: int) -> tuple[dict[str, lis
             break
         least = step["step"]
     head = table.where(_rank() >= least).select("word", "ids").toArrow()
-    return dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist(), strict=True)), least, left
+    return dict(zip(head.column(0).to_pylist(), map(entry, head.column(1).to_pylist()), strict=True)), least, left
 
 
 def pieces_of(path: str) -> list[str]:
@@ -120,8 +120,8 @@ def pieces_of(path: str) -> list[str]:
     return [tokenizer.id_to_token(i) or "" for i in range(max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)]
 
 
-def _assembler(docs: DataFrame, head, finish: Callable, schema: str, unpack: bool) -> DataFrame:
-    """Every text's ids in its words' places. A batch's own words come in ``words``, lists of (word, ids)."""
+def _assembler(docs: DataFrame, head, entry: Callable, finish: Callable, schema: str, unpack: bool) -> DataFrame:
+    """What the table has for every text's words, in the words' places. A batch's own words come in ``words``, lists of (word, ids)."""
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.get
@@ -129,24 +129,24 @@ def _assembler(docs: DataFrame, head, finish: Callable, schema: str, unpack: boo
         for batch in batches:
             for part in slices(batch, *(("packed", SLICE_BYTES // 3) if unpack else ("text",))):
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                own = {w["word"]: w["ids"] for words in part.column(2).to_pylist() for w in words or ()} if unpack else {}
+                own = {w["word"]: entry(w["ids"]) for words in part.column(2).to_pylist() for w in words or ()} if unpack else {}
                 rows = []
                 for key, text in zip(keys, texts, strict=True):
                     words = split_words(open_text(text).decode() if unpack else text or "")
-                    rows.append((key, list(chain.from_iterable([known(w) or own[w] for w in words]))))
+                    rows.append((key, [known(w) or own[w] for w in words]))
                 yield finish(rows)
 
     return docs.mapInArrow(assemble, schema)
 
 
-def _encode_all(docs: DataFrame, path: str, finish: Callable, schema: str, head_words: int, head_bytes: int) -> DataFrame:
+def _encode_all(docs: DataFrame, path: str, entry: Callable, finish: Callable, schema: str, head_words: int, head_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     table = settle(word_table(count_words(docs), path))
-    words, least, left = head_of(table, head_words, head_bytes)
+    words, least, left = head_of(table, head_words, head_bytes, entry)
     head = spark.sparkContext.broadcast(words)
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
     if not left:
-        return _assembler(texts, head, finish, schema, False)
+        return _assembler(texts, head, entry, finish, schema, False)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close_text = zstandard.ZstdCompressor(level=6).compress
@@ -174,14 +174,23 @@ def _encode_all(docs: DataFrame, path: str, finish: Callable, schema: str, head_
     rare = table.where(_rank() < least).select("word", "ids")
     answers = asked.join(rare, "word").groupBy("mark").agg(F.collect_set(F.struct("word", "ids")).alias("words"))
     packed = marked.mapInArrow(pack, "doc_id bigint, mark bigint, packed binary")
-    return _assembler(packed.join(answers, "mark", "left").select("doc_id", "packed", "words"), head, finish, schema, True)
+    return _assembler(packed.join(answers, "mark", "left").select("doc_id", "packed", "words"), head, entry, finish, schema, True)
 
 
-def _decoder(pieces):
-    def decode(ids: list[int]) -> str:
-        return " ".join(map(pieces.value.__getitem__, ids))
+class Pieces:
+    """What a word's ids come to: looked up in the table of pieces once for each word, not for each place it has."""
 
-    return decode
+    def __init__(self, held):
+        self.held = held
+
+    def decode(self, ids: list[int]) -> str:
+        return " ".join(map(self.held.value.__getitem__, ids))
+
+    def listed(self, ids: list[int]) -> tuple[list[int], str]:
+        return ids, self.decode(ids)
+
+    def counted(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
 
 def encode(docs: DataFrame, path: str, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
@@ -189,25 +198,41 @@ def encode(docs: DataFrame, path: str, head_words: int = HEAD_WORDS, head_bytes:
 
     A NULL text is an empty one and has no ids. One row for every input row, repeated rows and NULL keys included.
     """
-    decode = _decoder(docs.sparkSession.sparkContext.broadcast(pieces_of(path)))
+    pieces = Pieces(docs.sparkSession.sparkContext.broadcast(pieces_of(path)))
 
     def finish(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([decode(r[1]) for r in rows], pa.string())],
-            names=["doc_id", "ids", "decoded"])
+        ids = [list(chain.from_iterable([w[0] for w in words])) for _, words in rows]
+        decoded = [" ".join([w[1] for w in words if w[0]]) for _, words in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                                          names=["doc_id", "ids", "decoded"])
+
+    return _encode_all(docs, path, pieces.listed, finish, ENCODED_SCHEMA, head_words, head_bytes)
 
-    return _encode_all(docs, path, finish, ENCODED_SCHEMA, head_words, head_bytes)
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, decoded: texts of (doc_id, ids) rows through a join of every id with its piece; NULL ids are none.
+
+    The table of pieces has a row for each id of the vocabulary, so it is small whatever the texts' number.
+    """
+    spark = encoded.sparkSession
+    pieces = spark.createDataFrame(list(enumerate(pieces_of(path))), "id int, piece string")
+    rows = settle(encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"))
+    each = rows.select("row", F.posexplode("ids").alias("place", "id")).join(F.broadcast(pieces), "id")
+    texts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))
+    return rows.join(texts, "row", "left").select("doc_id", F.coalesce(F.array_join("p.piece", " "), F.lit("")).alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """doc_id, n_tokens and digests of the decimal ids and of the decoded text, as ``encode`` finds them."""
-    decode = _decoder(docs.sparkSession.sparkContext.broadcast(pieces_of(path)))
+    pieces = Pieces(docs.sparkSession.sparkContext.broadcast(pieces_of(path)))
 
     def finish(rows: list) -> pa.RecordBatch:
-        decimal = [hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for _, ids in rows]
-        decoded = [hashlib.sha256(decode(ids).encode()).hexdigest() for _, ids in rows]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array(decimal), pa.array(decoded)],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _encode_all(docs, path, finish, DIGEST_SCHEMA, head_words, head_bytes)
+        found = []
+        for _, words in rows:
+            count, decimal, decoded = zip(*words, strict=True) if words else ((), (), ())
+            found.append((sum(count), *(hashlib.sha256(" ".join(filter(None, part)).encode()).hexdigest() for part in (decimal, decoded))))
+        kinds = (pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))],
+                                          names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encode_all(docs, path, pieces.counted, finish, DIGEST_SCHEMA, head_words, head_bytes)
