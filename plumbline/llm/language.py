@@ -165,6 +165,8 @@ def best_paths(scores: np.ndarray, rows: np.ndarray, lengths: np.ndarray, switch
     ``scores`` has a row for each language; ``rows`` holds the words of all texts, one text after another, as its columns. A switch
     comes from the best language, so a step needs its place only, not all pairs of languages.
     """
+    if not len(rows):
+        return np.zeros(0, np.int64)
     order = np.argsort(-lengths, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))

@@ -234,12 +234,12 @@ def predict(docs: DataFrame, letters: np.ndarray, scorer: Scorer | None) -> Data
     held = docs.sparkSession.sparkContext.broadcast(scorer and (scorer.weights, scorer.coefficients))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, coefficients = held.value or ({}, np.array([-1e9, 0, 0, 0]))
+        weights, coefficients = held.value or ({}, None)
         weigh = Weigher(model.value, weights)
         for batch in batches:
             for part in slices(batch):
                 x = np.array([weigh(t.as_py()) for t in part.column(part.schema.names.index("text"))], float)
-                found = logistic.sigmoid(x @ coefficients)
+                found = np.zeros(len(x)) if coefficients is None else logistic.sigmoid(x @ coefficients)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))],
                                                  names=[*part.schema.names, "score", "predicted"])
 
