@@ -120,25 +120,48 @@ def pieces_of(path: str) -> list[str]:
     return [tokenizer.id_to_token(i) or "" for i in range(max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)]
 
 
-def _assembler(docs: DataFrame, head, entry: Callable, finish: Callable, schema: str, unpack: bool) -> DataFrame:
-    """What the table has for every text's words, in the words' places. A batch's own words come in ``words``, lists of (word, ids)."""
+def _assembler(docs: DataFrame, path: str, head, entry: Callable, finish: Callable, schema: str, packed: bool) -> DataFrame:
+    """What the table has for every text's words, in the words' places.
+
+    Packed texts are words already, and bring what the table has for their own rare words, by the words' places in their order. Should
+    two texts share a mark, their answers don't fit the order, and the tokenizer is asked instead.
+    """
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.get
+        known = head.value
         open_text = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in slices(batch, *(("packed", SLICE_BYTES // 3) if unpack else ("text",))):
-                keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                own = {w["word"]: entry(w["ids"]) for words in part.column(2).to_pylist() for w in words or ()} if unpack else {}
-                rows = []
-                for key, text in zip(keys, texts, strict=True):
-                    words = split_words(open_text(text).decode() if unpack else text or "")
-                    rows.append((key, [known(w) or own[w] for w in words]))
+            for part in slices(batch, *(("packed", SLICE_BYTES // 3) if packed else ("text",))):
+                rows, last, words = [], None, []
+                for i, key in enumerate(part.column(0).to_pylist()):
+                    text = part.column(1)[i].as_py() or ""
+                    if not packed:
+                        words = list(map(known.__getitem__, split_words(text)))
+                    elif text != last:
+                        last, said = text, _words_of(open_text(text))
+                        own = {}
+                        if part.column(2)[i].is_valid:
+                            rare = part.column(2)[i].values
+                            order = _rare_words(said, known)
+                            own = {order[k]: entry(ids) for k, ids in zip(rare.field("k").to_pylist(), rare.field("ids").to_pylist(), strict=True) if k < len(order)}
+                            if not len(own) == len(order) == len(rare):
+                                own = {w: entry(e.ids) for w, e in zip(order, load(path).encode_batch(order, add_special_tokens=False), strict=True)}
+                        words = [known[w] if w in known else own[w] for w in said]
+                    rows.append((key, words))
                 yield finish(rows)
 
     return docs.mapInArrow(assemble, schema)
 
 
+def _words_of(packed: bytes) -> list[str]:
+    """Words of a packed text; no word holds a space."""
+    return packed.decode("utf-8", "surrogatepass").split(" ") if packed else []
+
+
+def _rare_words(words: Iterable[str], known: dict) -> list[str]:
+    return sorted({w for w in words if w not in known})
+
+
 def _encode_all(docs: DataFrame, path: str, entry: Callable, finish: Callable, schema: str, head_words: int, head_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     table = settle(word_table(count_words(docs), path))
@@ -146,35 +169,36 @@ def _encode_all(docs: DataFrame, path: str, entry: Callable, finish: Callable, s
     head = spark.sparkContext.broadcast(words)
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
     if not left:
-        return _assembler(texts, head, entry, finish, schema, False)
+        return _assembler(texts, path, head, entry, finish, schema, False)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close_text = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
-            raw = [close_text((t.as_py() or "").encode()) for t in batch.column(1)]
+            raw = [close_text(" ".join(split_words(t.as_py() or "")).encode("utf-8", "surrogatepass")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary())], names=["doc_id", "mark", "packed"])
 
     def missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, asked = head.value, set()
         for batch in batches:
             for part in slices(batch):
-                marks, rare = [], []
+                marks, places, rare = [], [], []
                 for text, mark in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if mark in asked:
+                    if (seen := (mark, hash(text))) in asked:
                         continue
-                    asked.add(mark)
-                    new = {w for w in split_words(text or "") if w not in known}
+                    asked.add(seen)
+                    new = _rare_words(split_words(text or ""), known)
                     marks += [mark] * len(new)
+                    places += range(len(new))
                     rare += new
-                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(rare, pa.string())], names=["mark", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(places, pa.int32()), pa.array(rare, pa.string())], names=["mark", "k", "word"])
 
-    # Rare words by a hash of the text: equal texts ask once for all, and a collision only brings words that go unused.
+    # By a hash of the text, equal texts ask once for all; what comes back is told apart by the rare words' order.
     marked = texts.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    asked = marked.select("text", "mark").mapInArrow(missing, "mark bigint, word string")
+    asked = marked.select("text", "mark").mapInArrow(missing, "mark bigint, k int, word string")
     rare = table.where(_rank() < least).select("word", "ids")
-    answers = asked.join(rare, "word").groupBy("mark").agg(F.collect_set(F.struct("word", "ids")).alias("words"))
+    answers = asked.join(rare, "word").groupBy("mark").agg(F.collect_set(F.struct("k", "ids")).alias("words"))
     packed = marked.mapInArrow(pack, "doc_id bigint, mark bigint, packed binary")
-    return _assembler(packed.join(answers, "mark", "left").select("doc_id", "packed", "words"), head, entry, finish, schema, True)
+    return _assembler(packed.join(answers, "mark", "left").select("doc_id", "packed", "words"), path, head, entry, finish, schema, True)
 
 
 class Pieces:
@@ -189,8 +213,8 @@ class Pieces:
     def listed(self, ids: list[int]) -> tuple[list[int], str]:
         return ids, self.decode(ids)
 
-    def counted(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def counted(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), self.decode(ids)
 
 
 def encode(docs: DataFrame, path: str, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
@@ -229,8 +253,8 @@ def digests(docs: DataFrame, path: str, head_words: int = HEAD_WORDS, head_bytes
     def finish(rows: list) -> pa.RecordBatch:
         found = []
         for _, words in rows:
-            count, decimal, decoded = zip(*words, strict=True) if words else ((), (), ())
-            found.append((sum(count), *(hashlib.sha256(" ".join(filter(None, part)).encode()).hexdigest() for part in (decimal, decoded))))
+            decimal, decoded = (" ".join([w[k] for w in words if w[0]]) for k in (0, 1))
+            found.append((decimal.count(" ") + 1 if decimal else 0, *(hashlib.sha256(part.encode()).hexdigest() for part in (decimal, decoded))))
         kinds = (pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))],
                                           names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
