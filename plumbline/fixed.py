@@ -17,7 +17,6 @@ DEFAULT_EXCLUDED_WRITERS = ("0431",)
 DEFAULT_EXCLUDED_TEXTS = ("6",)
 
 # -- component reject reasons --
-COMPONENT_REASONS = ("faint", "speck", "edge", "ruling", "blob", "oversized", "stray", "sparse")
 
 # -- alphabets, in index order; index 0 pads, index 1 stands for anything else --
 PAD_INDEX = 0
@@ -93,11 +92,14 @@ REQUIRED_METRICS = ("fid_floor", "cer_real", "retrieval_real")
 
 # -- name patterns --
 PAGE_NAME = r"(?i)^(\d{4})-(\d+)(?:-cropped)?\.(?:tif|tiff|png|jpg)$"
-CROPPED_NAME = r"(?i)^\d{4}-\d+-cropped\.(?:tif|tiff|png|jpg)$"
 PART_NAME = r"^(\d{4})-(\d+)-(\d+)-(\d+)-(.+)$"
 LINE_NAME = r"^(\d{4})-(\d+)-(\d+)$"
 IMAGE_SUFFIX = r"(?i)\.(?:tif|tiff|png|jpg)$"
-CODE_PREFIX = "NIB1"
+CODE_PREFIX = "ANSWERS"
 
 # -- fallback baseline, used only where nothing was measured --
 FALLBACK_BASELINE = {"fid_floor": 33.72, "cer_real": 0.1233, "retrieval_real": 0.669}
+
+# What ends a line, and what counts as white space.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+SPACE = r"[\s\p{Z}\x1c-\x1f\x{85}]"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -115,16 +116,16 @@ def alphabets() -> list[str]:
 
 def is_blank(text: Column) -> Column:
     """Nothing but whitespace, or nothing."""
-    return text.rlike(r"^[\s\p{Z}]*$")
+    return text.rlike(rf"\A{fixed.SPACE}*\z")
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words, none of them empty."""
-    return F.filter(F.split(text, r"[\s\p{Z}]+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"{fixed.SPACE}+"), lambda w: w != "")
 
 
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s\p{Z}]+", "")
+    return F.regexp_replace(text, rf"{fixed.SPACE}+", "")
 
 
 def error_rate(prediction: Column, target: Column) -> Column:
@@ -153,53 +154,39 @@ def doubled_word(reading: Column, target: Column) -> Column:
     return F.get(F.array_except(_echoes(reading), _echoes(target)), F.lit(0))
 
 
+def _overruns(readings: pd.Series, targets: pd.Series) -> pd.Series:
+    """Row by row: the target's characters in turn over an array of reading positions.
+
+    A position holds cost and start as one number, cost first, so the least is the cheapest with the earliest start. What a
+    reading character costs beyond the target runs along the row as a running minimum.
+    """
+    found = []
+    for reading, target in zip(readings, targets, strict=True):
+        if reading is None or target is None:
+            found.append(None)
+            continue
+        seen = np.frombuffer(reading.encode("utf-32-le"), np.uint32)
+        n = len(seen)
+        edit = n + 1
+        along = np.arange(n + 1, dtype=np.int64) * edit
+        row = np.arange(n + 1, dtype=np.int64)
+        for char in np.frombuffer(target.encode("utf-32-le"), np.uint32):
+            best = np.minimum(row[:-1] + edit * (seen != char), row[1:] + edit)
+            row = np.minimum.accumulate(np.concatenate(([row[0] + edit], best)) - along) + along
+        cost, start = row // edit, row % edit
+        worse = np.maximum(start, n - np.arange(n + 1))
+        found.append(int(worse[cost == cost.min()].min()))
+    return pd.Series(found, dtype="Int32")
+
+
 def overrun(reading: Column, target: Column) -> Column:
     """Most characters the reading carries before or after its alignment with the target.
 
     The target is aligned whole; the alignment may begin and end anywhere in the
-    reading. State: an array over reading positions of (cost, start), the least
-    first, so equal costs take the earlier start. The last row is reduced to the
-    alignment of least cost that leaves least outside on its worse side.
+    reading. Equal costs take the earlier start; of the alignments of least cost the
+    one that leaves least outside on its worse side counts. NULL for a NULL argument.
     """
-    read, text = without_space(reading), without_space(target)
-    seen = F.when(F.length(read) == 0, F.array().cast("array<string>")).otherwise(F.split(read, ""))
-    asked = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
-    n = F.length(read)
-
-    def cell(cost: Column, start: Column) -> Column:
-        return F.struct(cost.cast("int").alias("c"), start.cast("int").alias("s"))
-
-    first = F.transform(F.sequence(F.lit(0), n), lambda j: cell(F.lit(0), j))
-
-    def next_row(above: Column, char: Column) -> Column:
-        head = F.array(cell(above[0]["c"] + 1, F.lit(0)))
-        moves = F.zip_with(
-            seen,
-            F.zip_with(F.slice(above, 1, n), F.slice(above, 2, F.greatest(n, F.lit(1))),
-                       lambda diagonal, up: F.struct(diagonal.alias("d"), up.alias("u"))),
-            lambda c, m: F.least(
-                cell(m["d"]["c"] + F.when(c == char, 0).otherwise(1), m["d"]["s"]),
-                cell(m["u"]["c"] + 1, m["u"]["s"]),
-            ),
-        )
-        return F.aggregate(
-            moves,
-            head,
-            lambda row, best: F.concat(
-                row,
-                F.array(F.least(best, cell(F.element_at(row, -1)["c"] + 1, F.element_at(row, -1)["s"]))),
-            ),
-        )
-
-    last = F.aggregate(asked, first, next_row)
-    ends = F.transform(
-        last,
-        lambda m, j: F.struct(
-            m["c"].alias("c"),
-            F.greatest(m["s"], n - j).cast("int").alias("worse"),
-        ),
-    )
-    return F.array_min(ends)["worse"]
+    return F.pandas_udf(_overruns, "int")(without_space(reading), without_space(target))
 
 
 def letters_of(text: Column) -> Column:

@@ -47,9 +47,11 @@ def vector_mean(df: DataFrame, by: list[str], v: str, out: str = "mean", d: int
     """Mean vector and row count per group.
 
     Up to 256 dimensions it is one map-side-combined aggregate with a sum per
-    dimension; wider vectors are summed as (position, value) rows.
+    dimension; wider vectors are summed as (position, value) rows. Rows without a
+    vector are left out, and so are groups that have no other.
     """
     d = d or width_of(df, v)
+    df = df.where(F.col(v).isNotNull())
     if d <= WIDE_VECTOR:
         means = F.array(*[F.avg(F.element_at(v, i + 1).cast("double")) for i in range(d)])
         return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), means.alias(out))

@@ -10,9 +10,10 @@ from plumbline.operators.skew import ROWS_PER_TASK, profile
 
 
 def breaker(
-    df: DataFrame, key: str, seq: str, ok: str, width: int | None = None, limit: int = fixed.MAX_CONSECUTIVE_FAILURES
+    df: DataFrame, key: str, seq: str, ok: str, width: int | None = None, limit: int = fixed.MAX_CONSECUTIVE_FAILURES,
+    tie: str | None = None,
 ) -> DataFrame:
-    """(key, dead, dead_at, failures) after all rows of each key in ``seq`` order.
+    """(key, dead, dead_at, failures) after all rows of each key in ``seq`` order, equal places by ``tie``, failures last.
 
     ``dead_at`` is the place of the failure that made ``limit`` in a row. ``failures``
     counts the running ones, and stays at ``limit`` once dead. A key's rows are cut
@@ -26,8 +27,9 @@ def breaker(
             ends = df.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
             width = max(1, (ends["hi"] - ends["lo"]) // -(-biggest // ROWS_PER_TASK))
     stretch = F.floor(F.col(seq) / F.lit(width)) if width else F.lit(0)
-    rows = df.select(key, F.col(seq).cast("bigint").alias("__q"), F.col(ok).alias("__ok"), stretch.cast("bigint").alias("__s"))
-    line = Window.partitionBy(key, "__s").orderBy("__q")
+    rows = df.select(key, F.col(seq).cast("bigint").alias("__q"), F.col(ok).alias("__ok"), stretch.cast("bigint").alias("__s"),
+                     (F.col(tie) if tie else F.lit(None)).alias("__t"))
+    line = Window.partitionBy(key, "__s").orderBy("__q", "__t", F.desc("__ok"))
     placed = rows.withColumn("__rn", F.row_number().over(line)).withColumn(
         "__since", F.max(F.when(F.col("__ok"), F.col("__rn"))).over(line.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("__k", F.col("__rn") - F.coalesce("__since", F.lit(0)))

@@ -108,9 +108,9 @@ def choose_readable(used: DataFrame, request: str) -> DataFrame:
 
 
 def choose_closest(used: DataFrame, request: str, similarity: str) -> DataFrame:
-    """The acceptable draw most similar to the page, else the least bad one.
+    """The acceptable draw most similar to the page, else the first acceptable, else the least bad one.
 
-    ``moved`` marks requests where that is not the first acceptable draw.
+    A draw without a similarity is never the most similar. ``moved`` marks requests where that is not the first acceptable draw.
     """
     rest = [c for c in used.columns if c != request]
     made = used.where(F.col("score").isNotNull())
@@ -118,10 +118,11 @@ def choose_closest(used: DataFrame, request: str, similarity: str) -> DataFrame:
     nearness = F.struct((-F.col(similarity)).alias("s"), F.col("attempt").alias("a"))
     picked = made.groupBy(request).agg(
         F.min(F.when(F.col("ok"), F.col("attempt"))).alias("__first"),
-        F.min_by(row, F.when(F.col("ok"), nearness)).alias("__near"),
+        F.min_by(row, F.when(F.col("ok") & F.col(similarity).isNotNull(), nearness)).alias("__near"),
+        F.min_by(row, F.when(F.col("ok"), F.col("attempt"))).alias("__early"),
         F.min_by(row, badness()).alias("__least"),
     )
-    chosen = picked.select(request, "__first", F.coalesce("__near", "__least").alias("r"))
+    chosen = picked.select(request, "__first", F.coalesce("__near", "__early", "__least").alias("r"))
     return chosen.select(request, "r.*", F.coalesce(F.col("r.attempt") != F.col("__first"), F.lit(False)).alias("moved"))
 
 
@@ -149,7 +150,7 @@ def selection_log(used: DataFrame, request: str) -> DataFrame:
         F.count(F.lit(1)).alias("requests"),
         F.sum("used").alias("draws"),
         (F.sum("used") / F.count(F.lit(1))).alias("draws_per_request"),
-        F.count_if((F.col("used") == 1) & F.col("any_ok")).alias("first_draw_accepted"),
+        F.count_if(F.col("used") == 1).alias("first_draw_accepted"),
         F.count_if((F.col("made") > 0) & ~F.col("any_ok")).alias("none_accepted"),
         F.count_if(F.col("made") == 0).alias("no_output"),
     )
@@ -195,8 +196,7 @@ def style_order(
 
     Inside the size range first: nearest its middle, or, by letters, covering most of
     the target's characters. Outside it: nearest the range. Without texts letters
-    cannot be told and width decides. A request tries at most ``MAX_ATTEMPTS``
-    references, so by default only that many are ranked out.
+    cannot be told and width decides. All references are ranked, or the first ``keep``.
     """
     if by not in fixed.ORDERINGS:
         raise ValueError(f"ordering must be one of {fixed.ORDERINGS}, not {by!r}")
@@ -211,7 +211,9 @@ def style_order(
         F.when(outside, F.lit(0.0)).otherwise(middle if by == "letters" else F.lit(0.0)),
         F.col(ord_),
     ]
-    return top_per_group(refs, request, order, keep or MAX_ATTEMPTS, "rank")
+    if keep:
+        return top_per_group(refs, request, order, keep, "rank")
+    return refs.withColumn("rank", F.row_number().over(Window.partitionBy(*request).orderBy(*order)))
 
 
 def style_cycle(attempts: DataFrame, ranked: DataFrame, request: str) -> DataFrame:

@@ -116,7 +116,7 @@ def score_against(
             )
             return pd.DataFrame({**{c: left[c].to_numpy() for c in [*key, "__group"]}, **found})[columns]
 
-        parts = tiled_cogroup(q, g, [], key[0], "g", meet, schema, QUERY_BLOCK, GALLERY_TILE)
+        parts = tiled_cogroup(q, g, [], key, "g", meet, schema, QUERY_BLOCK, GALLERY_TILE)
         best = F.array_sort(F.flatten(F.collect_list("top")), lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1)
                             .when(a["g"] < b["g"], -1).when(a["g"] > b["g"], 1).otherwise(0))
         scored = parts.groupBy(*key, "__group").agg(

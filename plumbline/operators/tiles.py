@@ -25,7 +25,7 @@ def _pieces(df: DataFrame, by: list[str], rows: int, name: str) -> tuple[DataFra
 
 
 def tiled_cogroup(
-    left: DataFrame, right: DataFrame, by: list[str], left_key: str, right_key: str,
+    left: DataFrame, right: DataFrame, by: list[str], left_key: str | list[str], right_key: str | list[str],
     kernel: Callable, schema: str, block: int, tile: int,
 ) -> DataFrame:
     """Run ``kernel(left rows, right rows)`` on each block of left rows and tile of right rows.
@@ -46,8 +46,8 @@ def tiled_cogroup(
     def every(count: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), count - 1))
 
-    def one(count: Column, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), count).cast("int")
+    def one(count: Column, key: str | list[str]) -> Column:
+        return F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), count).cast("int")
 
     l = place(left).withColumn("__block", one(blocks, left_key)).withColumn("__tile", every(tiles))
     r = place(right).withColumn("__tile", one(tiles, right_key)).withColumn("__block", every(blocks))

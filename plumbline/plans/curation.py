@@ -286,10 +286,10 @@ def validate_forms(read):
 WITH c AS (
   SELECT doc_id, list_transform(string_split(text, ''), lambda ch:
     CASE WHEN strpos({SQL_ENGLISH}, ch) > 0 THEN strpos({SQL_ENGLISH}, ch) + 1 ELSE 1 END) AS codes
-  FROM documents WHERE length(text) > 0)
+  FROM documents)
 SELECT doc_id, len(codes)::INT AS n, md5(array_to_string(codes, ',')) AS codes_md5 FROM c""")
 def charset_encode(read):
-    codes = read("documents").where(F.length("text") > 0).select(
+    codes = read("documents").select(
         "doc_id", tx.alphabet("english").encode(F.col("text")).alias("codes")
     )
     return codes.select("doc_id", F.size("codes").alias("n"), F.md5(F.array_join("codes", ",")).alias("codes_md5"))

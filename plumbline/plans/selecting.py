@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions.text import letters_of
 from plumbline.operators import selection, similarity
 from plumbline.operators.sampling import style_refs
-from plumbline.operators.skew import top_per_group
 from plumbline.plans.registry import query, r6
 
 ORDER = [
@@ -18,10 +18,9 @@ ORDER = [
 
 
 def draws(read):
-    """An order's line items in turn are its request's attempts; no run makes more than eight."""
-    rows = top_per_group(
-        read("lineitem"), ["l_orderkey"], [F.col(c) for c in ORDER], selection.MAX_ATTEMPTS, "attempt"
-    )
+    """An order's line items in turn are its request's attempts."""
+    turn = Window.partitionBy("l_orderkey").orderBy(*ORDER)
+    rows = read("lineitem").withColumn("attempt", F.row_number().over(turn))
     return rows.select(
         F.col("l_orderkey").alias("request"), "attempt",
         F.when(F.col("l_quantity") > 3, F.round(F.abs("l_discount") * 8, 4)).alias("score"),
@@ -44,8 +43,9 @@ WITH d AS (
          CASE WHEN l_linenumber = 7 THEN 'the' END AS doubled, (l_suppkey % 97) / 97.0::DOUBLE AS similarity,
          l_quantity >= 45 AS truncated, l_partkey || ' ' || l_returnflag AS text
   FROM lineitem),
-m AS (SELECT *, coalesce(score <= 0.5 AND overrun <= 2 AND coalesce(support, 0) <= 10
-                         AND coalesce(width_ratio >= 0.70 AND width_ratio < 1.40, true) AND doubled IS NULL, false) AS ok FROM d WHERE attempt <= 8),
+a AS (SELECT *, coalesce(score <= 0.5 AND overrun <= 2 AND coalesce(support, 0) <= 10
+                         AND coalesce(width_ratio >= 0.70 AND width_ratio < 1.40, true) AND doubled IS NULL, false) AS ok FROM d),
+m AS (SELECT * FROM a WHERE attempt <= 8),
 f AS (SELECT request, min(attempt) FILTER (ok) AS first FROM m GROUP BY 1),
 used AS (SELECT m.* FROM m JOIN f USING (request) WHERE attempt <= coalesce(first, 8)),
 hand AS (SELECT m.*, first FROM m JOIN f USING (request) WHERE attempt <= coalesce(greatest(first, 4), 8))
@@ -60,7 +60,7 @@ def hand(read):
     return selection.draws_used(draws(read), "request", "hand")
 
 
-@query("acceptable", SQL_DRAWS + "SELECT request, attempt, ok FROM m")
+@query("acceptable", SQL_DRAWS + "SELECT request, attempt, ok FROM a")
 def acceptable(read):
     ok = F.coalesce(selection.acceptable(), F.lit(False))
     return draws(read).select("request", "attempt", ok.alias("ok"))
@@ -88,7 +88,7 @@ def choose_readable(read):
 
 @query("choose_closest", SQL_DRAWS + f"""
 SELECT request, attempt, score, ok, coalesce(attempt <> first, false) AS moved FROM hand WHERE score IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT ok, CASE WHEN ok THEN -similarity END, CASE WHEN ok THEN attempt END, {BADNESS}) = 1""")
+QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT ok, CASE WHEN ok THEN -similarity END NULLS LAST, CASE WHEN ok THEN attempt END, {BADNESS}) = 1""")
 def choose_closest(read):
     return selection.choose_closest(hand(read), "request", "similarity").select("request", "attempt", "score", "ok", "moved")
 
@@ -109,7 +109,7 @@ def rejections(read):
 @query("selection_log", SQL_DRAWS + f""",
 p AS (SELECT request, count(*) AS used, count(score) AS made, bool_or(ok) AS any_ok FROM used GROUP BY 1),
 t AS (SELECT count(*) AS requests, sum(used)::BIGINT AS draws, round(sum(used) / count(*), 6) AS draws_per_request,
-             count(*) FILTER (used = 1 AND any_ok) AS first_draw_accepted, count(*) FILTER (made > 0 AND NOT any_ok) AS none_accepted,
+             count(*) FILTER (used = 1) AS first_draw_accepted, count(*) FILTER (made > 0 AND NOT any_ok) AS none_accepted,
              count(*) FILTER (made = 0) AS no_output FROM p),
 x AS (SELECT {SQL_FAULTS} FROM used)
 SELECT * FROM t, x""")
@@ -119,7 +119,7 @@ def selection_log(read):
 
 @query("moved_by_hand", SQL_DRAWS + f""",
 c AS (SELECT *, coalesce(attempt <> first, false) AS moved FROM hand WHERE score IS NOT NULL
-      QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT ok, CASE WHEN ok THEN -similarity END, CASE WHEN ok THEN attempt END, {BADNESS}) = 1)
+      QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT ok, CASE WHEN ok THEN -similarity END NULLS LAST, CASE WHEN ok THEN attempt END, {BADNESS}) = 1)
 SELECT count(*) FILTER (moved) AS moved_by_hand, count(*) AS requests FROM c""")
 def moved_by_hand(read):
     chosen = selection.choose_closest(hand(read), "request", "similarity")

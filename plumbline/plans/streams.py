@@ -15,10 +15,12 @@ from plumbline.streaming import streams
 
 
 def as_stream(read, name):
-    """A sample table's file as a stream."""
+    """All of a sample table's files as a stream: those of its folder, or the table's one file."""
     table = read(name)
-    folder, _, file = table.inputFiles()[0].rpartition("/")
-    return streams.file_stream(table.sparkSession, folder, table.schema, pattern=file)
+    places = {file.rpartition("/")[::2] for file in table.inputFiles()}
+    folder = min(place for place, _ in places)
+    pattern = min(file for _, file in places) if len(places) == 1 else "*.parquet"
+    return streams.file_stream(table.sparkSession, folder, table.schema, pattern=pattern)
 
 
 @query("stream_manifest", f"""
@@ -44,7 +46,7 @@ def stream_metrics(read):
 
 
 @query("stream_first_ok", SQL_DRAWS + f"""
-SELECT request, attempt, score, ok FROM m WHERE score IS NOT NULL
+SELECT request, attempt, score, ok FROM a WHERE score IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT ok, CASE WHEN ok THEN attempt END, {BADNESS}) = 1""")
 def stream_first_ok(read):
     made = draws(read)
@@ -74,15 +76,15 @@ SELECT user_id, dead_at IS NOT NULL AS dead, dead_at, (CASE WHEN dead_at IS NOT
 
 
 def outcomes(rows):
-    return rows.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("q"), (F.col("event_type") != "error").alias("ok"))
+    return rows.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("q"), (F.col("event_type") != "error").alias("ok"))
 
 
 @query("stream_breaker", SQL_BREAKER)
 def stream_breaker(read):
-    followed = streams.stream_breaker(outcomes(as_stream(read, "events")), "user_id", "q", "ok")
+    followed = streams.stream_breaker(outcomes(as_stream(read, "events")), "user_id", "q", "ok", tie="event_id")
     return streams.collect_updates(followed, ["user_id"])
 
 
 @query("breaker", SQL_BREAKER)
 def breaker(read):
-    return stop_rule.breaker(outcomes(read("events")), "user_id", "q", "ok", width=86_400_000_000)
+    return stop_rule.breaker(outcomes(read("events")), "user_id", "q", "ok", width=86_400_000_000, tie="event_id")

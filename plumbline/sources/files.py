@@ -148,15 +148,15 @@ def numbered_text(spark: SparkSession, path: str) -> DataFrame:
 
 def number_lines(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
     """Lines of ``text``, numbered from 1; an end-of-line at the very end adds no line."""
-    body = F.regexp_replace(text, r"\r?\n\z", "")
-    rows = df.where(F.length(text) > 0).select(*keep, F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "text"))
+    body = F.regexp_replace(text, rf"(?:{fixed.LINE_END})\z", "")
+    rows = df.where(F.length(text) > 0).select(*keep, F.posexplode(F.split(body, fixed.LINE_END)).alias("line_no", "text"))
     return rows.withColumn("line_no", F.col("line_no") + 1)
 
 
-def parse_codes(df: DataFrame, value: Column) -> DataFrame:
-    """(judge, trial, choice) from answer codes, one code a line; other lines are passed over."""
+def parse_codes(df: DataFrame, value: Column, prefix: str = fixed.CODE_PREFIX) -> DataFrame:
+    """(judge, trial, choice) from answer codes that begin with ``prefix``, one code a line; other lines are passed over."""
     fields = F.split(F.trim(value), ";", 3)
-    lines = df.select(fields.alias("f")).where((F.col("f")[0] == fixed.CODE_PREFIX) & (F.size("f") == 3))
+    lines = df.select(fields.alias("f")).where((F.col("f")[0] == prefix) & (F.size("f") == 3))
     items = lines.select(
         F.col("f")[1].alias("judge"),
         F.explode(F.filter(F.split(F.col("f")[2], r"\s+"), lambda w: w != "")).alias("item"),

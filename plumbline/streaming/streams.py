@@ -160,19 +160,23 @@ def stream_first_ok(draws: DataFrame, request: str, ts: str, lateness: str, pati
     )
 
 
-def stream_breaker(events: DataFrame, key: str, seq: str, ok: str, limit: int = fixed.MAX_CONSECUTIVE_FAILURES) -> DataFrame:
+def stream_breaker(
+    events: DataFrame, key: str, seq: str, ok: str, limit: int = fixed.MAX_CONSECUTIVE_FAILURES, tie: str | None = None
+) -> DataFrame:
     """(key, dead, dead_at, failures) after each batch: the stop rule on arriving events.
 
-    A key's rows of one batch are put in order of ``seq`` first; how many those can
+    A key's rows of one batch are put in order of ``seq`` first, equal places by ``tie``, failures last; how many those can
     be is set by the source's rows per trigger. State is two numbers per key.
     """
     kind = events.schema[key].dataType.simpleString()
-    rows = events.select(key, F.col(seq).cast("bigint").alias("q"), F.col(ok).alias("ok"))
+    rows = events.select(
+        key, F.col(seq).cast("bigint").alias("q"), F.col(ok).alias("ok"), (F.col(tie) if tie else F.lit(0)).alias("tie")
+    )
 
     def follow(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, dead_at = state.get if state.exists else (0, None)
         if dead_at is None:
-            batch = pd.concat(list(frames)).sort_values("q")
+            batch = pd.concat(list(frames)).sort_values(["q", "tie", "ok"], ascending=[True, True, False])
             failed = ~batch["ok"].to_numpy(bool)
             for place, fail in zip(batch["q"].to_numpy(), failed, strict=True):
                 run = run + 1 if fail else 0

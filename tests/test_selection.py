@@ -64,11 +64,24 @@ def test_closest(spark):
 def test_log(spark):
     df = draws(spark, (1, 1, 0.1), (2, 1, 0.3, {"overrun": 5, "support": 12.0}), (2, 2, 0.2), (3, 1, 0.9), (4, 1, None))
     log = selection.selection_log(selection.draws_used(df, "request"), "request").first()
-    assert (log["requests"], log["draws"], log["first_draw_accepted"], log["none_accepted"], log["no_output"]) == (4, 5, 1, 1, 1)
+    assert (log["requests"], log["draws"], log["first_draw_accepted"], log["none_accepted"], log["no_output"]) == (4, 5, 3, 1, 1)
     assert (log["rejected_for_overrun"], log["rejected_for_omission"], log["rejected_for_width"], log["rejected_for_doubling"]) == (1, 1, 0, 0)
     assert selection.no_output(df.select("request").distinct(), df, "request").collect()[0][0] == 4
 
 
+def test_closest_needs_a_similarity(spark):
+    df = draws(spark, (1, 1, 0.1, {"similarity": None}), (1, 2, 0.1, {"similarity": 0.9}), (2, 1, 0.2, {"similarity": None}), (2, 2, 0.1, {"similarity": None}))
+    used = selection.draws_used(df, "request", "hand")
+    picked = {r["request"]: r["attempt"] for r in selection.choose_closest(used, "request", "similarity").collect()}
+    assert picked == {1: 2, 2: 1}
+
+
+def test_style_order_ranks_all(spark):
+    refs = spark.range(12).selectExpr("1 AS request", "id AS ord", "double(id) AS size")
+    assert selection.style_order(refs, ["request"], "ord", "size").count() == 12
+    assert selection.style_order(refs, ["request"], "ord", "size", keep=3).count() == 3
+
+
 def test_style_order(spark):
     refs = spark.createDataFrame([(1, 0, 300.0, "zz"), (1, 1, 1090.0, "abc"), (1, 2, 810.0, "xy"), (1, 3, 1200.0, "abc"), (1, 4, 790.0, "a")],
                                  "request int, ord int, size double, text string").withColumn("target", F.lit("abc"))

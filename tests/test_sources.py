@@ -112,7 +112,7 @@ def test_numbered_text_and_codes(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\r\ntwo\n\nfour\n")
     rows = files.numbered_text(spark, str(tmp_path)).orderBy("line_no").collect()
     assert [(r["line_no"], r["text"]) for r in rows] == [(1, "one"), (2, "two"), (3, ""), (4, "four")]
-    lines = spark.createDataFrame([("NIB1;ann;1A 12B",), ("hello",), ("  NIB1;bob;3A  ",), ("NIB1;short",)], "value string")
+    lines = spark.createDataFrame([("ANSWERS;ann;1A 12B",), ("hello",), ("  ANSWERS;bob;3A  ",), ("ANSWERS;short",)], "value string")
     got = sorted(map(tuple, files.parse_codes(lines, F.col("value")).collect()))
     assert got == [("ann", 1, "A"), ("ann", 12, "B"), ("bob", 3, "A")]
 
