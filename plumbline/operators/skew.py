@@ -16,6 +16,7 @@ from plumbline.functions.hashing import HASH_BITS, seeded_hash
 
 ROWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 200_000
+MOST_PIECES = 2_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -32,6 +33,15 @@ def profile(df: DataFrame, by: list[str]) -> tuple[int, int]:
     return int(row["s"] or 0), int(row["m"] or 0)
 
 
+def place_code(df: DataFrame, column: str) -> Column:
+    """A double that never falls where ``column`` rises: numbers and times as they are, texts by their first bytes."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "string":
+        start = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(start, 16, 10).cast("double")
+    return (F.col(column).cast("timestamp") if kind == "date" else F.col(column)).cast("double")
+
+
 def spread_rank(
     df: DataFrame,
     by: list[str],
@@ -45,8 +55,9 @@ def spread_rank(
     """1-based place of each row in its group, by ``position`` and then ``key``.
 
     Without a ``position`` the order is the seeded one, by hash of (seed, key).
-    ``size`` also gives the group's row count. A hot group is cut into equal ranges of
-    the position, ranked within each, and shifted by the rows in the ranges before.
+    ``size`` also gives the group's row count. A hot group is cut at quantiles of the
+    position, so that outliers don't gather rows, ranked within each piece, and shifted
+    by the rows in the pieces before. Rows of equal position stay in one piece.
     """
     at = seeded_hash(seed, *key) if position is None else position
     work = df.withColumn("__at", at)
@@ -58,20 +69,17 @@ def spread_rank(
             out = out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by)))
         return out.drop("__at")
 
+    work = work.withColumn("__code", place_code(work, "__at"))
+    parts = min(MOST_PIECES, 2 * -(-biggest // rows_per_task))
+    cuts = F.percentile_approx("__code", [i / parts for i in range(1, parts)], 10_000).alias("__cuts")
     if by:
-        hot = (
-            work.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-            .where(F.col("__n") > rows_per_task)
-        )
+        hot = work.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), cuts).where(F.col("__n") > rows_per_task)
         cut = work.join(checked_broadcast(hot), by, "left")
     else:
-        ends = work.agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).first()
-        cut = work.select("*", F.lit(total).alias("__n"), F.lit(ends["lo"]).alias("__lo"), F.lit(ends["hi"]).alias("__hi"))
-    parts = F.ceil(F.col("__n") / F.lit(rows_per_task))
-    share = (F.col("__at") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1))
-    piece = F.least(F.floor(share * parts), parts - 1)
-    cut = cut.withColumn("__piece", F.coalesce(piece, F.lit(0)).cast("bigint"))
+        found = work.agg(cuts).first()["__cuts"] or []
+        cut = work.select("*", F.lit(total).alias("__n"), F.array(*map(F.lit, found)).cast("array<double>").alias("__cuts"))
+    piece = F.size(F.filter("__cuts", lambda c: c < F.col("__code")))
+    cut = cut.withColumn("__piece", F.when(F.col("__n").isNull(), 0).otherwise(piece).cast("bigint"))
     before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.where(F.col("__n").isNotNull())

@@ -109,7 +109,7 @@ def paired_diff_interval(read):
         F.sum(F.when(priority == "2", price).otherwise(0.0)).alias("second"), F.sum(price).alias("base"),
     )
     found = intervals.paired_diff_interval(units, ["o_custkey"], "first", "second", "base", resamples=200)
-    return shown(found).join(found.select("n", "verdict"), "n")
+    return shown(found, "verdict")
 
 
 @query("relative_change_interval", "WITH " + sql_boot(
@@ -119,7 +119,7 @@ def paired_diff_interval(read):
 def relative_change_interval(read):
     rows = read("events").where("value > 0")
     found = intervals.relative_change_interval(rows, "user_id", F.struct("ts", "event_id"), "value", resamples=1000)
-    return shown(found).join(found.select("n", "decision"), "n")
+    return shown(found, "decision")
 
 
 @query("frechet_interval")

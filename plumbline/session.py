@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,13 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
 
 
+def _own_folder() -> str:
+    """A folder for one machine's intermediate tables, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="spark-plumbline-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def build_session(master: str, app: str = "plumbline", shuffle_partitions: int = 8) -> SparkSession:
     """A session for one machine. On a cluster the submitter's settings are used instead."""
     spark = (
@@ -22,6 +31,7 @@ def build_session(master: str, app: str = "plumbline", shuffle_partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CHECKPOINT_CONF, _own_folder())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,7 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
     app = context.applicationId
     if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="spark-plumbline-", dir="/tmp")
+        _local_folders[app] = _own_folder()
     return _local_folders[app]
 
 

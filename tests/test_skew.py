@@ -170,3 +170,12 @@ def test_even_spread_refuses_too_many_targets(spark):
 def test_sides_are_balanced(spark):
     sides = sampling.balanced_sides(spark.range(31).withColumnRenamed("id", "trial"), "trial", 5)
     assert {r["side"]: r["count"] for r in sides.groupBy("side").count().collect()} == {"A": 16, "B": 15}
+
+
+def test_text_keys_and_outliers_are_cut(spark):
+    rows = [("a", f"k{i:03d}", float(i)) for i in range(200)] + [("a", "zz", 1e12), ("b", "k1", 1.0)]
+    df = spark.createDataFrame(rows, "group string, key string, value double")
+    for position in (F.col("key"), F.col("value")):
+        whole = spread_rank(df, ["group"], ["key"], name="rn", size="n", position=position)
+        cut = spread_rank(df.repartition(3), ["group"], ["key"], name="rn", size="n", position=position, rows_per_task=40)
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
