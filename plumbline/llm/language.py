@@ -34,10 +34,11 @@ FIRST = [a for a, _ in SCRIPTS]
 
 #: Documents of each language that the model is fitted on, at most. The held-out rows are never among them.
 SAMPLE = 3000
-#: Letters in a group; how often one has to occur; what a switch costs, in nats; a script's least share of a language's letters.
-GROUPS, LEAST, SWITCH, SCRIPT_SHARE = (1, 2, 3, 4), 3, 8.0, 0.005
+#: Letters in a group; cells that groups are hashed into, as a power of two; how often a cell has to occur; what a switch costs, in
+#: nats; a script's least share of a language's letters.
+GROUPS, CELLS, LEAST, SWITCH, SCRIPT_SHARE = (1, 2, 3, 4), 16, 3, 8.0, 0.005
 #: Distinct words whose scores a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 SLICE = 8 << 20
 
 
@@ -46,20 +47,40 @@ def script_of(letter: str) -> str:
     return SCRIPTS[at][1] if at >= 0 else "other"
 
 
-def groups_of(word: str) -> list[str]:
-    """Letter groups of a word between its bounds, and the whole word."""
-    marked = f"<{word}>"
-    return [marked[i:i + n] for n in GROUPS for i in range(len(marked) - n + 1)] + [f"={word}"]
+NAMES = sorted({name for _, name in SCRIPTS} | {"other"})
+
+
+def cells_of(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every size of letter group, and for whole words, the cell at every letter of "<word>", and where words begin.
+
+    A cell is -1 where no group of that size begins, so all sizes have the same letters.
+    """
+    marked = "<" + "><".join(words) + ">"
+    points = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(lengths) - lengths
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(points))
+    mixed = (points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    cells, hashes = [], np.zeros(len(points), np.uint64)
+    for size in range(1, max(GROUPS) + 1):
+        held = np.zeros(len(points), np.uint64)
+        held[:len(points) - size + 1] = mixed[size - 1:]
+        hashes = (hashes ^ held ^ hashes >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+        if size in GROUPS:
+            cells.append(np.where(left >= size, (hashes >> np.uint64(64 - CELLS)).astype(np.int64), -1))
+    place = (np.arange(len(points)) - np.repeat(starts, lengths)).astype(np.uint64)
+    whole = np.add.reduceat((mixed ^ mixed >> np.uint64(32)) * (2 * place + np.uint64(1)), starts) * np.uint64(0xC2B2AE3D27D4EB4F)
+    words_at = np.full(len(points), -1, np.int64)
+    words_at[starts] = (whole ^ whole >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELLS)
+    return [*cells, words_at], starts
 
 
 @dataclass
 class Model:
-    """Log-probabilities of letter groups for each language, and each script's languages."""
+    """Log-probabilities of the cells of letter groups for each language, and each script's languages."""
 
     languages: list[str]
-    rows: dict[str, int]
     scores: np.ndarray
-    unseen: np.ndarray
     scripts: dict[str, np.ndarray]
 
 
@@ -75,36 +96,36 @@ def fit(docs: DataFrame, modulus: int, remainder: int, sample: int = SAMPLE) ->
                 words[lang.as_py()].update(WORD.findall(text.as_py().lower()))
         rows = []
         for lang, seen in words.items():
-            counted: Counter[str] = Counter()
+            known, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+            if not known:
+                continue
+            cells, starts = cells_of(known)
+            weight = np.repeat(times, np.diff(np.append(starts, len(cells[0]))))
+            total = sum(np.bincount(c[c >= 0], weights=weight[c >= 0], minlength=1 << CELLS) for c in cells)
+            rows += [(lang, int(cell), int(total[cell])) for cell in np.flatnonzero(total)]
+            letters: Counter[str] = Counter()
             for word, n in seen.items():
-                for group in groups_of(word):
-                    counted[group] += n
-                counted["#" + script_of(word[0])] += n * len(word)
-            rows += [(lang, group, n) for group, n in counted.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))],
+                letters[script_of(word[0])] += n * len(word)
+            rows += [(lang, -1 - NAMES.index(name), n) for name, n in letters.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))],
                                          names=["lang", "feature", "n"])
 
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, feature string, n bigint")
-    table = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    frequent = table.groupBy("feature").agg(F.sum("n").alias("total")).where(f"total >= {LEAST}")
-    found = table.join(frequent, "feature").select("lang", "feature", "n").toArrow().to_pylist()
-    languages = sorted({r["lang"] for r in found})
-    rows: dict[str, int] = {}
-    for r in found:
-        if not r["feature"].startswith("#"):
-            rows.setdefault(r["feature"], len(rows))
-    counts = np.zeros((len(rows), len(languages)))
-    letters: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
+    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, feature bigint, n bigint")
+    # as many rows come to the driver as there are cells and languages, whatever the sample's size
+    found = counted.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(found.column(0).to_pylist()))
     place = {lang: i for i, lang in enumerate(languages)}
-    for r in found:
-        if r["feature"].startswith("#"):
-            letters[r["feature"][1:]][place[r["lang"]]] = r["n"]
-        else:
-            counts[rows[r["feature"]], place[r["lang"]]] = r["n"]
-    totals = counts.sum(axis=0) + len(rows) + 1
-    every = sum(letters.values(), np.zeros(len(languages)))
-    scripts = {s: n >= SCRIPT_SHARE * np.maximum(every, 1) for s, n in letters.items()}
-    return Model(languages, rows, np.log((counts + 1) / totals).astype(np.float32), np.log(1 / totals).astype(np.float32), scripts)
+    lang = np.array([place[x] for x in found.column(0).to_pylist()], np.int64)
+    feature, times = found.column(1).to_numpy(), found.column(2).to_numpy()
+    counts, letters = np.zeros((len(languages), 1 << CELLS)), np.zeros((len(languages), len(NAMES)))
+    cell = feature >= 0
+    counts[lang[cell], feature[cell]] = times[cell]
+    letters[lang[~cell], -1 - feature[~cell]] = times[~cell]
+    counts[:, counts.sum(axis=0) < LEAST] = 0
+    totals = counts.sum(axis=1, keepdims=True) + (counts.sum(axis=0) > 0).sum() + 1
+    share = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)
+    scripts = {name: share[:, i] >= SCRIPT_SHARE for i, name in enumerate(NAMES)}
+    return Model(languages, np.log((counts + 1) / totals).astype(np.float32), scripts)
 
 
 class _Places(dict):
@@ -120,7 +141,7 @@ class Words:
 
     def __init__(self, model: Model):
         self.model = model
-        self.scores = np.vstack([model.scores, model.unseen[None]])
+        self.narrowed = {name: ~allowed for name, allowed in model.scripts.items() if allowed.any() and not allowed.all()}
         self.forget()
 
     def forget(self) -> None:
@@ -130,23 +151,22 @@ class Words:
 
     def learn(self, words: list[str], start: int) -> None:
         """Enter the rows of new words: the sum over their letter groups of the languages' log-probabilities, the best one's taken off."""
-        model, groups, cuts = self.model, [], []
-        get, unseen = model.rows.get, len(model.rows)
-        for word in words:
-            cuts.append(len(groups))
-            groups += [get(g, unseen) for g in groups_of(word)]
-        sums = np.add.reduceat(self.scores[groups], cuts, axis=0)
-        for row, word in zip(sums, words, strict=True):
-            allowed = model.scripts.get(script_of(word[0]))
-            if allowed is not None and allowed.any() and not allowed.all():
-                row[~allowed] = row.min() - 50
-        sums -= sums.max(axis=1, keepdims=True)
+        cells, starts = cells_of(words)
+        sums = np.zeros((len(self.model.languages), len(words)), np.float32)
+        for at in cells:
+            sums += np.add.reduceat(np.where(at >= 0, self.model.scores[:, at], np.float32(0)), starts, axis=1)
+        if self.narrowed:
+            scripts = np.array([script_of(word[0]) for word in words])
+            for name, barred in self.narrowed.items():
+                here = np.flatnonzero(scripts == name)
+                sums[np.ix_(barred, here)] = sums[:, here].min(axis=0) - 50
+        sums -= sums.max(axis=0)
         stop = start + len(words)
         if stop > self.table.shape[1]:
             more = max(stop, 2 * self.table.shape[1]) - self.table.shape[1]
             self.table = np.pad(self.table, ((0, 0), (0, more)))
             self.letters = np.pad(self.letters, (0, more))
-        self.table[:, start:stop] = (sums / len(GROUPS)).T
+        self.table[:, start:stop] = sums / len(GROUPS)
         self.letters[start:stop] = list(map(len, words))
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -236,7 +256,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     schema = ", ".join([*fields, "lang_pred string", "score double", "spans array<struct<start:int,end:int,lang:string>>"])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.rows, model.scores, model.unseen, model.scripts))
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.scripts))
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*held.value)

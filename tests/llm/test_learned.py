@@ -54,6 +54,7 @@ def test_scripts_narrow(spark):
     rows = [(i, t, lang) for i in range(40) for t, lang in (("и в не на я быть он с что а", "ru"), ("the of and to in is you that", "en"))]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4, 2)
     assert model.scripts["cyrillic"].tolist() == [False, True]
+    assert model.scripts["latin"].tolist() == [True, False]
     (row,) = language.predict(spark.createDataFrame([(1, "щука the of")], "doc_id long, text string"), model).collect()
     assert "ru" in {s.lang for s in row.spans} or row.lang_pred == "en"
 
