@@ -97,15 +97,16 @@ def secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int
 
 def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """The documents with every live-looking span replaced, n_chars set anew; copied examples stay. All rows and columns are kept."""
-    settled = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
-    scanned = scan(settled, F.col("__row"))
+    # rows are known by what they say, so equal ones share their spans and nothing but matches is written in between
+    row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
+    scanned = scan(docs, row).where(F.size("hits") > 0).dropDuplicates(["row"])
     live = spans(scanned, max_owners, max_repositories).where("live").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("live"))
     # overlapping spans become one: a span begins where no earlier one reaches
     merged = F.aggregate("live", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(acc, F.array(s))))
-    joined = settled.join(live.select(F.col("row").alias("__row"), merged.alias("__live")), "__row", "left")
+    joined = docs.withColumn("__row", row).join(live.select(F.col("row").alias("__row"), merged.alias("__live")), "__row", "left")
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__live", lambda s: s["end"]))
     starts = F.concat(F.transform("__live", lambda s: s["start"]), F.array(F.length("text").cast("bigint")))
     pieces = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.substring(F.col("text"), (z["e"] + 1).cast("int"), (z["s"] - z["e"]).cast("int")))

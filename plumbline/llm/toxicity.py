@@ -120,10 +120,12 @@ def restore_token(token: str, model: np.ndarray) -> str:
 
 
 def tokens_of(text: str) -> list[str]:
-    """Tokens between white space; letters spaced out one by one are one more token."""
+    """Tokens between white space; letters spaced out one by one are more tokens, together."""
     tokens = text.split()
     for run in SPACED.finditer(text):
-        tokens.append("".join(c for c in run[0] if c not in BETWEEN))
+        closed = "".join(c for c in run[0] if c not in BETWEEN)
+        # the first letter may be a word of its own
+        tokens += [closed, closed[1:]]
     return tokens
 
 
