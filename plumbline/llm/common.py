@@ -35,19 +35,15 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns an operator reads; extra columns, whatever their names, stay behind."""
-    return df.select(*columns)
-
-
 def bounded_sample(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame:
     """About ``most`` rows of each label at most, chosen by a hash of ``keys``; all rows of a label that has no more.
 
     Every label is counted over all rows; only one number per label comes to the driver.
     """
     counts = rows.groupBy(label).count().collect()
-    draw = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1_000_000))
-    share = F.lit(None).cast("long")
+    draw = F.xxhash64(F.lit("sample"), *keys)
+    last = F.lit(None).cast("long")
     for row in counts:
-        share = F.when(F.col(label) == row[label], F.lit(-(-most * 1_000_000 // row["count"]))).otherwise(share)
-    return rows.where(draw < share)
+        kept = min(2 ** 64 - 1, most * 2 ** 64 // row["count"])
+        last = F.when(F.col(label) == row[label], F.lit(kept - 2 ** 63)).otherwise(last)
+    return rows.where(draw <= last)
