@@ -146,89 +146,172 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROW
 
 #: Words in a shingle, 64-bit words in a wide fingerprint, and the likeness (Jaccard, of shingles) of near-duplicates.
 WIDE_SHINGLE, WIDE, LIKENESS = 5, 6, 0.8
-#: Segments that have a table, their least bits, and by how many bits they exceed the logarithm of the number of fingerprints.
-TABLES, LEAST_SEGMENT, SEGMENT_EXCESS = 12, 20, 2
-#: Owners of a table entry that are met pair by pair; beyond, the least ones of 64 kinds stand for all.
+#: Tables, and the bits of SimHash segment and number of least shingles that make up a table's key.
+TABLES, LIKE_BITS, LEAST = 32, 4, 3
+#: Fingerprints of a table entry that are met pair by pair; beyond, two tables have to agree.
 WIDE_CROWDED = 64
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, TABLES * LEAST), np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def most_apart(likeness: float, bits: int) -> int:
     """Bits by which fingerprints of two sets of this Jaccard likeness differ on the average: their cosine's angle over a half turn."""
     return round(bits * float(np.arccos(2 * likeness / (1 + likeness)) / np.pi))
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """(doc_id, wide): fingerprints of ``words`` times 64 bits over the set of a text's shingles, hashes mixed anew for every word."""
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """``words`` times 64 bits over a set of shingles, hashes mixed anew for every word."""
+    marks = []
+    for k in range(words):
+        h = (hashes + np.uint64(k)) * _MIX
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+        marks.append(majority(h ^ h >> np.uint64(29)) if len(h) else 0)
+    return np.array(marks, np.uint64)
+
+
+def like_entries(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """A set's key in every table: a SimHash segment and, as second key, the least shingles under the table's own orders.
+
+    Sets without a common shingle meet by chance of 64 bits only, however many there are, so the segments needn't grow with the table.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    bits = np.unpackbits(marks.view(np.uint8), bitorder="little")
+    places = np.arange(TABLES * LIKE_BITS) % len(bits)
+    key = bits[places].reshape(TABLES, LIKE_BITS) @ (1 << np.arange(LIKE_BITS, dtype=np.uint64)) + np.arange(TABLES, dtype=np.uint64) * np.uint64(1 << LIKE_BITS)
+    least = np.array([((hashes ^ a) * b).min() for a, b in _SALTS.T], np.uint64).reshape(TABLES, LEAST)
+    for k in range(LEAST):
+        key = (key ^ least[:, k]) * _MIX
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def like_marks(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """(doc_id, key, n, wide, entries): digest and size of every text's set of shingles, its fingerprint and its keys."""
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = []
+                keys, sizes, wide, entries = [], [], [], []
                 for text in part.column(1):
-                    hashes = np.unique(shingle_hashes(text.as_py(), shingle))
-                    marks = []
-                    for k in range(words):
-                        h = (hashes + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-                        h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-                        marks.append(majority(h ^ h >> np.uint64(29)) if len(h) else 0)
-                    rows.append(np.array(marks, np.uint64).view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "wide"])
+                    hashes = shingle_set(text.as_py(), shingle)
+                    marks = wide_fingerprint(hashes, words)
+                    keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sizes.append(len(hashes))
+                    wide.append(marks.view(np.int64).tolist())
+                    entries.append(like_entries(hashes, marks).view(np.int64).tolist())
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(wide, longs), pa.array(entries, longs)],
+                    names=["doc_id", "key", "n", "wide", "entries"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(mark, "doc_id bigint, wide array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        mark, "doc_id bigint, key binary, n int, wide array<bigint>, entries array<bigint>")
 
 
-def _wide_entries(nodes: DataFrame, segment: int, tables: int, ball: bool) -> DataFrame:
-    """(entry, node, first, own): nodes under the values of their segments and, with ``ball``, under those with one set bit cleared."""
-    rows = []
-    for number in range(tables):
-        word, place = divmod(number, 64 // segment)
-        value = F.shiftrightunsigned(F.element_at("wide", word + 1), segment * place).bitwiseAND((1 << segment) - 1)
-        base = number * (1 << segment)
-        rows.append(F.struct((value + base).alias("entry"), F.lit(True).alias("own")))
-        if ball:
-            rows += [F.when(value.bitwiseAND(1 << bit) != 0, F.struct((value - (1 << bit) + base).alias("entry"), F.lit(False).alias("own"))) for bit in range(segment)]
-    first = F.element_at("wide", -1)
-    return nodes.select("node", first.alias("first"), F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.entry", "node", "first", "x.own")
-
-
-def like_links(nodes: DataFrame, likeness: float = LIKENESS, words: int = WIDE, tables: int = TABLES, crowded: int = WIDE_CROWDED) -> DataFrame:
-    """(a, b): nodes whose wide fingerprints differ by few enough bits for ``likeness``.
-
-    ``nodes`` has a number and a distinct fingerprint in each row. A pair is found if one of its segments differs by one bit at most.
-    Segments are long enough for chance meetings to stay in proportion to the nodes. The last word's distance, which travels along,
-    drops most of them; what is left is checked in full. An entry's owners beyond ``crowded`` are represented by the least of
-    those alike in six more bits, so that a crowd costs rows in proportion to its size.
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the shingle sets of ``wanted`` (node, key, least), from the texts themselves."""
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                nodes, sets = [], []
+                for node, key, text in zip(*(part.column(c) for c in ("node", "key", "text")), strict=True):
+                    hashes = shingle_set(text.as_py(), shingle)
+                    if xxhash.xxh3_128_digest(hashes.tobytes()) == key.as_py():  # a doc_id can have other texts too
+                        nodes.append(node.as_py())
+                        sets.append(hashes.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), "text")
+    return texts.join(wanted, "least").select("node", "key", "text").mapInArrow(gather, "node bigint, hashes array<bigint>").dropDuplicates(["node"])
+
+
+def _likely(likeness: float, words: int) -> Column:
+    """Whether the sizes and fingerprints of sides a and b leave a likeness of ``likeness`` possible.
+
+    Fingerprints may differ by four standard deviations more than the average of pairs that are just alike enough, or by seven for
+    sets of under 32 shingles, whose average is higher.
     """
-    segment = max(LEAST_SEGMENT, nodes.count().bit_length() + SEGMENT_EXCESS)
-    tables = min(tables, words * (64 // segment))
-    owners = _wide_entries(nodes, segment, tables, False).select("entry", F.col("node").alias("b"), F.col("first").alias("other"))
-    sizes = owners.groupBy("entry").agg(F.count("*").alias("n"))
-    sized = settle(owners.join(sizes, "entry"))
-    kind = F.col("other").bitwiseAND(crowded - 1).alias("kind")
-    least = sized.where(F.col("n") > crowded).groupBy("entry", kind).agg(F.min(F.struct("b", "other")).alias("c")).select("entry", "c.b", "c.other")
-    table = sized.where(F.col("n") <= crowded).select("entry", "b", "other").unionByName(least)
-    near = F.bit_count(F.col("first").bitwiseXOR(F.col("other"))) <= most_apart(likeness, 64) + 11
-    found = _wide_entries(nodes, segment, tables, True).join(table, "entry").where(near & (F.col("node") != F.col("b")))
-    pairs = found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    sides = [nodes.select(F.col("node").alias(side), F.col("wide").alias(f"wide_{side}")) for side in "ab"]
     apart = sum((F.bit_count(F.element_at("wide_a", k + 1).bitwiseXOR(F.element_at("wide_b", k + 1))) for k in range(words)), F.lit(0))
-    # half a standard deviation above the average of pairs that are just alike enough
-    allowed = most_apart(likeness, 64 * words) + round(0.5 * (64 * words * 0.13) ** 0.5)
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(apart <= allowed).select("a", "b")
+    average, deviation = most_apart(likeness, 64 * words), (64 * words * 0.13) ** 0.5
+    few, many = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    return (few / many >= likeness) & (apart <= average + F.when(few < 32, round(7 * deviation)).otherwise(round(4 * deviation)))
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard likeness of at least ``likeness``, by the sets themselves."""
+    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"]
+    likely = settle(pairs.join(sides[0], "a").join(sides[1], "b").where(_likely(likeness, words)).select("a", "b", "n_a", "n_b"))
+    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    sets = settle(_sets(docs, wanted.join(nodes.select("node", "key", "least"), "node"), shingle))
+    both = likely.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common / (F.col("n_a") + F.col("n_b") - common) >= likeness).select("a", "b")
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    return met.where("node <> lowest").select(F.col("lowest").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _across(met: DataFrame, nodes: DataFrame, likeness: float, words: int) -> DataFrame:
+    """(a, b): pairs of one entry that no links connect yet and that may be alike."""
+    told = met.join(nodes.select("node", "n", "wide"), "node")
+    sides = [told.select("entry", *[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "root", "n", "wide")]) for x in "ab"]
+    return sides[0].join(sides[1], "entry").where(F.expr("a < b AND root_a <> root_b") & _likely(likeness, words)).select("a", "b")
+
+
+def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(entry, node, root, size): entries whose nodes aren't all connected yet."""
+    rooted = met.select("entry", "node").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
+        "entry", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("entry").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    return settle(rooted.join(sizes.select("entry", "size"), "entry"))
+
+
+def like_links(nodes: DataFrame, docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = WIDE_CROWDED) -> DataFrame:
+    """(a, b): pairs of at least ``likeness``, as many as connect all that meet in a table and are that alike.
+
+    ``nodes`` has a number and a distinct set in each row. First all of an entry are compared with its least node. Then every pair
+    of an entry that is not connected by that is compared. Entries of more than ``crowded`` nodes are dealt out by the other tables
+    before, so that their pairs have to meet in two.
+    """
+    listed = settle(nodes.select("node", F.explode("entries").alias("entry")))
+    ends = listed.groupBy("entry").agg(F.min("node").alias("lowest"), F.count("*").alias("size")).where("size > 1").drop("size")
+    met = settle(listed.join(ends, "entry"))
+    links = settle(confirmed(_stars(met), nodes, docs, likeness, shingle, words))
+    mixed = _mixed(met, components(links, "a", "b"))
+    pairs = _across(mixed.where(F.col("size") <= crowded), nodes, likeness, words)
+    full = mixed.where(F.col("size") > crowded)
+    if full.limit(1).count():
+        others = full.select("entry", "node").join(nodes.select("node", "entries"), "node")
+        dealt = settle(others.select("node", F.col("entry").alias("first"), F.explode("entries").alias("other")).where("first <> other").select(
+            "node", F.xxhash64(F.least("first", "other"), F.greatest("first", "other")).alias("entry")).distinct())
+        ends = dealt.groupBy("entry").agg(F.min("node").alias("lowest"), F.count("*").alias("size")).where("size > 1").drop("size")
+        again = settle(dealt.join(ends, "entry"))
+        links = settle(links.unionByName(confirmed(_stars(again), nodes, docs, likeness, shingle, words)))
+        pairs = pairs.unionByName(_across(_mixed(again, components(links, "a", "b")), nodes, likeness, words))
+    return links.unionByName(confirmed(pairs.distinct(), nodes, docs, likeness, shingle, words))
 
 
 def like_groups(docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = WIDE_CROWDED) -> DataFrame:
-    """(doc_id, component_id): one row for every input row, groups linked by likeness; equal fingerprints are always linked.
+    """(doc_id, component_id): one row for every input row, groups linked by likeness; equal sets are always linked.
 
-    Texts without words, NULL ones included, have fingerprint zero and form one group.
+    Texts without words, NULL ones included, have the empty set and form one group.
     """
-    marked = settle(wide_fingerprints(docs, shingle, words))
-    key = F.concat_ws(",", F.transform("wide", lambda w: F.hex(w)))
-    # a fingerprint's number is its least doc_id; fingerprints without one can't be named and are left alone
-    nodes = settle(marked.where("doc_id IS NOT NULL").groupBy(key.alias("key")).agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")))
-    numbered = settle(nodes.withColumn("least", F.col("node")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(like_links(numbered, likeness, words, TABLES, crowded), "a", "b").withColumnRenamed("node", "member")
-    rooted = settle(numbered.join(roots, F.col("node") == F.col("member"), "left").select("key", "least", F.coalesce("root", "node").alias("root")))
+    marked = settle(like_marks(docs, shingle, words))
+    # a set's name is its least doc_id; sets without one can't be named and are left alone
+    first = F.first(F.struct("n", "wide", "entries")).alias("f")
+    named = settle(marked.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), first).select("key", "least", "f.*"))
+    nodes = settle(named.withColumn("node", F.monotonically_increasing_id()))
+    roots = components(like_links(nodes, docs, likeness, shingle, words, crowded), "a", "b").withColumnRenamed("node", "member")
+    rooted = settle(nodes.join(roots, F.col("node") == F.col("member"), "left").select("key", "least", F.coalesce("root", "node").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("key", "component_id")
-    return marked.select("doc_id", key.alias("key")).join(named, "key", "left").select("doc_id", "component_id")
+    return marked.select("doc_id", "key").join(rooted.join(names, "root").select("key", "component_id"), "key", "left").select("doc_id", "component_id")

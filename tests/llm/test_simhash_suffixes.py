@@ -95,6 +95,47 @@ def test_likeness_groups(spark, crowded):
     assert found[1] == found[3] == 1
 
 
+def likeness(a, b):
+    x, y = (set(simhash.shingle_set(t).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("crowded", [64, 2])
+def test_likeness_groups_like_brute_force(spark, crowded):
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    texts = []
+    for changes in range(2, 10):  # likeness around the limit: 0.93 to 0.68
+        for _ in range(8):
+            base = [word() for _ in range(250)]
+            texts.append(" ".join(base))
+            for _ in range(4):
+                copy = list(base)
+                for place in random.sample(range(250), changes):
+                    copy[place] = word()
+                texts.append(" ".join(copy))
+    edges = [(i, j) for b in range(0, len(texts), 5) for i in range(b, b + 5) for j in range(i) if j >= b and likeness(texts[i], texts[j]) >= 0.8]
+    expected = list(range(len(texts)))
+    for _ in range(5):
+        for i, j in edges:
+            expected[i] = expected[j] = min(expected[i], expected[j])
+    assert 0 < sum(likeness(texts[b], texts[b + 1]) < 0.8 for b in range(0, len(texts), 5)) < 64
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.like_groups(df, crowded=crowded).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
+def test_keys_of_alike_sets_meet():
+    rng = np.random.default_rng(4)
+    for common, own in ((4, 1), (40, 5), (400, 50)):  # likenesses of 0.8, as one of 5, and as 5 and 50 of each side's own
+        met = 0
+        for _ in range(300):
+            pool = rng.integers(0, 1 << 63, common + 2 * own, np.uint64)
+            x, y = np.unique(pool[:common + own]), np.unique(pool[:common] if common == 4 else np.r_[pool[:common], pool[common + own:]])
+            met += bool(np.intersect1d(*(simhash.like_entries(s, simhash.wide_fingerprint(s)) for s in (x, y))).size)
+        assert met >= 297
+
+
 @pytest.mark.parametrize("n,symbols", [(1, 2), (2, 3), (30, 2), (300, 3), (400, 50)])
 def test_suffix_array(n, symbols):
     random.seed(n)
