@@ -227,15 +227,23 @@ def paired_diff_interval(units: DataFrame, key: list[str], first: str, second: s
 
 
 def relative_change_interval(steps: DataFrame, group: str, order: Column, value: str, **options) -> DataFrame:
-    """Mean over groups of (last - first) / first, with the decision it supports."""
+    """Mean over groups of (last - first) / first, with the decision it supports.
+
+    ``undefined`` counts the groups without a change, their first value being zero or an end NULL. Without a group that has one,
+    the figures are NULL and nothing is decided.
+    """
     ends = steps.groupBy(group).agg(F.min_by(value, order).alias("__first"), F.max_by(value, order).alias("__last"))
-    change = ends.select(group, ((F.col("__last") - F.col("__first")) / F.col("__first")).alias("change"))
+    step = F.when(F.col("__first") != 0, (F.col("__last") - F.col("__first")) / F.col("__first"))
+    change = settle(ends.select(group, step.alias("change")))
     found = mean_interval(change.where("change is not null"), [group], "change", **options)
     decision = (
         F.when((F.col("value") <= fixed.GAIN_NEEDED) & (F.col("high") < 0), "run")
         .otherwise("close")
     )
-    return found.withColumn("decision", decision)
+    counted = change.agg(F.count(F.when(F.col("change").isNull(), 1)).alias("undefined"))
+    decided = found.withColumn("decision", F.when(F.col("value").isNotNull(), decision))
+    # the counts come first, so that they are returned without any interval too
+    return counted.join(decided, F.lit(True), "left").select(*decided.columns, "undefined")
 
 
 def compare_runs(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -63,7 +63,8 @@ def stream_first_ok_settled(read):
     made.write.parquet(path)
     settled = streams.stream_first_ok(streams.file_stream(made.sparkSession, path, made.schema), "request", "ts", "1 minute")
     streams.drain(settled, out, "append")
-    return streams.stored(made.sparkSession, out, settled.schema).drop("epoch")
+    given = streams.stored(made.sparkSession, out, settled.schema).drop("epoch")
+    return streams.complete_first_ok(given, made.sparkSession.read.schema(made.schema).parquet(path), "request")
 
 
 SQL_BREAKER = """

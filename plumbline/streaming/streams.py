@@ -160,6 +160,18 @@ def stream_first_ok(draws: DataFrame, request: str, ts: str, lateness: str, pati
     )
 
 
+def complete_first_ok(given: DataFrame, draws: DataFrame, request: str) -> DataFrame:
+    """``given``, the rows of ``stream_first_ok``, and a row for each request it still holds open when the input has ended.
+
+    ``draws`` is the stream's whole input as a table. No time-out fires after the last rows, so what is open is chosen from it by
+    the same rule. Nothing is stored: a later run goes on from the stream's own state.
+    """
+    known = given.select(F.col(request).alias("__given")).distinct()
+    left = draws.join(known, F.col(request).eqNullSafe(F.col("__given")), "left_anti")
+    chosen = stream_choose(left, request)
+    return given.unionByName(chosen.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in given.schema]))
+
+
 def stream_breaker(
     events: DataFrame, key: str, seq: str, ok: str, limit: int = fixed.MAX_CONSECUTIVE_FAILURES, tie: str | None = None
 ) -> DataFrame:

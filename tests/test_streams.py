@@ -77,6 +77,27 @@ def test_first_acceptable(spark):
     assert {r["request"]: (r["attempt"], r["ok"]) for r in running.collect()} == rows
 
 
+def test_open_requests_come_out_when_the_input_ends(spark):
+    folder, out = fresh_path(spark, "draws"), fresh_path(spark, "out")
+    feed(spark.createDataFrame([draw(1, 1, 0.9, 0), draw(1, 2, 0.3, 1), draw(2, 1, 0.9, 0), draw(3, 1, None, 0), draw(None, 1, 0.2, 0)], DRAW), folder)
+    feed(spark.createDataFrame([draw(4, 1, 0.9, 90), draw(4, 2, 0.7, 91), draw(4, 3, 0.8, 91), draw(5, 1, 0.2, 91)], DRAW), folder)
+    settled = streams.stream_first_ok(streams.file_stream(spark, folder, DRAW, 1), "request", "ts", "1 minute", "10 minutes")
+    streams.drain(settled, out, "append")
+    given = streams.stored(spark, out, settled.schema).drop("epoch")
+    rows = [tuple(r) for r in streams.complete_first_ok(given, spark.read.schema(DRAW).parquet(folder), "request").collect()]
+    assert (4, 2, 0.7, False) not in {tuple(r) for r in given.collect()}
+    assert sorted(rows, key=lambda r: r[0] or 0) == [(None, 1, 0.2, True), (1, 2, 0.3, True), (2, 1, 0.9, False), (4, 2, 0.7, False), (5, 1, 0.2, True)]
+
+
+def test_registered_stream_gives_every_request(read):
+    from plumbline.plans import selecting
+    from plumbline.plans import streams as plans
+
+    made = selecting.draws(read).where("score is not null").select("request").distinct().count()
+    found = plans.stream_first_ok_settled(read)
+    assert found.count() == found.select("request").distinct().count() == made
+
+
 def test_breaker_agrees_with_batch(spark):
     rng = np.random.default_rng(3)
     rows = [(int(k), int(q), bool(rng.random() < 0.6)) for q in range(30) for k in range(12)]
