@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, language, quality, secrets, simhash, suffixes, tiff, toxicity
+from plumbline.llm import bpe, chat, decontaminate, language, quality, secrets, simhash, suffixes, tiff, toxicity, vectorcodes
 from plumbline.llm.common import held_out
 
 VOCABULARY = "word_bpe_49k.json"
@@ -89,3 +89,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_tiff")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", vectorcodes.sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
