@@ -265,12 +265,12 @@ near{r} AS (SELECT rn, p, e FROM ({nearest.format(r=r)})),
 means{r} AS (SELECT p, e, k, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n FROM parts JOIN near{r} USING (rn, p) GROUP BY ALL),
 books{r + 1} AS (SELECT b.p, b.e, b.k, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, b.v) AS v FROM books{r} b LEFT JOIN means{r} USING (p, e, k)),""" for r in range(rounds))
     return f"""WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn, vec_id, label, embedding FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 parts AS (SELECT rn, (i - 1) // (w // {parts}) AS p, (i - 1) % (w // {parts}) AS k, floor(x::DOUBLE * {SCALE})::BIGINT AS v
   FROM (SELECT rn, len(embedding) AS w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM kept)),
 books0 AS (SELECT p, rn - 1 AS e, k, v FROM parts WHERE rn <= {entries}),{steps}
 last AS ({nearest.format(r=rounds)}),
-coded AS (SELECT rn, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM last GROUP BY rn),
+coded AS (SELECT rn, lower(string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p)) AS code, sum(d)::BIGINT AS error FROM last GROUP BY rn),
 told AS (SELECT vec_id, label, code, error FROM kept JOIN coded USING (rn)),
 sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM told GROUP BY label)
 SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, k)) FROM books{rounds}) AS codebooks_sha256
