@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, language, prefixtree, quality, secrets, simhash, suffixes, tiff, toxicity, vectorcodes
+from plumbline.llm import bpe, chat, decontaminate, language, prefixtree, quality, secrets, simhash, structure, suffixes, tiff, toxicity, vectorcodes
 from plumbline.llm.common import held_out
 
 VOCABULARY = "word_bpe_49k.json"
@@ -96,6 +96,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_structure_repair", structure.sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_ngram_join", prefixtree.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtree.like_components(table(spark, sf_dir, "documents"))
