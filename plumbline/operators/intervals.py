@@ -1,42 +1,29 @@
 """Bootstrap intervals.
 
-Units are what is resampled: records for a rate or a ratio, groups for any average
-over groups. The statistic is a function of sums over units, so every replicate is a
-weighted sum. Two ways give the weights:
-
-* ``draws`` - replicate r, slot s takes unit hash(seed:r:s) mod n. Repeats anywhere,
-  in SQL too. Work n x replicates.
-* ``weights`` - for very many units. Equal units are combined to classes with a
-  count, classes go to chunks, and each chunk draws its multinomial share: first how
-  many of the n draws fall into it, then how they fall within. The same distribution,
-  and each chunk sends one row per replicate.
+Units are what is resampled: records for a rate or a ratio, groups for any average over groups. How often a unit counts in a replicate
+follows from (seed, replicate, unit key) alone, so one rule serves any number of units, sets that share units share their draws, and a
+query in SQL makes the same ones. A replicate's number of units is not held at the sample's: figures are functions of sums, quantiles
+or aggregates that weigh units against each other.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import fixed
 from plumbline.functions.hashing import seeded_hash
 from plumbline.functions.numbers import separates
-from plumbline.operators.skew import BROADCAST_ROWS, checked_broadcast
+from plumbline.operators.resample import Aggregate, replicate_figures, replicate_quantiles, replicate_sums
 from plumbline.session import settle
 
-DRAW_LIMIT = 100_000_000
-CLASSES_PER_CHUNK = 50_000
-SLOTS_PER_TASK = 250_000
-
 
 def bootstrap(
     units: DataFrame, key: list[str], sums: list[str], statistic: Callable[[Callable[[str], Column]], Column],
     by: list[str] | None = None, resamples: int = fixed.RESAMPLES, confidence: float = fixed.CONFIDENCE, seed=fixed.SEED,
-    single: str = "refuse", method: str | None = None, recentre: bool = False,
+    single: str = "refuse", recentre: bool = False,
 ) -> DataFrame:
     """(by..., value, low, high, resamples, confidence, n) per set of units.
 
@@ -44,44 +31,47 @@ def bootstrap(
     ``total(name)`` into the figure, with ``total("n")`` the number of units drawn.
     All sets of one call, and all figures of one statistic, share their draws: a
     difference is paired. Fewer than two units are refused, or give a point with 0
-    resamples (``single="point"``). If a replicate is undefined, so are the ends.
-    ``recentre`` reports value plus and minus half the interval's width.
+    resamples (``single="point"``). If a replicate is undefined, so are the ends; one that
+    draws no unit counts all of them once. ``recentre`` reports value plus and minus half
+    the interval's width. A set without units gives no row.
     """
     by = by or []
-    plain = units.select(*by, *key, *[F.col(c).cast("double").alias(c) for c in sums])
-    few = settle(plain if method == "draws" else plain.limit(BROADCAST_ROWS + 1))
-    everything = few.count()
-    if method is None:
-        method = "draws" if everything <= BROADCAST_ROWS and everything * resamples <= DRAW_LIMIT else "weights"
-    if method == "draws":
-        table = few.withColumn("__m", F.lit(1.0))
-    else:
-        whole = few if everything <= BROADCAST_ROWS else plain
-        table = settle(whole.groupBy(*by, *sums).agg(F.count(F.lit(1)).cast("double").alias("__m")))
-
-    weighed = [F.sum(F.col(c) * F.col("__m")).alias(c) for c in sums]
-    point = table.groupBy(*by).agg(*weighed, F.sum("__m").alias("n")).select(*by, "n", statistic(F.col).alias("value"))
-    if everything < 2:
-        replicates = None
-    elif method == "draws":
-        replicates = _replicates_by_draws(table, by, key, sums, resamples, seed, everything)
-    else:
-        replicates = _replicates_by_weights(table, by, sums, resamples, seed)
+    rows = units.select(*by, seeded_hash(seed, *key).alias("__k"), *[F.col(c).cast("double").alias(c) for c in sums])
+    totals = replicate_sums(rows, by, sums, resamples)
+    return _ends(totals.select(*by, "__r", "n", F.when(F.col("n") > 0, statistic(F.col)).alias("__s")), by, resamples, confidence, single, recentre)
+
+
+def bootstrap_quantile(
+    units: DataFrame, key: list[str], value: str, prob: float = 0.5, by: list[str] | None = None, resamples: int = fixed.RESAMPLES,
+    confidence: float = fixed.CONFIDENCE, seed=fixed.SEED, single: str = "refuse", recentre: bool = False, **options,
+) -> DataFrame:
+    """The same for a quantile of ``value``, exact in every replicate; units without a value are left out."""
+    by = by or []
+    rows = units.select(*by, seeded_hash(seed, *key).alias("__k"), F.col(value).cast("double").alias("__v"))
+    return _ends(replicate_quantiles(rows, by, prob, resamples, **options), by, resamples, confidence, single, recentre)
+
+
+def bootstrap_aggregate(
+    units: DataFrame, key: list[str], aggregate: Aggregate, by: list[str] | None = None, resamples: int = fixed.RESAMPLES,
+    confidence: float = fixed.CONFIDENCE, seed=fixed.SEED, single: str = "refuse", recentre: bool = False,
+) -> DataFrame:
+    """The same for any aggregate that takes weighted units and merges its states."""
+    by = by or []
+    rows = units.select(*by, seeded_hash(seed, *key).alias("__k"), *aggregate.columns)
+    return _ends(replicate_figures(rows, by, aggregate, resamples), by, resamples, confidence, single, recentre)
+
 
+def _ends(figures: DataFrame, by: list[str], resamples: int, confidence: float, single: str, recentre: bool) -> DataFrame:
+    """Point and ends from (by..., __r, __s, n), replicate -1 being the point; a set has ``resamples`` + 1 rows."""
     tail = (1.0 - confidence) / 2.0
-    if replicates is None:
-        ends = point.select(*by, F.lit(None).cast("array<double>").alias("__q"))
-    else:
-        figures = replicates.select(*by, statistic(F.col).alias("__stat"))
-        ends = figures.groupBy(*by).agg(
-            F.when(F.count("__stat") == resamples, F.percentile("__stat", F.array(F.lit(tail), F.lit(1.0 - tail)))).alias("__q")
-        )
-    if by:
-        joined = point.join(ends, by, "left")
-    else:
-        joined = point.unionByName(ends, allowMissingColumns=True).agg(
-            F.max("n").alias("n"), F.max("value").alias("value"), F.first("__q", True).alias("__q")
-        )
+    is_point = F.col("__r") < 0
+    point = F.max(F.when(is_point, F.col("__s"))).over(Window.partitionBy(*by))
+    filled = figures.withColumn("__s", F.when(F.col("n") > 0, F.col("__s")).otherwise(point))
+    drawn = F.when(~is_point, F.col("__s"))
+    joined = filled.groupBy(*by).agg(
+        F.max(F.when(is_point, F.col("__s"))).alias("value"), F.max(F.when(is_point, F.col("n"))).alias("n"),
+        F.when(F.count(drawn) == resamples, F.percentile(drawn, F.array(F.lit(tail), F.lit(1.0 - tail)))).alias("__q"),
+    ).where("n is not null")
     alone = F.col("n") < 2
     if single == "refuse":
         joined = joined.where(F.when(alone, F.raise_error(F.lit("need at least two units to resample")).cast("boolean")).otherwise(True))
@@ -95,90 +85,6 @@ def bootstrap(
     )
 
 
-def _replicates_by_draws(table: DataFrame, by: list[str], key: list[str], sums: list[str], resamples: int, seed, units: int) -> DataFrame:
-    """Every unit is a slot of every replicate; each slot fetches the unit it draws.
-
-    The units are few and the slots many, so the units are first dealt to enough tasks
-    for the slots.
-    """
-    whole = Window.partitionBy(*by)
-    seats = settle(
-        table.withColumn("__seat", (F.row_number().over(whole.orderBy(*key)) - 1).cast("bigint")).withColumn("__n", F.count(F.lit(1)).over(whole))
-    )
-    tasks = max(1, min(10_000, math.ceil(units * resamples / SLOTS_PER_TASK)))
-    slots = seats.select(*by, "__n", F.col("__seat").alias("__slot")).repartition(tasks, *by, "__slot").select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
-    drawn = slots.select(*by, "__r", F.pmod(seeded_hash(seed, "__r", "__slot"), F.col("__n")).alias("__seat"))
-    values = checked_broadcast(seats.select(*by, "__seat", *sums))
-    fetched = drawn.join(values, [*by, "__seat"])
-    return fetched.groupBy(*by, "__r").agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).cast("double").alias("n"))
-
-
-def _replicates_by_weights(classes: DataFrame, by: list[str], sums: list[str], resamples: int, seed) -> DataFrame:
-    """Multinomial weights in two steps, over classes of equal units (``__m`` of each)."""
-    set_id = F.concat_ws("\x1f", F.lit(""), *by)
-    chunks = max(1, math.ceil(classes.count() / CLASSES_PER_CHUNK))
-    order = F.concat_ws(":", *[F.col(c).cast("string") for c in sums])
-    placed = classes.select(*by, *sums, "__m", set_id.alias("__set"), order.alias("__o"),
-                            F.pmod(seeded_hash("chunk", order), F.lit(chunks)).cast("int").alias("__chunk"))
-    sizes = placed.groupBy("__set", "__chunk").agg(F.sum("__m").alias("__units"), F.count(F.lit(1)).alias("__classes"))
-    shares = sizes.groupBy("__set").agg(F.sum("__units").alias("__all"))
-    # Units in the chunks before this one: where its share of the draws is cut off.
-    before = Window.partitionBy("__set").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sizes.join(shares, "__set").withColumn("__before", F.coalesce(F.sum("__units").over(before), F.lit(0)))
-    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "__r int", *[f"{c} double" for c in sums], "n double"])
-    seed_number = int.from_bytes(str(seed).encode(), "big") % (2**32)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__o", kind="stable")
-        chunk, units, total, skip = (int(pdf[c].iloc[0]) for c in ("__chunk", "__units", "__all", "__before"))
-        values = pdf[sums].to_numpy(float)
-        p = pdf["__m"].to_numpy(float)
-        p = p / p.sum()
-        rng = np.random.default_rng([seed_number, 1, chunk])
-        taken = np.array([share_of_draws(seed_number, r, total, skip, units) for r in range(resamples)])
-        rows = np.empty((resamples, len(sums)))
-        for r in range(resamples):
-            rows[r] = rng.multinomial(taken[r], p) @ values
-        out = pd.DataFrame(rows, columns=sums)
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        out["__r"], out["n"] = np.arange(resamples), taken.astype(float)
-        return out[[*by, "__r", *sums, "n"]]
-
-    parts = placed.join(checked_broadcast(cuts.select("__set", "__chunk", "__units", "__all", "__before")), ["__set", "__chunk"])
-    drawn = parts.groupBy("__set", "__chunk").applyInPandas(draw, schema)
-    return drawn.groupBy(*by, "__r").agg(*[F.sum(c).alias(c) for c in [*sums, "n"]])
-
-
-def share_of_draws(seed: int, replicate: int, total: int, start: int, length: int) -> int:
-    """How many of ``total`` draws over units 0..total-1 fall into [start, start + length).
-
-    The counts below two points: a point's count is found by halving the range, each
-    half's share a binomial from a generator named by the half, so all chunks agree.
-    """
-    return _draws_below(seed, replicate, total, start + length) - _draws_below(seed, replicate, total, start)
-
-
-def _draws_below(seed: int, replicate: int, total: int, point: int) -> int:
-    if point <= 0:
-        return 0
-    if point >= total:
-        return total
-    low, high, draws, below = 0, total, total, 0
-    while draws:
-        middle = (low + high) // 2
-        rng = np.random.default_rng([seed, 2, replicate, low, high])
-        left = int(rng.binomial(draws, (middle - low) / (high - low)))
-        if point == middle:
-            return below + left
-        if point < middle:
-            high, draws = middle, left
-        else:
-            low, draws, below = middle, draws - left, below + left
-    return below
-
-
 # -- figures --
 
 

@@ -90,7 +90,7 @@ def run_log_append(read):
     )
 
 
-@query("run_bundle_write", TERMS + sql_boot("SELECT * FROM t", "sum(errors) / sum(length)", 200, "p_partkey") + f"SELECT {INTERVAL} FROM boot_z")
+@query("run_bundle_write", TERMS + sql_boot("SELECT * FROM t", "sum(w * errors) / sum(w * length)", 200, "p_partkey") + f"SELECT {INTERVAL} FROM boot_z")
 def run_bundle_write(read):
     # The interval from the saved terms is the run's own.
     terms = rates.error_terms(measures.readings(read), "reading", "target").select(

@@ -120,55 +120,124 @@ def test_projection_keeps_the_distance(spark):
 
 
 def test_frechet_interval(spark, monkeypatch):
-    df, _, _ = gaussians(spark, shift=0.5)
-    point = moments.frechet_distance(df, "side", "v").first()["value"]
-    one = moments.frechet_interval(df, "side", "v", "key", resamples=40).first()
-    monkeypatch.setattr(moments, "ROWS_PER_CHUNK", 90)
-    many = moments.frechet_interval(df.repartition(9), "side", "v", "key", resamples=40).first()
-    for r in (one, many):
-        assert r["value"] == pytest.approx(point) and r["low"] < point < r["high"]
-        assert r["high"] - point == pytest.approx(point - r["low"])
-    assert 0.4 < (many["high"] - many["low"]) / (one["high"] - one["low"]) < 2.5
-
-
-def draws_of(n, resamples, seed=1337):
+    df, x, y = gaussians(spark, shift=0.5)
+    mean, cov = x.mean(axis=0), np.cov(x, rowvar=False)
+    w = slow_weights([f"generated{i}" for i in range(len(y))], 40)
+    stats = [moments.frechet(mean, cov, np.average(y, axis=0, weights=c), np.cov(y, rowvar=False, fweights=c)) for c in w.T]
+    point = moments.frechet(mean, cov, y.mean(axis=0), np.cov(y, rowvar=False))
+    half = np.diff(np.percentile(stats, [2.5, 97.5]))[0] / 2
+    for held in (moments.REPLICATE_BYTES, 8 * 21 * 7):  # all replicates in one pass, or seven
+        monkeypatch.setattr(moments, "REPLICATE_BYTES", held)
+        r = moments.frechet_interval(df.repartition(9), "side", "v", "key", resamples=40).first()
+        np.testing.assert_allclose([r["value"], r["low"], r["high"]], [point, point - half, point + half], rtol=1e-9)
+
+
+def test_few_rows_of_many_dimensions(spark):
+    """Rows that can't fill their space are compared in the one they span, with the same result."""
+    rng = np.random.default_rng(12)
+    sides = {"real": rng.normal(size=(80, 600)), "generated": rng.normal(size=(70, 600)) * 1.2 + 0.1}
+    rows = [(f"{s}{i}", s, [float(v) for v in p]) for s, m in sides.items() for i, p in enumerate(m)]
+    df = spark.createDataFrame(rows, "key string, side string, v array<double>").repartition(4)
+    stats = [f(sides[s]) for s in ("real", "generated") for f in (lambda m: m.mean(axis=0), lambda m: np.cov(m, rowvar=False))]
+    full = moments.frechet(*stats)
+    assert moments.frechet_distance(df, "side", "v", minimum=2).first()["value"] == pytest.approx(full, rel=1e-6)
+    thin = moments.span_project(df, "v")
+    assert thin.select(F.size("v")).distinct().collect() == [(149,)]
+    r = moments.frechet_interval(df, "side", "v", "key", resamples=20, minimum=2).first()
+    assert r["value"] == pytest.approx(full, rel=1e-6) and r["low"] < r["value"] < r["high"]
+
+
+def slow_weights(keys, resamples, seed=1337):
+    """Counts of mean one by plain arithmetic on the documented hash."""
     from hashlib import md5
 
-    return np.array([[int(md5(f"{seed}:{r}:{s}".encode()).hexdigest()[:15], 16) % n for s in range(n)] for r in range(resamples)])
+    from plumbline.functions import resampling
+
+    mask, rows = (1 << 60) - 1, []
+    for key in keys:
+        start, counts = int(md5(f"{seed}:{key}".encode()).hexdigest()[:15], 16), []
+        for r in range(resamples):
+            x = (start + r * 0x9E3779B97F4A7C1) & mask
+            x = (x ^ x >> 31) * 0xBF58476D1CE4E5B & mask
+            x = (x ^ x >> 29) * 0x94D049BB133111B & mask
+            x ^= x >> 32
+            counts.append(sum(x >= b for b in resampling.BOUNDS))
+        rows.append(counts)
+    return np.array(rows)
 
 
 def test_interval_is_brute_force(spark):
     rng = np.random.default_rng(4)
     e, n = rng.integers(0, 9, 60), rng.integers(5, 20, 60)
     df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(e, n, strict=True))], "key long, e int, n_chars int")
-    at = draws_of(60, 300)
-    stats = e[at].sum(axis=1) / n[at].sum(axis=1)
-    r = intervals.ratio_interval(df.repartition(7), ["key"], "e", "n_chars", resamples=300).first()
-    np.testing.assert_allclose([r["value"], r["low"], r["high"]], [e.sum() / n.sum(), *np.percentile(stats, [2.5, 97.5])], atol=1e-12)
-    assert (r["resamples"], r["n"], r["confidence"]) == (300, 60, 0.95)
+    w = slow_weights(range(60), 300)
+    stats = (e @ w) / (n @ w)
+    for parts in (1, 7):
+        r = intervals.ratio_interval(df.repartition(parts), ["key"], "e", "n_chars", resamples=300).first()
+        np.testing.assert_allclose([r["value"], r["low"], r["high"]], [e.sum() / n.sum(), *np.percentile(stats, [2.5, 97.5])], atol=1e-12)
+        assert (r["resamples"], r["n"], r["confidence"]) == (300, 60, 0.95)
 
 
-def test_weights_agree_with_draws(spark, monkeypatch):
-    df = spark.range(4000).select("id", (F.pmod(F.xxhash64("id"), F.lit(100)) < 30).alias("hit"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 10.0).alias("x"))
-    theory = np.sqrt(0.3 * 0.7 / 4000) * 1.96 * 2
-    by_draws = intervals.rate_interval(df, ["id"], "hit", resamples=400, method="draws").first()
-    by_weights = intervals.rate_interval(df, ["id"], "hit", resamples=400, method="weights").first()
-    for r in (by_draws, by_weights):
-        assert abs((r["high"] - r["low"]) / theory - 1) < 0.2 and r["low"] < r["value"] < r["high"]
-    # Many chunks: the shares of the draws are split between them and still add up.
-    monkeypatch.setattr(intervals, "CLASSES_PER_CHUNK", 150)
-    r = intervals.bootstrap(df, ["id"], ["x"], lambda t: t("x") / t("n"), resamples=300, method="weights").first()
-    spread = df.agg(F.stddev_pop("x")).first()[0] / np.sqrt(4000) * 1.96 * 2
-    assert abs((r["high"] - r["low"]) / spread - 1) < 0.2 and r["low"] < r["value"] < r["high"]
-    again = intervals.bootstrap(df.repartition(13), ["id"], ["x"], lambda t: t("x") / t("n"), resamples=300, method="weights").first()
-    assert again["low"] == pytest.approx(r["low"], rel=1e-12)
+def test_weights_are_poisson_and_apart():
+    from plumbline.functions import resampling
 
+    w = resampling.weights(np.arange(20_000), np.arange(100)).astype(float)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - np.exp(-1)) < 0.002
+    assert abs(np.corrcoef(w.T) - np.eye(100)).max() < 0.05
+    assert (resampling.weights(np.arange(9), np.array([-1])) == 1).all()
 
-def test_shares_of_draws_add_up():
-    edges = [0, 10, 11, 400, 777, 1000]
-    for r in range(20):
-        parts = [intervals.share_of_draws(5, r, 1000, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-        assert sum(parts) == 1000 and min(parts) >= 0
+
+def test_width_is_the_theory_s(spark):
+    df = spark.range(4000).select("id", (F.pmod(F.xxhash64("id"), F.lit(100)) < 30).alias("hit"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 10.0).alias("x"))
+    r = intervals.rate_interval(df, ["id"], "hit", resamples=400).first()
+    assert abs((r["high"] - r["low"]) / (np.sqrt(0.3 * 0.7 / 4000) * 1.96 * 2) - 1) < 0.2 and r["low"] < r["value"] < r["high"]
+    r = intervals.mean_interval(df, ["id"], "x", resamples=300).first()
+    spread = df.agg(F.stddev_pop("x")).first()[0] / np.sqrt(4000) * 1.96 * 2
+    assert abs((r["high"] - r["low"]) / spread - 1) < 0.2
+
+
+def test_sets_share_draws(spark):
+    """The same units in two sets have the same replicates, at any size and however values are repeated."""
+    df = spark.range(500).select("id", (F.col("id") % 3).cast("double").alias("x"))
+    sets = df.select(F.lit("a").alias("set"), "id", "x").unionByName(df.select(F.lit(None).cast("string").alias("set"), "id", (F.col("x") + 10).alias("x")))
+    found = {r["set"]: r for r in intervals.mean_interval(sets.repartition(5), ["id"], "x", by=["set"], resamples=60).collect()}
+    alone = intervals.mean_interval(df, ["id"], "x", resamples=60).first()
+    for c in ("value", "low", "high"):
+        assert found["a"][c] == pytest.approx(alone[c], rel=1e-12)
+        assert found[None][c] == pytest.approx(alone[c] + 10, rel=1e-12)
+
+
+def expanded_quantiles(values, w, prob):
+    return [np.quantile(np.repeat(values, c), prob) for c in w.T]
+
+
+@pytest.mark.parametrize("kind, options, prob", [("plain", {}, 0.9), ("plain", {"ordered": 40, "pivots": 7}, 0.5), ("tied", {"ordered": 1, "pivots": 3}, 0.5), ("outlier", {"ordered": 30, "pivots": 3}, 0.9)])
+def test_quantile_interval_is_brute_force(spark, kind, options, prob):
+    rng = np.random.default_rng(8)
+    values = {"plain": rng.normal(0, 1, 300), "tied": rng.integers(0, 4, 300).astype(float), "outlier": np.append(rng.normal(0, 1, 299), 1e12)}[kind]
+    rows = [(s, i, float(v)) for s in ("x", "y") for i, v in enumerate(values)] + [("small", 1, 5.0), ("small", 2, 7.0), ("small", 3, None)]
+    df = spark.createDataFrame(rows, "set string, id long, v double").repartition(4)
+    w = slow_weights(range(300), 50)
+    stats = expanded_quantiles(values, w, prob)
+    found = {r["set"]: r for r in intervals.bootstrap_quantile(df, ["id"], "v", prob, ["set"], resamples=50, **options).collect()}
+    for s in ("x", "y"):
+        np.testing.assert_allclose([found[s]["value"], found[s]["low"], found[s]["high"]], [np.quantile(values, prob), *np.percentile(stats, [2.5, 97.5])], rtol=1e-12)
+    assert found["small"]["n"] == 2
+    whole = intervals.bootstrap_quantile(df.where("set = 'x'"), ["id"], "v", prob, resamples=50, **options).first()
+    assert whole["low"] == pytest.approx(found["x"]["low"])
+
+
+def test_aggregate_of_the_user_s_own(spark):
+    from plumbline.plans.intervals import Evenness
+
+    df = spark.range(200).select("id", F.concat(F.lit("c"), F.col("id") % 5 * (F.col("id") % 2)).alias("category"))
+    names = np.array([f"c{i % 5 * (i % 2)}" for i in range(200)])
+    w = np.column_stack([np.ones(200, int), slow_weights(range(200), 40)])
+    shares = np.array([w[names == c].sum(axis=0) for c in sorted(set(names))]) / w.sum(axis=0)
+    stats = -(shares * np.log(shares)).sum(axis=0)
+    for parts in (1, 9):
+        r = intervals.bootstrap_aggregate(df.repartition(parts), ["id"], Evenness(), resamples=40).first()
+        np.testing.assert_allclose([r["value"], r["low"], r["high"]], [stats[0], *np.percentile(stats[1:], [2.5, 97.5])], rtol=1e-12)
 
 
 def test_undefined_and_single(spark):
