@@ -31,16 +31,3 @@ def separates(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> C
 
 def half_width(low: Column, high: Column) -> Column:
     return (high - low) / 2.0
-
-
-def format_interval(value: Column, low: Column, high: Column, percent: bool = False, digits: int = 2) -> Column:
-    if percent:
-        return F.format_string("%.1f%%  [%.1f%%, %.1f%%]", value * 100, low * 100, high * 100)
-    spot = f"%.{digits}f"
-    return F.format_string(f"{spot}  [{spot}, {spot}]", value, low, high)
-
-
-def box_gap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1) -> Column:
-    """Distance between two boxes' nearest edges; 0 where they touch or overlap."""
-    zero = F.lit(0.0)
-    return F.hypot(F.greatest(zero, bx0 - ax1, ax0 - bx1), F.greatest(zero, by0 - ay1, ay0 - by1))

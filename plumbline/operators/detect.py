@@ -1,8 +1,8 @@
 """How well a classifier tells two sets of rows apart, each row judged by a model that never saw it.
 
 All models of the test, every fold with all features and with each alone, are fitted
-together: one Newton step of all of them is one pass over the rows that sends back
-only the models' gradients and Hessians.
+together: one step of all of them is one pass over the rows, which sends back only each
+model's loss, gradient and curvature.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from plumbline.operators.rates import class_means
 from plumbline.operators.sampling import stratified_folds
 from plumbline.session import settle
 
-STEPS = 50
-TOLERANCE = 1e-8
+#: Passes over the rows at most, and the gradient's length per row at which a model is fitted.
+PASSES, FLAT = 100, 1e-12
 
 
 def measurable(df: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +53,55 @@ def _fold_scaling(rows: DataFrame, features: list[str], folds: int) -> tuple[np.
     return means, scales
 
 
-def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+class _Fit:
+    """One model on its way to the least penalised loss. The intercept, the first weight, costs nothing.
+
+    ``at`` is where the next pass measures. A step that doesn't lessen the loss is halved, from the last point that did.
+    """
+
+    def __init__(self, size: int, penalty: float):
+        self.cost = np.append(0.0, np.full(size, penalty))
+        self.at = self.base = np.zeros(size + 1)
+        self.step = np.zeros(size + 1)
+        self.least = np.inf
+        self.done = False
+
+    def take(self, loss: float, gradient: np.ndarray, curvature: np.ndarray, rows: float) -> None:
+        """Move on, given what a pass measured at ``at``."""
+        loss = loss + 0.5 * float(self.cost @ self.at**2)
+        if loss > self.least + 1e-12 * abs(self.least):
+            self.step = self.step / 2
+            self.done = bool(np.linalg.norm(self.step) <= 1e-14 * (1 + np.linalg.norm(self.base)))
+        else:
+            self.base, self.least = self.at, loss
+            uphill = gradient + self.cost * self.at
+            self.done = bool(np.linalg.norm(uphill) <= FLAT * rows)
+            self.step = -_solved(curvature + np.diag(self.cost), uphill)
+        self.at = self.base + self.step
+
+
+def _solved(curvature: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """Through the Cholesky factor; by least squares where saturated rows leave no curvature."""
+    try:
+        lower = np.linalg.cholesky(curvature)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(curvature, slope, rcond=None)[0]
+    return np.linalg.solve(lower.T, np.linalg.solve(lower, slope))
+
+
+def _scores(x: np.ndarray, means: np.ndarray, scales: np.ndarray, columns: list[int]) -> np.ndarray:
+    """Standardised features behind a column of ones."""
+    return np.column_stack([np.ones(len(x)), (x[:, columns] - means[columns]) / scales[columns]])
+
+
+def _folded(df: DataFrame, key: str, label: str, features: list[str], folds: int, seed) -> DataFrame:
+    """(key, y, features, fold) of the measurable rows, written once. Fewer than ``folds`` rows on a side are refused."""
+    rows, _ = measurable(df.select(key, F.col(label).cast("int").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]), features)
+    placed = settle(stratified_folds(rows, "y", key, folds, seed))
+    sizes = {r["y"]: r["count"] for r in placed.groupBy("y").count().collect()}
+    if set(sizes) != {0, 1} or min(sizes.values()) < folds:
+        raise ValueError(f"need at least {folds} measurable rows on either side")
+    return placed
 
 
 def two_sample_rows(
@@ -65,60 +112,41 @@ def two_sample_rows(
     ``label`` is 1 for generated. Rows with an unmeasurable feature take no part.
     Fewer than ``folds`` rows on a side are refused.
     """
-    rows, _ = measurable(df.select(key, F.col(label).cast("int").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]), features)
-    rows = settle(rows)
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    if set(sizes) != {0, 1} or min(sizes.values()) < folds:
-        raise ValueError(f"need at least {folds} measurable rows on either side")
-    placed = settle(stratified_folds(rows, "y", key, folds, seed))
-    means, scales = _fold_scaling(placed, features, folds)
+    return _judged(_folded(df, key, label, features, folds, seed), key, features, folds, penalty)
 
-    models = [list(range(len(features))), *[[i] for i in range(len(features))]]
-    weights = {(k, m): np.zeros(len(cols) + 1) for k in range(folds) for m, cols in enumerate(models)}
-    active = set(weights)
 
-    def design(x: np.ndarray, k: int, m: int) -> np.ndarray:
-        cols = models[m]
-        return np.hstack([np.ones((len(x), 1)), (x[:, cols] - means[k][cols]) / scales[k][cols]])
+def _judged(placed: DataFrame, key: str, features: list[str], folds: int, penalty: float) -> DataFrame:
+    means, scales = _fold_scaling(placed, features, folds)
+    models = [list(range(len(features))), *[[i] for i in range(len(features))]]
+    fits = {(k, m): _Fit(len(columns), penalty) for k in range(folds) for m, columns in enumerate(models)}
 
-    for _ in range(STEPS):
-        running = {name: weights[name] for name in active}
+    for _ in range(PASSES):
+        points = {name: fit.at for name, fit in fits.items() if not fit.done}
+        if not points:
+            break
 
-        def partial(frames: Iterator[pd.DataFrame], running=running) -> Iterator[pd.DataFrame]:
-            sums: dict[tuple, list] = {}
+        def measure(frames: Iterator[pd.DataFrame], points=points) -> Iterator[pd.DataFrame]:
+            held = {name: np.zeros(2 + len(w) + len(w) ** 2) for name, w in points.items()}
             for pdf in frames:
                 x, y, fold = pdf[features].to_numpy(float), pdf["y"].to_numpy(float), pdf["fold"].to_numpy()
-                for k in {k for k, _ in running}:
-                    train = fold != k
-                    for m in range(len(models)):
-                        if (k, m) not in running or not train.any():
-                            continue
-                        z = design(x[train], k, m)
-                        p = _probability(z, running[(k, m)])
-                        gradient, hessian = z.T @ (p - y[train]), (z * (p * (1 - p))[:, None]).T @ z
-                        entry = sums.setdefault((k, m), [0.0, 0.0])
-                        entry[0], entry[1] = entry[0] + gradient, entry[1] + hessian
-            for (k, m), (gradient, hessian) in sums.items():
-                values = np.concatenate([gradient, hessian.ravel()])
+                for (k, m), w in points.items():
+                    learn = fold != k
+                    z = _scores(x[learn], means[k], scales[k], models[m])
+                    reach = z @ w
+                    likely = 0.5 + 0.5 * np.tanh(reach / 2)
+                    loss = np.logaddexp(0.0, reach).sum() - y[learn] @ reach
+                    curvature = np.einsum("ri,r,rj->ij", z, likely * (1 - likely), z)
+                    held[k, m] += np.concatenate([[len(z), loss], z.T @ (likely - y[learn]), curvature.ravel()])
+            for (k, m), values in held.items():
                 yield pd.DataFrame({"k": k, "m": m, "i": np.arange(len(values)), "v": values})
 
-        totals = placed.mapInPandas(partial, "k int, m int, i int, v double").groupBy("k", "m", "i").agg(F.sum("v").alias("v")).toPandas()
-        if totals.empty:
-            break
+        totals = placed.mapInPandas(measure, "k int, m int, i int, v double").groupBy("k", "m", "i").agg(F.sum("v").alias("v")).toPandas()
         for name, part in totals.groupby(["k", "m"]):
             values = part.sort_values("i")["v"].to_numpy()
-            width = len(weights[name])
-            ridge = np.full(width, penalty)
-            ridge[0] = 0.0
-            gradient = values[:width] + ridge * weights[name]
-            hessian = values[width:].reshape(width, width) + np.diag(ridge + 1e-9)
-            step = np.linalg.solve(hessian, gradient)
-            weights[name] = weights[name] - step
-            if np.abs(step).max() < TOLERANCE:
-                active.discard(name)
-        if not active:
-            break
+            size = len(fits[name].at)
+            fits[name].take(values[1], values[2 : 2 + size], values[2 + size :].reshape(size, size), values[0])
 
+    found = {name: fit.base for name, fit in fits.items()}
     names = ["all", *features]
     kind = placed.schema[key].dataType.simpleString()
 
@@ -126,11 +154,11 @@ def two_sample_rows(
         for pdf in frames:
             x, y, fold = pdf[features].to_numpy(float), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
             for m, name in enumerate(names):
-                correct = np.empty(len(pdf), dtype=bool)
+                generated = np.zeros(len(pdf), dtype=bool)
                 for k in np.unique(fold):
                     at = fold == k
-                    correct[at] = (_probability(design(x[at], k, m), weights[(k, m)]) > 0.5) == (y[at] == 1)
-                yield pd.DataFrame({key: pdf[key].to_numpy(), "y": y, "model": name, "correct": correct})
+                    generated[at] = _scores(x[at], means[k], scales[k], models[m]) @ found[k, m] > 0
+                yield pd.DataFrame({key: pdf[key].to_numpy(), "y": y, "model": name, "correct": generated == (y == 1)})
 
     return placed.mapInPandas(judge, f"{key} {kind}, y int, model string, correct boolean")
 
@@ -142,11 +170,11 @@ def two_sample_test(
 
     The features come most telling first.
     """
-    rows = settle(measurable(df.select(key, label, *features), features)[0])
-    judged = settle(two_sample_rows(rows, key, label, features, folds, seed))
+    placed = _folded(df, key, label, features, folds, seed)
+    judged = settle(_judged(placed, key, features, folds, fixed.PENALTY))
     accuracy = rate_interval(judged.where("model = 'all'"), [key], "correct", **interval)
     alone = judged.where("model <> 'all'").groupBy(F.col("model").alias("feature")).agg(F.avg(F.col("correct").cast("double")).alias("alone"))
-    table = alone.join(class_means(rows, label, features), "feature")
+    table = alone.join(class_means(placed.withColumnRenamed("y", label), label, features), "feature")
     return accuracy, by_accuracy_desc(table)
 
 

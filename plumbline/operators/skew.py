@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import HASH_BITS, seeded_hash
+from plumbline.session import settle
 
 ROWS_PER_TASK = 2_000_000
 BROADCAST_ROWS = 200_000
-MOST_PIECES = 2_000
+#: Rows of a table without groups that one task puts in order.
+ORDERED_TOGETHER = 250_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -33,13 +35,31 @@ def profile(df: DataFrame, by: list[str]) -> tuple[int, int]:
     return int(row["s"] or 0), int(row["m"] or 0)
 
 
-def place_code(df: DataFrame, column: str) -> Column:
-    """A double that never falls where ``column`` rises: numbers and times as they are, texts by their first bytes."""
-    kind = df.schema[column].dataType.simpleString()
-    if kind == "string":
-        start = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(start, 16, 10).cast("double")
-    return (F.col(column).cast("timestamp") if kind == "date" else F.col(column)).cast("double")
+def in_order(df: DataFrame, order: list[Column], parts: int) -> DataFrame:
+    """``df`` written in ``parts`` even ranges of ``order``, with __part, the range's number, and __at, a number that rises with the order.
+
+    The ranges' ends are sampled on the whole of ``order``, whatever its types, so outliers and repeated beginnings gather no
+    rows; only rows equal in all of it stay together.
+    """
+    cut = df.repartitionByRange(parts, *order) if parts > 1 else df.coalesce(1)
+    numbered = cut.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    return settle(numbered.withColumn("__part", F.shiftright("__at", 33)))
+
+
+def _ranked_in_order(rows: DataFrame, by: list[str], order: list[Column], total: int, name: str, size: str | None, rows_per_task: int) -> DataFrame:
+    """Places in each group of ``rows``, whose groups are few: ranges of the order are counted, a row's place is its range's start and its own in it."""
+    held = in_order(rows, [*[F.col(c) for c in by], *order], -(-total // rows_per_task))
+    counts = held.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
+    group = Window.partitionBy(*by)
+    starts = counts.select(
+        *[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__in"),
+        (F.sum("__rows").over(group.orderBy("__part")) - F.col("__rows") - F.col("__first") + 1).alias("__shift"), F.sum("__rows").over(group).alias("__n"),
+    )
+    here = F.col("__part") == F.col("__in")
+    for c in by:
+        here &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    placed = held.join(checked_broadcast(starts), here).withColumn(name, (F.col("__at") + F.col("__shift")).cast("bigint"))
+    return placed.withColumn(size, F.col("__n")) if size else placed
 
 
 def spread_rank(
@@ -55,45 +75,31 @@ def spread_rank(
     """1-based place of each row in its group, by ``position`` and then ``key``.
 
     Without a ``position`` the order is the seeded one, by hash of (seed, key).
-    ``size`` also gives the group's row count. A hot group is cut at quantiles of the
-    position, so that outliers don't gather rows, ranked within each piece, and shifted
-    by the rows in the pieces before. Rows of equal position stay in one piece.
+    ``size`` also gives the group's row count. Groups of up to ``rows_per_task`` rows are ranked
+    by a window. A larger group, or the whole table where there are no groups, is put in order
+    over ranges of (position, key), each of which is counted.
     """
-    at = seeded_hash(seed, *key) if position is None else position
-    work = df.withColumn("__at", at)
-    order = [F.col("__at"), *[F.col(k) for k in key]]
-    total, biggest = profile(df, by)
+    order = [seeded_hash(seed, *key) if position is None else position, *[F.col(k) for k in key]]
+    columns = [*df.columns, name, *([size] if size else [])]
+    if not by:
+        per_task = min(rows_per_task, ORDERED_TOGETHER)
+        return _ranked_in_order(df, [], order, df.count(), name, size, per_task).select(*columns)
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
+        return (out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by))) if size else out).select(*columns)
+
+    _, biggest = profile(df, by)
     if biggest <= rows_per_task:
-        out = work.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        if size:
-            out = out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        return out.drop("__at")
-
-    work = work.withColumn("__code", place_code(work, "__at"))
-    parts = min(MOST_PIECES, 2 * -(-biggest // rows_per_task))
-    cuts = F.percentile_approx("__code", [i / parts for i in range(1, parts)], 10_000).alias("__cuts")
-    if by:
-        hot = work.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), cuts).where(F.col("__n") > rows_per_task)
-        cut = work.join(checked_broadcast(hot), by, "left")
-    else:
-        found = work.agg(cuts).first()["__cuts"] or []
-        cut = work.select("*", F.lit(total).alias("__n"), F.array(*map(F.lit, found)).cast("array<double>").alias("__cuts"))
-    piece = F.size(F.filter("__cuts", lambda c: c < F.col("__code")))
-    cut = cut.withColumn("__piece", F.when(F.col("__n").isNull(), 0).otherwise(piece).cast("bigint"))
-    before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.where(F.col("__n").isNotNull())
-        .groupBy(*by, "__piece")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*by, "__piece", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    )
-    within = Window.partitionBy(*by, "__piece")
-    out = cut.join(checked_broadcast(offsets), [*by, "__piece"], "left").withColumn(
-        name, F.row_number().over(within.orderBy(*order)) + F.coalesce(F.col("__before"), F.lit(0))
-    )
-    if size:
-        out = out.withColumn(size, F.coalesce(F.col("__n"), F.count(F.lit(1)).over(within)))
-    return out.select(*df.columns, name, *([size] if size else []))
+        return windowed(df)
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_task)
+    total = int(hot.agg(F.sum("__n")).first()[0])
+    names = checked_broadcast(hot.select(*[F.col(c).alias(f"__hot_{c}") for c in by]))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__hot_{c}"))
+    crowded = _ranked_in_order(df.join(names, same, "left_semi"), by, order, total, name, size, rows_per_task)
+    return windowed(df.join(names, same, "left_anti")).unionByName(crowded.select(*columns))
 
 
 def spread_sum(
@@ -139,12 +145,12 @@ def exact_quantiles(
     probs: list[float],
     name: str = "q",
     rows_per_task: int = ROWS_PER_TASK,
-    bins: int = 4096,
+    bins: int = 1000,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, NULL values left out.
 
-    A hot group's values are first combined by equality, then counted into equal-width
-    bins; only the bins that hold a wanted rank are ordered.
+    A hot group's values are first combined by equality, then cut at ``bins`` even ranks of what they are at most, as often as needed until
+    the pieces that hold a wanted rank have at most ``rows_per_task`` different values each; only these are ordered.
     """
     anchor = by or ["__all"]
     rows = df.select(*by, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
@@ -159,37 +165,18 @@ def exact_quantiles(
     hot_keys = checked_broadcast(hot.select(*anchor))
     cool = rows.join(hot_keys, anchor, "left_anti").groupBy(*anchor).agg(plain)
 
-    counted = rows.join(hot_keys, anchor, "left_semi").groupBy(*anchor, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    span = counted.groupBy(*anchor).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
-    width = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    binned = counted.join(checked_broadcast(span), anchor).withColumn(
-        "__b", F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1)).cast("int")
-    )
-    earlier = Window.partitionBy(*anchor).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bars = (
-        binned.groupBy(*anchor, "__b")
-        .agg(F.sum("__c").alias("__bar"), F.first("__n").alias("__n"))
-        .withColumn("__start", F.coalesce(F.sum("__bar").over(earlier), F.lit(0)))
-    )
+    counted = settle(rows.join(hot_keys, anchor, "left_semi").groupBy(*anchor, "__v").agg(F.count(F.lit(1)).alias("__c")))
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    wanted = (
-        bars.select(*anchor, "__b", "__bar", "__start", "__n", F.explode(ranks).alias("w"))
-        .select(*anchor, "__b", "__bar", "__start", F.col("w.i").alias("__i"),
-                ((F.col("__n") - 1) * F.col("w.p")).alias("__pos"))
-        .select("*", F.explode(F.array(F.floor("__pos"), F.ceil("__pos"))).alias("__rank"))
-        .where((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__start") + F.col("__bar")))
-        .distinct()
-    )
-    running = Window.partitionBy(*anchor, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        binned.join(checked_broadcast(wanted.select(*anchor, "__b", "__start").distinct()), [*anchor, "__b"])
-        .withColumn("__to", F.col("__start") + F.sum("__c").over(running))
-        .withColumn("__from", F.col("__to") - F.col("__c"))
-        .select(*anchor, "__b", "__v", "__from", "__to")
-    )
-    found = wanted.select(*anchor, "__b", "__i", "__pos", "__rank").join(placed, [*anchor, "__b"]).where(
-        (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
+    wanted = settle(
+        counted.groupBy(*anchor).agg(F.sum("__c").alias("__n"))
+        .select(*anchor, F.explode(ranks).alias("w"), "__n").select(*anchor, F.col("w.i").alias("__i"), ((F.col("__n") - 1) * F.col("w.p")).alias("__pos"))
+        .select("*", F.explode(F.array(F.floor("__pos"), F.ceil("__pos"))).alias("__rank")).distinct()
     )
+    piece = [*anchor, "__piece"]
+    held = pieces_holding(counted, anchor, wanted, rows_per_task, bins)
+    running = Window.partitionBy(*piece).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = held.withColumn("__to", F.col("__start") + F.sum("__c").over(running)).withColumn("__from", F.col("__to") - F.col("__c"))
+    found = wanted.join(placed.select(*anchor, "__v", "__from", "__to"), anchor).where((F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     points = found.groupBy(*anchor, "__i", "__pos").agg(
         F.min_by("__v", "__rank").alias("__low"), F.max_by("__v", "__rank").alias("__high")
     )
@@ -200,3 +187,27 @@ def exact_quantiles(
                     lambda s: s["q"]).alias(name)
     )
     return cool.unionByName(warm).select(*by, name)
+
+
+def pieces_holding(counted: DataFrame, anchor: list[str], wanted: DataFrame, rows_per_task: int, bins: int) -> DataFrame:
+    """(anchor..., __v, __c, __piece, __start): the rows of ``counted`` (distinct values with counts) in pieces of their group that hold one of its
+    ``wanted`` ranks, __start being the rank at which a piece begins. Pieces are cut anew while one has more than ``rows_per_task`` values.
+    """
+    held = counted.withColumns({"__piece": F.lit("").cast("string"), "__start": F.lit(0).cast("bigint")})
+    piece = [*anchor, "__piece"]
+    while True:
+        sizes = held.groupBy(*piece).agg(F.count(F.lit(1)).alias("__values"))
+        most = sizes.agg(F.max("__values")).first()[0] or 0
+        if most <= rows_per_task:
+            return held
+        parts = min(bins, 2 * -(-most // rows_per_task))
+        cuts = held.groupBy(*piece).agg(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 10_000).alias("__cuts"))
+        inside = held.join(checked_broadcast(cuts), piece)
+        number = F.lpad(F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).cast("string"), 6, "0")
+        cut = inside.withColumn("__piece", F.concat("__piece", number)).drop("__cuts")
+        before = Window.partitionBy(*anchor, "__start").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        bars = cut.groupBy(*piece, "__start").agg(F.sum("__c").alias("__bar")).withColumn("__new", F.col("__start") + F.coalesce(F.sum("__bar").over(before), F.lit(0)))
+        ranks = wanted.select(*anchor, "__rank").distinct()
+        needed = bars.join(checked_broadcast(ranks), anchor).where((F.col("__rank") >= F.col("__new")) & (F.col("__rank") < F.col("__new") + F.col("__bar")))
+        needed = needed.select(*piece, "__new").distinct()
+        held = settle(cut.join(checked_broadcast(needed), piece).select(*anchor, "__v", "__c", "__piece", F.col("__new").alias("__start")))

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import HASH_BITS, seeded_hash
+from plumbline.functions.hashing import seeded_hash
 from plumbline.operators.joins import share_of_total
-from plumbline.operators.skew import spread_sum
+from plumbline.operators.skew import in_order, spread_sum
 
-GROUPS_PER_TASK = 100_000
+#: Groups dealt at a time.
+GROUPS_PER_TASK = 1_000_000
 
 
 def _checked(counts: DataFrame, ratios: dict[str, float]) -> int:
@@ -32,30 +34,47 @@ def group_split(
     """(group, n, split): each group, in seeded order, to the side furthest below its share of records.
 
     Equal shortfalls go to the alphabetically first side. ``counts`` has one row per
-    group. The rule is one after another, so beyond ``groups_per_task`` groups the
-    seeded order is cut into even stretches, each dealt to the same shares on its own.
+    group. The rule is one after another, so ranges of the seeded order follow each other: a
+    range starts from the room that the ones before it leave, and only that list of numbers
+    goes from range to range. Once all starts are known, the ranges are dealt side by side.
     """
     groups = _checked(counts, ratios)
-    stretches = math.ceil(groups / groups_per_task)
     sides = sorted(ratios)
-    shares = [ratios[s] for s in sides]
-    placed = counts.select(group, F.col(n).cast("bigint").alias("n"), seeded_hash(seed, group).alias("__h")).withColumn(
-        "__stretch", F.floor(F.col("__h") / F.lit(float(2**HASH_BITS)) * stretches).cast("int")
-    )
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__h", group])
-        total = float(pdf["n"].sum())
-        room = [share * total for share in shares]
-        dealt = []
-        for size in pdf["n"]:
-            side = room.index(max(room))
-            room[side] -= size
-            dealt.append(sides[side])
-        return pd.DataFrame({group: pdf[group], "n": pdf["n"], "split": dealt})
-
-    kind = counts.schema[group].dataType.simpleString()
-    return placed.groupBy("__stretch").applyInPandas(deal, f"{group} {kind}, n bigint, split string")
+    at = seeded_hash(seed, group)
+    held = in_order(counts.select(group, F.col(n).cast("bigint").alias("n")), [at, F.col(group)], math.ceil(groups / groups_per_task))
+    sums = {r["__part"]: r["n"] for r in held.groupBy("__part").agg(F.sum("n").alias("n")).collect()}
+    total = float(sum(sums.values()))
+    room = [ratios[s] * total for s in sides]
+    starts: dict[int, list[float]] = {}
+    for part in sorted(sums):
+        starts[part] = room
+        if part != max(sums):
+            row = _dealt(held.where(F.col("__part") == part), group, sides, {part: room}, ends=True).collect()
+            room = list(row[0]["room"])
+    return _dealt(held, group, sides, starts)
+
+
+def _dealt(held: DataFrame, group: str, sides: list[str], starts: dict[int, list[float]], ends: bool = False) -> DataFrame:
+    """Ranges of ``held`` dealt from their starts: (group, n, split), or with ``ends`` only the room that each range leaves."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, room = None, []
+        for batch in batches:
+            dealt = []
+            for part, size in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if part != now:
+                    now, room = part, list(starts[part])
+                side = room.index(max(room))
+                room[side] -= size
+                dealt.append(sides[side])
+            if not ends:
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(dealt, pa.string())], names=[group, "n", "split"])
+        if ends and now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([room], pa.list_(pa.float64()))], names=["room"])
+
+    kind = held.schema[group].dataType.simpleString()
+    placed = held.repartition("__part").sortWithinPartitions("__part", "__at").select("__part", "__at", group, "n")
+    return placed.mapInArrow(deal, "room array<double>" if ends else f"`{group}` {kind}, n bigint, split string")
 
 
 def share_split(counts: DataFrame, group: str, ratios: dict[str, float], seed, n: str = "n") -> DataFrame:

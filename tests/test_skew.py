@@ -88,7 +88,7 @@ def test_checked_broadcast(spark):
 
 
 def test_greedy_split_is_the_rule(spark):
-    counts = spark.range(310).select(F.col("id").cast("string").alias("group"), (1 + (F.col("id") * 7) % 40).alias("n"))
+    counts = spark.range(260).select(F.col("id").cast("string").alias("group"), (3 + (F.col("id") * 11) % 53).alias("n"))
     ratios = {"train": 0.7, "test": 0.3}
     split = splitting.group_split(counts, "group", ratios, 1337).collect()
     from hashlib import md5
@@ -106,7 +106,7 @@ def test_greedy_split_is_the_rule(spark):
 
 
 def test_stretched_split_keeps_shares(spark):
-    counts = spark.range(3000).select(F.col("id").alias("group"), (1 + (F.col("id") * 7) % 40).alias("n"))
+    counts = spark.range(3000).select(F.col("id").alias("group"), (3 + (F.col("id") * 11) % 53).alias("n"))
     split = splitting.group_split(counts, "group", {"a": 0.5, "b": 0.3, "c": 0.2}, 1, groups_per_task=400)
     shares = {r["split"]: r["record_share"] for r in splitting.split_summary(split).collect()}
     assert split.count() == 3000
@@ -114,6 +114,41 @@ def test_stretched_split_keeps_shares(spark):
         assert abs(shares[side] - share) < 0.02
 
 
+def test_split_is_one_rule_at_any_size(spark):
+    counts = spark.range(300).select(F.concat(F.lit("g"), "id").alias("group"), (2 + (F.col("id") * 13) % 29).alias("n"))
+    ratios = {"x": 0.5, "y": 0.3, "z": 0.2}
+    whole = rows(splitting.group_split(counts, "group", ratios, 3, groups_per_task=10**9), "group", "n", "split")
+    assert rows(splitting.group_split(counts.repartition(7), "group", ratios, 3, groups_per_task=100), "group", "n", "split") == whole
+
+
+@pytest.mark.parametrize("values", ["F.concat(F.lit('Customer#'), F.lpad(F.col('id').cast('string'), 9, '0'))", "F.lit('the same')", "F.struct(F.lit(1), -F.col('id'))"])
+def test_order_is_cut_evenly(spark, values):
+    """Keys with one beginning, one repeated value, tuples: the ranges are even and follow the order."""
+    df = spark.range(1000).withColumn("at", eval(values)).repartition(5)  # noqa: S307
+    held = skew.in_order(df, [F.col("at"), F.col("id")], 8)
+    sizes = [r["count"] for r in held.groupBy("__part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3 * 1000 / 8
+    placed = [r["id"] for r in held.orderBy("__at").collect()]
+    assert placed == [r["id"] for r in df.orderBy("at", "id").collect()]
+    ranked = spread_rank(df, [], ["id"], position=F.col("at"), rows_per_task=130)
+    assert [r["id"] for r in ranked.orderBy("rn").collect()] == placed
+    assert "Window" not in ranked._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+@pytest.mark.parametrize("shape", ["outlier", "tie"])
+def test_quantiles_of_skewed_values(spark, shape):
+    value = {"outlier": F.when(F.col("id") == 7, 1e12).otherwise(F.sqrt("id")), "tie": F.when(F.col("id") % 4 < 3, 5.0).otherwise(F.sqrt("id"))}[shape]
+    df = spark.range(4000).select(F.lit("a").alias("group"), value.alias("value")).repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.77, 0.999, 1.0]
+    got = exact_quantiles(df, ["group"], F.col("value"), probs, rows_per_task=60, bins=5).first()["q"]
+    np.testing.assert_allclose(got, np.quantile(df.toPandas()["value"], probs), rtol=1e-12)
+    counted = df.groupBy("group", F.col("value").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    wanted = spark.createDataFrame([("a", r) for r in (400, 2000, 3995)], "group string, __rank long")
+    held = skew.pieces_holding(counted, ["group"], wanted, 60, 5)
+    sizes = [r["count"] for r in held.groupBy("__piece").count().collect()]
+    assert max(sizes) <= 60 and sum(sizes) <= 3 * 60
+
+
 def test_split_refusals(spark):
     counts = spark.createDataFrame([("a", 1), ("b", 2)], "group string, n long")
     for ratios in ({"x": 0.5, "y": 0.4}, {"x": 1.5, "y": -0.5}, {"x": 0.4, "y": 0.3, "z": 0.3}):
