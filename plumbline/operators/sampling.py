@@ -68,12 +68,25 @@ def pick_other(df: DataFrame, group: str, key: str, seed) -> DataFrame:
     return style_refs(df, group, key, 1, seed).select(group, key, F.element_at("refs", 1).alias("other"))
 
 
+def distinct_seats(seed, key: Column, n: Column, k: int) -> Column:
+    """``k`` different numbers below ``n``, every ordered choice as likely as any other.
+
+    The j-th is drawn among the n - j that are left: a number below that, moved up past each one taken before.
+    """
+    def next_seat(taken: Column, j: Column) -> Column:
+        drawn = F.pmod(seeded_hash(seed, key, j), n - j).cast("bigint")
+        free = F.aggregate(F.array_sort(taken), drawn, lambda seat, t: seat + F.when(seat >= t, 1).otherwise(0))
+        return F.concat(taken, F.array(free))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), next_seat)
+
+
 def build_requests(df: DataFrame, group: str, key: str, style_refs: int, count: int, seed) -> DataFrame:
     """(request, group, target, refs) for ``count`` requests.
 
     Each draws one of the groups that can serve it and ``style_refs`` + 1 different
-    keys of it, the first being the target. Targets may repeat between requests, so
-    the request number is the key.
+    keys of it in any order, the first being the target. Targets may repeat between requests,
+    so the request number is the key.
     """
     sizes = count_per_group(df, [group]).where(F.col("n") >= style_refs + 2)
     served = spread_rank(sizes, [], [group], seed, "__g")
@@ -82,14 +95,11 @@ def build_requests(df: DataFrame, group: str, key: str, style_refs: int, count:
         raise ValueError(f"no group has {style_refs + 2} records")
     spine = df.sparkSession.range(count).withColumnRenamed("id", "request")
     drawn = spine.select("request", (F.pmod(seeded_hash(f"{seed}:group", "request"), F.lit(groups)) + 1).alias("__g"))
-    placed = drawn.join(checked_broadcast(served), "__g").select(
-        "request", group, F.pmod(seeded_hash(f"{seed}:key", "request"), F.col("n")).alias("__start"), "n",
-        F.explode(F.sequence(F.lit(0), F.lit(style_refs))).alias("j"),
-    )
+    chosen = F.posexplode(distinct_seats(f"{seed}:key", F.col("request"), F.col("n"), style_refs + 1)).alias("j", "__seat")
+    wanted = drawn.join(checked_broadcast(served), "__g").select("request", group, chosen)
     seats = spread_rank(keep_known(df.select(group, key), sizes, [group]), [group], [key], seed, "rn").select(
         group, F.col(key).alias("__key"), (F.col("rn") - 1).cast("bigint").alias("__seat")
     )
-    wanted = placed.select("request", group, "j", F.pmod(F.col("__start") + F.col("j"), F.col("n")).cast("bigint").alias("__seat"))
     ordered = F.array_sort(F.collect_list(F.struct("j", "__key")))
     return (
         wanted.join(seats, [group, "__seat"])

@@ -111,14 +111,16 @@ def requests(read):
 
 
 SQL_REQUESTS = f"""
-WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 6),
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 6),
 g AS (SELECT source, n, row_number() OVER (ORDER BY {h('source')}, source) AS g, count(*) OVER () AS groups FROM sizes),
 spine AS (SELECT i AS request FROM range((SELECT count(*) FROM documents)) t(i)),
-d AS (SELECT request, source, n, {h('request', seed=f'{SEED}:key')} % n AS start
-      FROM spine JOIN g ON g.g = {h('request', seed=f'{SEED}:group')} % g.groups + 1),
+d AS (SELECT request, source, n FROM spine JOIN g ON g.g = {h('request', seed=f'{SEED}:group')} % g.groups + 1),
+drawn(request, source, n, taken) AS (SELECT request, source, n, []::BIGINT[] FROM d UNION ALL
+  SELECT request, source, n, list_append(taken, list_reduce(list_prepend({h('request', 'len(taken)', seed=f'{SEED}:key')} % (n - len(taken)), list_sort(taken)),
+         lambda seat, t: seat + (seat >= t)::BIGINT)) FROM drawn WHERE len(taken) < 5),
 seats AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {h('doc_id')}, doc_id) - 1 AS seat FROM documents),
-k AS (SELECT request, d.source, j, doc_id FROM d, range(5) r(j), seats s
-      WHERE s.source = d.source AND s.seat = (start + j) % n)
+each AS (SELECT request, source, unnest(range(5)) AS j, unnest(taken) AS seat FROM drawn WHERE len(taken) = 5),
+k AS (SELECT request, e.source, j, doc_id FROM each e JOIN seats s ON s.source = e.source AND s.seat = e.seat)
 """
 
 

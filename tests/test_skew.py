@@ -214,3 +214,14 @@ def test_text_keys_and_outliers_are_cut(spark):
         whole = spread_rank(df, ["group"], ["key"], name="rn", size="n", position=position)
         cut = spread_rank(df.repartition(3), ["group"], ["key"], name="rn", size="n", position=position, rows_per_task=40)
         assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_requests_are_as_many_as_the_choices(spark):
+    """A group of 40 rows serves 2,000 requests with different lists, each without repeats, and every row is as likely a target."""
+    df = spark.range(40).select(F.lit("g").alias("group"), "id")
+    found = sampling.build_requests(df, "group", "id", 4, 2000, 9).collect()
+    lists = [(r["target"], *r["refs"]) for r in found]
+    assert len(lists) == 2000 and all(len(set(x)) == 5 for x in lists)
+    assert len(set(lists)) > 1900 and len({frozenset(x) for x in lists}) > 1900
+    targets = np.bincount([x[0] for x in lists], minlength=40)
+    assert targets.min() > 20 and targets.max() < 90
