@@ -16,7 +16,7 @@ from itertools import chain
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import SLICE_BYTES, slices
@@ -120,6 +120,18 @@ def pieces_of(path: str) -> list[str]:
     return [tokenizer.id_to_token(i) or "" for i in range(max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1)]
 
 
+def pieces_through(spark: SparkSession, path: str) -> list[str]:
+    """The same, read by a task, so that the driver needn't hold the tokenizer: one text for each id of the vocabulary."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pieces = pieces_of(path)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=["id", "piece"])
+
+    found = spark.range(1, numPartitions=1).mapInArrow(read, "id int, piece string").toArrow()
+    return found.sort_by("id").column("piece").to_pylist()
+
+
 def _assembler(docs: DataFrame, path: str, head, entry: Callable, finish: Callable, schema: str, packed: bool) -> DataFrame:
     """What the table has for every text's words, in the words' places.
 
@@ -222,7 +234,7 @@ def encode(docs: DataFrame, path: str, head_words: int = HEAD_WORDS, head_bytes:
 
     A NULL text is an empty one and has no ids. One row for every input row, repeated rows and NULL keys included.
     """
-    pieces = Pieces(docs.sparkSession.sparkContext.broadcast(pieces_of(path)))
+    pieces = Pieces(docs.sparkSession.sparkContext.broadcast(pieces_through(docs.sparkSession, path)))
 
     def finish(rows: list) -> pa.RecordBatch:
         ids = [list(chain.from_iterable([w[0] for w in words])) for _, words in rows]
@@ -239,7 +251,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     The table of pieces has a row for each id of the vocabulary, so it is small whatever the texts' number.
     """
     spark = encoded.sparkSession
-    pieces = spark.createDataFrame(list(enumerate(pieces_of(path))), "id int, piece string")
+    pieces = spark.createDataFrame(list(enumerate(pieces_through(spark, path))), "id int, piece string")
     rows = settle(encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"))
     each = rows.select("row", F.posexplode("ids").alias("place", "id")).join(F.broadcast(pieces), "id")
     texts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("p"))
@@ -248,7 +260,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, head_words: int = HEAD_WORDS, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """doc_id, n_tokens and digests of the decimal ids and of the decoded text, as ``encode`` finds them."""
-    pieces = Pieces(docs.sparkSession.sparkContext.broadcast(pieces_of(path)))
+    pieces = Pieces(docs.sparkSession.sparkContext.broadcast(pieces_through(docs.sparkSession, path)))
 
     def finish(rows: list) -> pa.RecordBatch:
         found = []

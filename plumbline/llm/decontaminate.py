@@ -1,6 +1,7 @@
 """Benchmark passages in documents, by counting shared q-grams along diagonals.
 
-Texts are compared without case, punctuation and spacing. Items are cut into overlapping windows. A window of m bytes that occurs with
+Texts are compared without case, punctuation and spacing. Items are cut into overlapping windows, so close together that an excerpt of a
+window's length from anywhere in an item lies within a window's edits of one. A window of m bytes that occurs with
 k edits shares m - q + 1 - kq of its q-grams with the place, all on diagonals within k of each other; so counts in bands of
 diagonals, overlapping by half, that stay below this bound rule a place out. What is left is aligned inside its band.
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import slices
 
 #: Bytes in a q-gram; bytes of a window and from one to the next; bytes of a window for each edit allowed.
-GRAM, WINDOW, STEP, BYTES_AN_EDIT = 12, 96, 32, 16
-#: Bytes of items indexed at once.
-BLOCK_BYTES = 1 << 20
+GRAM, WINDOW, STEP, BYTES_AN_EDIT = 12, 96, 8, 16
+#: Bytes of items indexed at once; the index has about 85 times as many.
+BLOCK_BYTES = 1 << 18
 SLICE = 2 << 20
 
 KEPT_BYTES = bytes(i if i == 0 or i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -102,8 +103,8 @@ def index_of(rows: Iterable[tuple[int, str]]) -> Index | None:
     each = np.concatenate(hashes)
     order = np.argsort(each, kind="stable")
     grams, first = np.unique(each[order], return_index=True)
-    owner = np.repeat(np.arange(len(windows)), [len(h) for h in hashes])[order]
-    place = np.concatenate([np.arange(len(h)) for h in hashes])[order]
+    owner = np.repeat(np.arange(len(windows), dtype=np.int32), [len(h) for h in hashes])[order]
+    place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])[order]
     bits = max(16, int(32 * len(grams)).bit_length())
     present = np.zeros(1 << bits, bool)
     present[grams >> np.uint64(64 - bits)] = True
@@ -174,8 +175,10 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
     """(text number, item, windows, edits, first byte, last byte) of every item in every text, in normalized bytes."""
     data = [normalized(t) for t in texts]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.zeros(int(sizes.sum()) + len(data), np.uint8)
+    # a match that went on from one text into the next would have to skip more bytes than any window may
+    apart = int(index.edits.max()) + 1
+    starts = np.cumsum(sizes + apart) - sizes - apart
+    joined = np.zeros(int(sizes.sum()) + apart * len(data), np.uint8)
     for start, part in zip(starts.tolist(), data, strict=True):
         joined[start:start + len(part)] = part
     window, low = candidates(joined, index)

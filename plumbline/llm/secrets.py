@@ -96,9 +96,16 @@ def secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int
 
 
 def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """The documents with every live-looking span replaced, n_chars set anew; copied examples stay. All rows and columns are kept."""
-    # rows are known by what they say, so equal ones share their spans and nothing but matches is written in between
-    row = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
+    """The documents with every live-looking span replaced, n_chars set anew; copied examples stay. All rows and columns are kept.
+
+    A NULL or empty text holds nothing and stays as it is, as does a NULL doc_id or source; other columns may have any names.
+    """
+    # rows are known by what they say, each part after its length, so equal ones share their spans and nothing but matches is written in between
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))]
+    row = F.md5(F.concat_ws(":", *[x for part in parts for x in (F.length(part).cast("string"), part)]))
+    given = docs.columns
+    own = lambda name: next(n for n in (name + "_" * k for k in range(len(given) + 1)) if n.lower() not in {c.lower() for c in given})
+    at, found = own("__row"), own("__live")
     scanned = scan(docs, row).where(F.size("hits") > 0).dropDuplicates(["row"])
     live = spans(scanned, max_owners, max_repositories).where("live").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("live"))
     # overlapping spans become one: a span begins where no earlier one reaches
@@ -106,14 +113,14 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(acc, F.array(s))))
-    joined = docs.withColumn("__row", row).join(live.select(F.col("row").alias("__row"), merged.alias("__live")), "__row", "left")
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__live", lambda s: s["end"]))
-    starts = F.concat(F.transform("__live", lambda s: s["start"]), F.array(F.length("text").cast("bigint")))
+    joined = docs.withColumn(at, row).join(live.select(F.col("row").alias(at), merged.alias(found)), at, "left")
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(found, lambda s: s["end"]))
+    starts = F.concat(F.transform(found, lambda s: s["start"]), F.array(F.length("text").cast("bigint")))
     pieces = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.substring(F.col("text"), (z["e"] + 1).cast("int"), (z["s"] - z["e"]).cast("int")))
-    text = F.when(F.col("__live").isNull(), F.col("text")).otherwise(F.array_join(pieces, REDACTION))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(pieces, REDACTION))
     done = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        done = done.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done.select(*(f"`{c}`" for c in docs.columns))
 
 

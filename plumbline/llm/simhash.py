@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROW
 WIDE_SHINGLE, WIDE, LIKENESS = 5, 6, 0.8
 #: Tables, and the bits of SimHash segment and number of least shingles that make up a table's key.
 TABLES, LIKE_BITS, LEAST = 32, 4, 3
-#: Fingerprints of a table entry that are met pair by pair; beyond, two tables have to agree.
+#: Eight times the rounds in which a table entry's unconnected texts meet one of theirs, before two tables have to agree.
 WIDE_CROWDED = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -247,10 +247,17 @@ def _likely(likeness: float, words: int) -> Column:
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard likeness of at least ``likeness``, by the sets themselves."""
-    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"]
-    likely = settle(pairs.join(sides[0], "a").join(sides[1], "b").where(_likely(likeness, words)).select("a", "b", "n_a", "n_b"))
+    likely = _likely_pairs(pairs, nodes, likeness, words)
     wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    sets = settle(_sets(docs, wanted.join(nodes.select("node", "key", "least"), "node"), shingle))
+    return _alike(likely, settle(_sets(docs, wanted.join(nodes.select("node", "key", "least"), "node"), shingle)), likeness)
+
+
+def _likely_pairs(pairs: DataFrame, nodes: DataFrame, likeness: float, words: int) -> DataFrame:
+    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"]
+    return settle(pairs.join(sides[0], "a").join(sides[1], "b").where(_likely(likeness, words)).select("a", "b", "n_a", "n_b"))
+
+
+def _alike(likely: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -261,44 +268,59 @@ def _stars(met: DataFrame) -> DataFrame:
     return met.where("node <> lowest").select(F.col("lowest").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _across(met: DataFrame, nodes: DataFrame, likeness: float, words: int) -> DataFrame:
-    """(a, b): pairs of one entry that no links connect yet and that may be alike."""
-    told = met.join(nodes.select("node", "n", "wide"), "node")
-    sides = [told.select("entry", *[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "root", "n", "wide")]) for x in "ab"]
-    return sides[0].join(sides[1], "entry").where(F.expr("a < b AND root_a <> root_b") & _likely(likeness, words)).select("a", "b")
-
-
 def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(entry, node, root, size): entries whose nodes aren't all connected yet."""
+    """(entry, node, root): entries whose nodes aren't all connected yet."""
     rooted = met.select("entry", "node").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
         "entry", "node", F.coalesce("root", "node").alias("root"))
-    sizes = rooted.groupBy("entry").agg(F.count("*").alias("size"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-    return settle(rooted.join(sizes.select("entry", "size"), "entry"))
+    sizes = rooted.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    return settle(rooted.join(sizes.select("entry"), "entry"))
+
+
+def _peeled(mixed: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, likeness: float, words: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(links, what is left): in every round one node of each entry's smallest root meets the entry's nodes of other roots, and leaves the entry.
+
+    A round makes one pair for a node of an entry at most, whatever the entry's size.
+    """
+    for _ in range(rounds):
+        sizes = mixed.groupBy("entry", "root").agg(F.count("*").alias("size"), F.min("node").alias("leaves"))
+        ends = sizes.groupBy("entry").agg(F.min(F.struct("size", "leaves", "root")).alias("e")).select("entry", "e.leaves", F.col("e.root").alias("its"))
+        told = settle(mixed.join(ends, "entry"))
+        pairs = told.where("root <> its").select(F.least("leaves", "node").alias("a"), F.greatest("leaves", "node").alias("b")).distinct()
+        found = settle(_alike(_likely_pairs(pairs, nodes, likeness, words), sets, likeness))
+        if found.limit(1).count():
+            links = settle(links.unionByName(found))
+        mixed = _mixed(told.where("node <> leaves"), components(links, "a", "b"))
+        if not mixed.limit(1).count():
+            break
+    return links, mixed
 
 
 def like_links(nodes: DataFrame, docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = WIDE_CROWDED) -> DataFrame:
-    """(a, b): pairs of at least ``likeness``, as many as connect all that meet in a table and are that alike.
+    """(a, b): pairs of at least ``likeness``, enough to connect what meets in the tables and is that alike.
 
-    ``nodes`` has a number and a distinct set in each row. First all of an entry are compared with its least node. Then every pair
-    of an entry that is not connected by that is compared. Entries of more than ``crowded`` nodes are dealt out by the other tables
-    before, so that their pairs have to meet in two.
+    ``nodes`` has a number and a distinct set in each row. First all of an entry are compared with its least node. What that leaves
+    unconnected in an entry is peeled: one node after another meets all of other roots and leaves. Entries that still hold
+    several roots after ``crowded`` / 8 such rounds are dealt out by a second key, another table's, and peeled again.
     """
+    rounds = max(1, crowded // 8)
     listed = settle(nodes.select("node", F.explode("entries").alias("entry")))
     ends = listed.groupBy("entry").agg(F.min("node").alias("lowest"), F.count("*").alias("size")).where("size > 1").drop("size")
     met = settle(listed.join(ends, "entry"))
     links = settle(confirmed(_stars(met), nodes, docs, likeness, shingle, words))
     mixed = _mixed(met, components(links, "a", "b"))
-    pairs = _across(mixed.where(F.col("size") <= crowded), nodes, likeness, words)
-    full = mixed.where(F.col("size") > crowded)
+    if not mixed.limit(1).count():
+        return links
+    wanted = mixed.select("node").distinct()
+    sets = settle(_sets(docs, wanted.join(nodes.select("node", "key", "least"), "node"), shingle))
+    links, full = _peeled(mixed, links, nodes, sets, likeness, words, rounds)
     if full.limit(1).count():
         others = full.select("entry", "node").join(nodes.select("node", "entries"), "node")
         dealt = settle(others.select("node", F.col("entry").alias("first"), F.explode("entries").alias("other")).where("first <> other").select(
             "node", F.xxhash64(F.least("first", "other"), F.greatest("first", "other")).alias("entry")).distinct())
-        ends = dealt.groupBy("entry").agg(F.min("node").alias("lowest"), F.count("*").alias("size")).where("size > 1").drop("size")
-        again = settle(dealt.join(ends, "entry"))
-        links = settle(links.unionByName(confirmed(_stars(again), nodes, docs, likeness, shingle, words)))
-        pairs = pairs.unionByName(_across(_mixed(again, components(links, "a", "b")), nodes, likeness, words))
-    return links.unionByName(confirmed(pairs.distinct(), nodes, docs, likeness, shingle, words))
+        again = _mixed(dealt, components(links, "a", "b"))
+        if again.limit(1).count():
+            links, _ = _peeled(again, links, nodes, sets, likeness, words, rounds)
+    return links
 
 
 def like_groups(docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = WIDE_CROWDED) -> DataFrame:

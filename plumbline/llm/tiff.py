@@ -249,7 +249,7 @@ def read_pages(data: bytes) -> Iterator[Page]:
         try:
             fields, after = _directory(data, order, at)
             page = _samples(data, order, fields)
-        except (struct.error, KeyError, ValueError, zlib.error, MemoryError) as error:
+        except (struct.error, LookupError, ValueError, TypeError, OverflowError, zlib.error, MemoryError) as error:
             yield Page(0, 0, 0, 0, 0, 0, False, None, f"{type(error).__name__}: {error}")
             return
         yield page

@@ -41,8 +41,10 @@ KEPT = 0.5
 REMEMBERED = 300_000
 
 SPACED = re.compile(r"(?<!\S)\w(?:([ ._*-])\w)(?:\1\w)+(?!\w)")
-EDGES = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$+€£]+$|(?<=\w)([$+@€£!])\1+$")
-SUSPECT = re.compile(r"(.)\1\1|[^\W\d_].*[\d@$!|+(€£*#%&._-]|[\d@$!|+(€£].*[^\W\d_]")
+#: What goes at a token's beginning; at its end, which is read backwards.
+BEGIN, END, DOUBLED_END = re.compile(r"[^\w@$!|+(€£]+"), re.compile(r"[^\w@$+€£]+"), re.compile(r"([$+@€£!])\1+(?=\w)")
+#: A run of three, letters, marks that stand for letters, and those that may stand between or after letters.
+TRIPLE, LETTER, STANDIN, MARK = (re.compile(p) for p in (r"(.)\1\1", r"[^\W\d_]", r"[\d@$!|+(€£]", r"[\d@$!|+(€£*#%&._-]"))
 
 
 def letter_model(docs: DataFrame) -> np.ndarray:
@@ -111,12 +113,31 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def without_edges(token: str) -> str:
+    """A token without marks around it, but for such as may stand for its first or last letter."""
+    start = BEGIN.match(token)
+    word = token[start.end():] if start else token
+    back = word[::-1]
+    end = END.match(back) or DOUBLED_END.match(back)
+    return word[:len(word) - end.end()] if end else word
+
+
+def suspect(word: str) -> bool:
+    """Whether a word has three of a kind in a row, a letter before a mark, or a mark that may be a letter before a letter."""
+    if TRIPLE.search(word):
+        return True
+    letter = LETTER.search(word)
+    if not letter:
+        return False
+    back = word[::-1]
+    last_mark, first_mark, last_letter = MARK.search(back), STANDIN.search(word), LETTER.search(back)
+    return bool(last_mark and letter.start() < len(word) - last_mark.end() or first_mark and first_mark.start() < len(word) - last_letter.end())
+
+
 def restore_token(token: str, model: np.ndarray) -> str:
     """A token in lower case, without marks around it, restored if it may be disguised."""
-    word = EDGES.sub("", token.lower())
-    if SUSPECT.search(word):
-        return decode(word, model)
-    return word
+    word = without_edges(token.lower())
+    return decode(word, model) if suspect(word) else word
 
 
 def tokens_of(text: str) -> list[str]:

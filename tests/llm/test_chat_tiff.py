@@ -95,3 +95,16 @@ def test_text_media_of_odd_texts(spark):
         assert (got[i].payload_sha256, got[i].tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert got[2].media_sha256 == got[7].media_sha256 and got[2].feature == got[7].feature
     assert tiff.text_media(df.limit(0)).count() == 0
+
+
+def test_damaged_cells_give_error_pages(spark):
+    good = tiff.encode(b"\1" * 576 * 3, 576)
+    zero_counts = good[:4] + good[4:8]
+    at = int.from_bytes(good[4:8], "little")
+    entry = at + 2
+    emptied = bytearray(good)
+    for k in range(int.from_bytes(good[at:at + 2], "little")):
+        emptied[entry + 12 * k + 4:entry + 12 * k + 8] = bytes(4)  # no values in any field
+    cells = [bytes(emptied), zero_counts, b"", None, good[: len(good) // 2], b"II*\0\xff\xff\xff\xff"]
+    rows = tiff.decode_pages(spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "k int, media binary"), "k", "media").collect()
+    assert {r.k for r in rows if r.error} == set(range(len(cells)))

@@ -150,3 +150,12 @@ def test_hit_spans(spark):
     (hit,) = decontaminate.hits(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(4, item)], "item_id long, text string")).collect()
     assert text[hit.start:hit.end].strip(" .") == item.upper().strip(" .")
     assert hit.edits == 0
+
+
+def test_token_rules_take_linear_time():
+    import time
+
+    for word in ("ab" * 500_000, "-" * 1_000_000, "a" + "-" * 1_000_000 + "b", "1" * 999_999 + "a"):
+        started = time.perf_counter()
+        toxicity.suspect(toxicity.without_edges(word))
+        assert time.perf_counter() - started < 2

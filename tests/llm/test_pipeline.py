@@ -1,5 +1,7 @@
 """The corpus pipeline: what each stage keeps, by brute force on a small table."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from plumbline.llm import bpe, decontaminate, secrets
@@ -71,3 +73,43 @@ def test_odd_rows_pass(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = settle(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def item_words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n))
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_no_passage_spans_two_documents(spark, parts):
+    item = item_words(1, 30)
+    half = len(item) // 2
+    docs = [(1, "x " * 40 + item[:half]), (2, item[half:] + " y" * 40), (3, "z " * 30 + item + " z" * 9), (4, None), (5, "")]
+    found = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    whole = {r.doc_id for r in found if r.n_windows > 10}
+    assert whole == {3}
+    one = decontaminate.hits(spark.createDataFrame(docs[:2], "doc_id long, text string").coalesce(1), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert all(docs[r.doc_id - 1][1][r.start:r.end].strip() in item for r in one)
+
+
+def test_excerpts_from_anywhere_are_found(spark):
+    items = [(i, item_words(i, 60)) for i in range(4)]
+    rng = random.Random(2)
+    docs, n = [], 0
+    for item, text in items:
+        for length in (96, 100, 106, 112):
+            for _ in range(15):
+                at = rng.randrange(20, len(text) - length - 20)
+                docs.append((n, f"{item_words(1000 + n, 20)} {text[at:at + length]} {item_words(3000 + n, 20)}", item))
+                n += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string, item long")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.hits(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(d, i) for d, _, i in docs}
+
+
+def test_redaction_tells_rows_apart(spark):
+    rows = [(1, "a", "b: password=aaaabbbbcccc1234 tail"), (1, "a:b", " password=aaaabbbbcccc1234 tail"), (2, None, None), (None, "s", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "'r' AS __row", "'l' AS __live", "1 AS n_chars")
+    found = secrets.redact(df, max_owners=2)
+    assert found.columns == df.columns
+    assert sorted((r.text or "" for r in found.collect())) == ["", "", f" {secrets.REDACTION} tail", f"b: {secrets.REDACTION} tail"]
