@@ -97,8 +97,6 @@ LINE_NAME = r"^(\d{4})-(\d+)-(\d+)$"
 IMAGE_SUFFIX = r"(?i)\.(?:tif|tiff|png|jpg)$"
 CODE_PREFIX = "ANSWERS"
 
-# -- fallback baseline, used only where nothing was measured --
-FALLBACK_BASELINE = {"fid_floor": 33.72, "cer_real": 0.1233, "retrieval_real": 0.669}
 
 # What ends a line, and what counts as white space.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"

@@ -56,11 +56,11 @@ def is_stale(recorded: Column, current: Column) -> Column:
 
 
 def baseline_lookup(
-    datasets: DataFrame, metrics: DataFrame, fallback: dict[str, float] = fixed.FALLBACK_BASELINE
+    datasets: DataFrame, metrics: DataFrame, fallback: dict[str, float]
 ) -> DataFrame:
     """Each dataset's baseline per figure and where it came from.
 
-    ``datasets`` holds (dataset, records). Provenance: ``measured``, ``stale``,
+    ``datasets`` holds (dataset, records); ``fallback`` names the figures and what stands in for one that was never measured. Provenance: ``measured``, ``stale``,
     ``measured, count not recorded``, or ``fallback``.
     """
     counts = metrics.where(F.col("name") == "pack_records").select("dataset", F.col("value").alias("__recorded"))

@@ -232,14 +232,14 @@ def is_stale(read):
 @query("baseline_lookup", f"""
 WITH {SQL_METRICS},
 d AS (SELECT source AS dataset, count(*) AS records FROM documents GROUP BY 1),
-w(name, fallback) AS (VALUES ('fid_floor', 33.72::DOUBLE), ('cer_real', 0.1233::DOUBLE), ('retrieval_real', 0.669::DOUBLE))
+w(name, fallback) AS (VALUES ('fid_floor', 40.0::DOUBLE), ('cer_real', 0.2::DOUBLE), ('retrieval_real', 0.5::DOUBLE))
 SELECT d.dataset, w.name, round(coalesce(n.value, fallback), 6) AS value,
        CASE WHEN n.value IS NULL THEN 'fallback' WHEN p.value::BIGINT <> records THEN 'stale'
             WHEN p.value IS NULL THEN 'measured, count not recorded' ELSE 'measured' END AS provenance
 FROM d CROSS JOIN w LEFT JOIN new n ON n.dataset = d.dataset AND n.name = w.name
 LEFT JOIN new p ON p.dataset = d.dataset AND p.name = 'pack_records'""")
 def baseline_lookup(read):
-    return baselines.baseline_lookup(datasets(read), new_metrics(read)).withColumn("value", r6("value"))
+    return baselines.baseline_lookup(datasets(read), new_metrics(read), {"fid_floor": 40.0, "cer_real": 0.2, "retrieval_real": 0.5}).withColumn("value", r6("value"))
 
 
 @query("metrics_store", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = "step bigint, wall_time double, metric string, value double"
-PARTS = ("per_sample", "terms", "draws", "results")
+PARTS = ("per_sample", "terms", "draws", "results", "vectors", "distances", "features", "counts")
 
 
 def run_log_append(df: DataFrame, path: str) -> None:

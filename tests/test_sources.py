@@ -166,10 +166,10 @@ def test_metrics_store_and_carry(spark):
     baselines.save_metrics(merged, path)
     assert baselines.load_metrics(spark, path, "b").count() == 1
     sets = spark.createDataFrame([("a", 11), ("b", 3), ("c", 1)], "dataset string, records long")
-    looked = baselines.baseline_lookup(sets, spark.read.schema(baselines.SCHEMA).parquet(path))
+    looked = baselines.baseline_lookup(sets, spark.read.schema(baselines.SCHEMA).parquet(path), {"fid_floor": 40.0, "cer_real": 0.2, "retrieval_real": 0.5})
     notes = {(r["dataset"], r["name"]): (r["value"], r["provenance"]) for r in looked.collect()}
     assert notes[("a", "fid_floor")] == (2.0, "stale") and notes[("b", "cer_real")] == (0.1, "measured, count not recorded")
-    assert notes[("c", "cer_real")] == (0.1233, "fallback")
+    assert notes[("c", "cer_real")] == (0.2, "fallback")
 
 
 def test_run_bundle(spark):
