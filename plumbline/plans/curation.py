@@ -102,7 +102,7 @@ SELECT coalesce(reason, 'kept') AS reason,
        count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM marked GROUP BY 1, 2""")
 def drop_report(read):
-    return reasons.drop_report(order_manifest(read)).withColumn("share", r6("share"))
+    return reasons.drop_report(order_manifest(read, texts=False)).withColumn("share", r6("share"))
 
 
 # -- file names, from url parts and from line items --

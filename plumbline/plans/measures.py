@@ -321,15 +321,18 @@ def two_halves(read):
 WITH {SQL_SIDES},
 p AS (SELECT CASE fold WHEN 0 THEN 'real' ELSE 'generated' END AS side, i, j, v[i] AS x, v[j] AS y FROM s, range(1, 65) a(i), range(1, 65) b(j)),
 c AS (SELECT side, i, j, count(*) AS n, covar_samp(x, y) AS c FROM p GROUP BY 1, 2, 3)
-SELECT side, max(n) AS n, round(sum(c) FILTER (i = j), 6) AS trace, round(sum(c * (i * 64 + j)), 3) AS weighted FROM c GROUP BY 1""")
+SELECT side, max(n) AS n, round(sum(c) FILTER (i = j), 6) AS trace, round(sum(c * (i * 64 + j)), 3) AS weighted,
+       (SELECT round(sum(m * i), 6) FROM (SELECT i, avg(v[i]) AS m FROM s, range(1, 65) t(i) WHERE CASE fold WHEN 0 THEN 'real' ELSE 'generated' END = c.side GROUP BY i)) AS mean
+FROM c GROUP BY 1""")
 def gaussian_stats(read):
     stats = moments.gaussian_stats(two_halves(read), ["side"], "v", width(read))
     at = F.posexplode("cov").alias("p", "c")
+    means = stats.select("side", F.round(F.aggregate(F.transform("mean", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("mean"))
     long = stats.select("side", "n", at).withColumns({"i": F.floor(F.col("p") / 64) + 1, "j": F.pmod("p", F.lit(64)) + 1})
     return long.groupBy("side").agg(
         F.max("n").alias("n"), r6(F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))).alias("trace"),
         F.round(F.sum(F.col("c") * (F.col("i") * 64 + F.col("j"))), 3).alias("weighted"),
-    )
+    ).join(means, "side")
 
 
 @query("frechet_distance")
@@ -338,11 +341,13 @@ def frechet_distance(read):
 
 
 @query("span_project", f"""
-WITH {SQL_SIDES} SELECT vec_id, 65 - 1 AS width FROM s""")
+WITH {SQL_SIDES}, m AS (SELECT i, avg(v[i]) AS m FROM s, range(1, 65) t(i) GROUP BY 1)
+SELECT vec_id, 65 - 1 AS width, round(sum(2 * power(v[i] - m, 2)), 6) AS far FROM s, m GROUP BY 1""")
 def span_project(read):
     # Two copies of every entry span no more than one, so the width comes back to 64.
     wide = two_halves(read).withColumn("v", F.concat("v", "v"))
-    return moments.span_project(wide, "v", d=2 * width(read)).select("vec_id", F.size("v").alias("width"))
+    far = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return moments.span_project(wide, "v", d=2 * width(read)).select("vec_id", F.size("v").alias("width"), r6(far).alias("far"))
 
 
 @query("self_checks", """

@@ -71,9 +71,9 @@ m AS (SELECT * FROM b WHERE event_type <> 'purchase'), a AS (SELECT * FROM b WHE
 g AS (SELECT m.page, m.event_id, a.event_id AS anchor,
              sqrt(power(greatest(0.0, a.x0 - m.x1, m.x0 - a.x1), 2) + power(greatest(0.0, a.y0 - m.y1, m.y0 - a.y1), 2)) AS gap
       FROM m JOIN a USING (page)),
-p AS (SELECT page, event_id, gap FROM g WHERE gap <= 3
-      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap) = 1)
-SELECT m.page, m.event_id, round(gap, 6) AS gap FROM m LEFT JOIN p USING (page, event_id)""")
+p AS (SELECT page, event_id, anchor, gap FROM g WHERE gap <= 3
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap, anchor) = 1)
+SELECT m.page, m.event_id, anchor, round(gap, 6) AS gap FROM m LEFT JOIN p USING (page, event_id)""")
 def attach_nearest_boxes(read):
     hours = F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000.0
     rows = read("events").select(
@@ -83,7 +83,7 @@ def attach_nearest_boxes(read):
     found = marks.attach_nearest_boxes(
         rows.where("event_type <> 'purchase'"), rows.where("event_type = 'purchase'"), ["page"], "event_id", 3.0
     )
-    return found.select("page", "event_id", r6("gap").alias("gap"))
+    return found.select("page", "event_id", "anchor", r6("gap").alias("gap"))
 
 
 HOURS, SCALE = 720, 8.0

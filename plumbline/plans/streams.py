@@ -45,9 +45,12 @@ def stream_metrics(read):
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "metric", "n", r6("mean").alias("mean"), "latest")
 
 
-@query("stream_first_ok", SQL_DRAWS + f"""
+SQL_FIRST_OK = SQL_DRAWS + f"""
 SELECT request, attempt, score, ok FROM a WHERE score IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT ok, CASE WHEN ok THEN attempt END, {BADNESS}) = 1""")
+QUALIFY row_number() OVER (PARTITION BY request ORDER BY NOT ok, CASE WHEN ok THEN attempt END, {BADNESS}) = 1"""
+
+
+@query("stream_first_ok", SQL_FIRST_OK)
 def stream_first_ok(read):
     made = draws(read)
     path = fresh_path(made.sparkSession, "draws")
@@ -56,7 +59,7 @@ def stream_first_ok(read):
     return streams.collect_updates(chosen, ["request"]).select("request", "attempt", "score", "ok")
 
 
-@query("stream_first_ok_settled")
+@query("stream_first_ok_settled", SQL_FIRST_OK)
 def stream_first_ok_settled(read):
     made = draws(read).withColumn("ts", F.timestamp_seconds(F.col("request") * 60 + F.col("attempt")))
     path, out = fresh_path(made.sparkSession, "draws"), fresh_path(made.sparkSession, "settled-draws")
@@ -64,7 +67,7 @@ def stream_first_ok_settled(read):
     settled = streams.stream_first_ok(streams.file_stream(made.sparkSession, path, made.schema), "request", "ts", "1 minute")
     streams.drain(settled, out, "append")
     given = streams.stored(made.sparkSession, out, settled.schema).drop("epoch")
-    return streams.complete_first_ok(given, made.sparkSession.read.schema(made.schema).parquet(path), "request")
+    return streams.complete_first_ok(given, made.sparkSession.read.schema(made.schema).parquet(path), "request").select("request", "attempt", "score", "ok")
 
 
 SQL_BREAKER = """
