@@ -10,17 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import NORM_FLOOR, vector_mean
-from plumbline.operators.tiles import tiled_cogroup
 
-GALLERY_ROWS = 8_192
-QUERY_BLOCK = 20_000
-GALLERY_TILE = 4_096
+#: Groups and bytes of a gallery that goes to every task.
+GALLERY_ROWS, GALLERY_BYTES = 8_192, 16 << 20
+#: Bytes of queries that stand in one task, gallery rows that pass them at a time, and scores worked out at a time.
+QUERY_BYTES, PASSING, CELLS = 32 << 20, 1_024, 4_000_000
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -69,20 +68,22 @@ def score_against(
     groups, ``top`` the k best as (s, g), best first, equal scores by group name.
     Euclidean scores are minus distances.
 
-    A gallery of at most ``gallery_rows`` groups goes to every task and the queries
-    are streamed past it where they lie. A larger one is cut into tiles that meet
-    blocks of queries, and the tiles' results are merged per query.
+    A gallery of at most ``gallery_rows`` groups and GALLERY_BYTES goes to every task and
+    the queries are streamed past it where they lie. A larger one passes the queries
+    by, which stand in blocks.
     """
     g = gallery.select(F.col(gallery_group or group).cast("string").alias("g"), F.col(gallery_vector).cast("array<double>").alias("v"))
     q = queries.select(*key, F.col(group).cast("string").alias("__group"), F.col(vector).cast("array<double>").alias("__v"))
     types = {f.name: f.dataType.simpleString() for f in q.schema}
     schema = ", ".join([*[f"{c} {types[c]}" for c in key], "__group string", OUT])
 
-    few = g.limit(gallery_rows + 1).collect()
-    if not few:
+    first = g.limit(1).collect()
+    if not first:
         raise ValueError("an empty gallery")
-    if len(few) <= gallery_rows:
-        d = len(few[0]["v"])
+    d = len(first[0]["v"])
+    most = max(1, min(gallery_rows, GALLERY_BYTES // (8 * max(1, d))))
+    few = g.limit(most + 1).collect()
+    if len(few) <= most:
         few.sort(key=lambda r: r["g"])
         packed = queries.sparkSession.sparkContext.broadcast(
             (np.array([r["g"] for r in few]), np.array([r["v"] for r in few], dtype=float).reshape(len(few), d))
@@ -104,28 +105,95 @@ def score_against(
 
         scored = q.mapInArrow(stream, schema)
     else:
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            columns = [*key, "__group", "own", "total", "groups", "top"]
-            if left.empty or right.empty:
-                return pd.DataFrame({c: [] for c in columns})
-            right = right.sort_values("g")
-            found = _reduce(
-                _scores(np.stack(left["__v"].to_numpy()), np.stack(right["v"].to_numpy()), metric),
-                left["__group"].to_numpy(), right["g"].to_numpy(), k,
-            )
-            return pd.DataFrame({**{c: left[c].to_numpy() for c in [*key, "__group"]}, **found})[columns]
-
-        parts = tiled_cogroup(q, g, [], key, "g", meet, schema, QUERY_BLOCK, GALLERY_TILE)
-        best = F.array_sort(F.flatten(F.collect_list("top")), lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1)
-                            .when(a["g"] < b["g"], -1).when(a["g"] > b["g"], 1).otherwise(0))
-        scored = parts.groupBy(*key, "__group").agg(
-            F.max("own").alias("own"), F.sum("total").alias("total"), F.sum("groups").alias("groups"),
-            F.slice(best, 1, k).alias("top"),
-        )
+        scored = _passed_by(q, g, key, d, metric, k, schema)
     return scored.withColumnRenamed("__group", group)
 
 
+class _Standing:
+    """What queries know of the gallery rows that have passed them: own score, sum, number and the k best, equal scores by name."""
+
+    def __init__(self, rows: list[pa.RecordBatch], key: list[str], d: int, metric: str, k: int):
+        self.table = pa.Table.from_batches(rows).combine_chunks()
+        self.vectors = self.table.column("__v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        self.groups = np.array(self.table.column("__group").to_pylist(), dtype=object)
+        n = len(self.groups)
+        self.key, self.d, self.metric, self.k, self.passed = key, d, metric, k, 0
+        self.own, self.total = np.full(n, np.nan), np.zeros(n)
+        self.best, self.names = np.zeros((n, 0)), np.zeros((n, 0), dtype=object)
+
+    def see(self, vectors: pa.Array, names: list[str]) -> None:
+        """Gallery rows in the order of their names, after all that came before."""
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.d)
+        labels = np.array(names, dtype=object)
+        place = {name: i for i, name in enumerate(names)}
+        self.passed += len(names)
+        step = max(1, CELLS // max(1, len(names)))
+        found, told = [], []
+        for at in range(0, len(self.groups), step):
+            part = slice(at, at + step)
+            scores = _scores(self.vectors[part], matrix, self.metric)
+            self.total[part] += scores.sum(axis=1)
+            mine = np.array([place.get(o, -1) for o in self.groups[part]])
+            here = np.flatnonzero(mine >= 0)
+            self.own[at + here] = scores[here, mine[here]]
+            near = np.argsort(-scores, axis=1, kind="stable")[:, :self.k]
+            both = np.hstack([self.best[part], np.take_along_axis(scores, near, axis=1)])
+            who = np.hstack([self.names[part], labels[near]])
+            order = np.argsort(-both, axis=1, kind="stable")[:, :self.k]
+            found.append(np.take_along_axis(both, order, axis=1))
+            told.append(np.take_along_axis(who, order, axis=1))
+        self.best, self.names = np.concatenate(found), np.concatenate(told)
+
+    def rows(self) -> pa.RecordBatch:
+        top = [[{"s": s, "g": g} for s, g in zip(a, b, strict=True)] for a, b in zip(self.best.tolist(), self.names.tolist(), strict=True)]
+        n = len(self.groups)
+        return pa.RecordBatch.from_arrays(
+            [*[self.table.column(c).combine_chunks() for c in [*self.key, "__group"]], pa.array(self.own, from_pandas=True), pa.array(self.total), pa.array([self.passed] * n, pa.int64()),
+             pa.array(top, pa.list_(pa.struct([("s", pa.float64()), ("g", pa.string())])))], names=[*self.key, "__group", "own", "total", "groups", "top"])
+
+
+def _passed_by(q: DataFrame, g: DataFrame, key: list[str], d: int, metric: str, k: int, schema: str) -> DataFrame:
+    """Scores against a gallery of any size: each block of queries stands in one task, and the gallery's rows, a copy for each block, pass it in order.
+
+    A query travels once, whatever the gallery's size; a task holds one block of QUERY_BYTES and one batch of the gallery.
+    """
+    blocks = max(1, -(-q.count() * 8 * d // QUERY_BYTES))
+    block = F.pmod(F.xxhash64(*key, "__group"), F.lit(blocks)).cast("int").alias("__block")
+    standing = q.select(block, F.lit(None).cast("string").alias("__g"), *key, "__group", "__v")
+    passing = g.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"), F.col("g").alias("__g"), F.col("v").alias("__v"))
+    met = standing.unionByName(passing, allowMissingColumns=True).repartition("__block").sortWithinPartitions("__block", F.asc_nulls_first("__g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, state = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if waiting or state is not None:
+                yield (state or _Standing(waiting, key, d, metric, k)).rows()
+
+        for batch in batches:
+            number = batch.column("__block").to_numpy()
+            asks = batch.column("__g").is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if number[a] != now:
+                    yield from done()
+                    now, waiting, state = number[a], [], None
+                part = batch.slice(a, b - a)
+                if asks[a]:
+                    waiting.append(part)
+                elif waiting or state is not None:
+                    state = state or _Standing(waiting, key, d, metric, k)
+                    waiting = []
+                    for at in range(0, part.num_rows, PASSING):
+                        some = part.slice(at, PASSING)
+                        state.see(some.column("__v"), some.column("__g").to_pylist())
+        yield from done()
+
+    return met.mapInArrow(run, schema)
+
+
 def top_k(scored: DataFrame, key: list[str]) -> DataFrame:
     """One row per query and place: (key, rank from 1, gallery group, score)."""
     rows = scored.select(*key, F.posexplode("top").alias("p", "t"))

@@ -22,8 +22,8 @@ def cloud(spark):
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_scores_streamed_and_tiled(cloud, metric, monkeypatch):
-    monkeypatch.setattr(similarity, "QUERY_BLOCK", 50)
-    monkeypatch.setattr(similarity, "GALLERY_TILE", 7)
+    monkeypatch.setattr(similarity, "QUERY_BYTES", 50 * 8 * 6)
+    monkeypatch.setattr(similarity, "PASSING", 7)
     gallery = vector_mean(cloud, ["group"], "v")
     near = similarity.score_against(cloud, gallery, ["key"], "group", "v", 4, metric)
     far = similarity.score_against(cloud, gallery, ["key"], "group", "v", 4, metric, gallery_rows=3)
@@ -347,3 +347,23 @@ def test_corpus_rate_is_not_the_mean(spark):
     df = spark.createDataFrame([("x", "a"), ("abcdefghij", "abcdefghij")], "p string, t string")
     r = rates.corpus_error_rate(rates.error_terms(df, "p", "t")).first()
     assert r["cer"] == pytest.approx(1 / 11) and r["mean_rate"] == 0.5
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_large_gallery_passes_the_queries(spark, monkeypatch, metric):
+    """A gallery past every bound, queries in several blocks: the rows are those of the broadcast form, and no query is copied."""
+    rng = np.random.default_rng(5)
+    gallery = spark.createDataFrame([(f"g{i % 2000:04d}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2000, 8)))], "group string, mean array<double>")
+    queries = spark.createDataFrame([(i, f"g{i * 5:04d}" if i % 9 else "nobody", [float(x) for x in v]) for i, v in enumerate(np.round(rng.normal(size=(300, 8)), 1))],
+                                    "key long, group string, v array<double>")
+    near = similarity.score_against(queries, gallery, ["key"], "group", "v", 4, metric)
+    monkeypatch.setattr(similarity, "QUERY_BYTES", 8 * 8 * 70)
+    monkeypatch.setattr(similarity, "PASSING", 130)
+    monkeypatch.setattr(similarity, "GALLERY_BYTES", 8 * 8 * 500)
+    far = similarity.score_against(queries.repartition(3), gallery, ["key"], "group", "v", 4, metric)
+    a, b = ({r["key"]: r for r in df.collect()} for df in (near, far))
+    assert set(a) == set(b) and len(b) == 300
+    for x, r in a.items():
+        assert [t["g"] for t in r["top"]] == [t["g"] for t in b[x]["top"]] and (r["own"] is None) == (b[x]["own"] is None)
+        assert b[x]["total"] == pytest.approx(r["total"]) and b[x]["groups"] == 2000 and (r["own"] is None or b[x]["own"] == pytest.approx(r["own"]))
+    assert far._jdf.queryExecution().executedPlan().toString().count("mapInArrow") <= 2
