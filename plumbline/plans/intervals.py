@@ -113,14 +113,14 @@ def paired_diff_interval(read):
     return shown(found, "verdict")
 
 
-@query("relative_change_interval", "WITH " + sql_boot(
-    """SELECT user_id, (last - first) / first AS change FROM (SELECT user_id, arg_min(value, struct_pack(t := ts, e := event_id)) AS first,
-       arg_max(value, struct_pack(t := ts, e := event_id)) AS last FROM events WHERE value > 0 GROUP BY 1)""",
-    "sum(w * change) / sum(w)", 1000, "user_id") + f"SELECT {INTERVAL}, CASE WHEN value <= -0.03 AND high < 0 THEN 'run' ELSE 'close' END AS decision FROM boot_z")
+@query("relative_change_interval", """WITH ends AS (SELECT user_id, arg_min_null(value, struct_pack(t := ts, e := event_id)) AS first,
+       arg_max_null(value, struct_pack(t := ts, e := event_id)) AS last FROM events GROUP BY 1),
+ch AS (SELECT user_id, CASE WHEN first <> 0 THEN (last - first) / first END AS change FROM ends), """ + sql_boot(
+    "SELECT user_id, change FROM ch WHERE change IS NOT NULL", "sum(w * change) / sum(w)", 1000, "user_id") + f"""
+SELECT {INTERVAL}, CASE WHEN value <= -0.03 AND high < 0 THEN 'run' ELSE 'close' END AS decision, (SELECT count(*) FROM ch WHERE change IS NULL) AS undefined FROM boot_z""")
 def relative_change_interval(read):
-    rows = read("events").where("value > 0")
-    found = intervals.relative_change_interval(rows, "user_id", F.struct("ts", "event_id"), "value", resamples=1000)
-    return shown(found, "decision")
+    found = intervals.relative_change_interval(read("events"), "user_id", F.struct("ts", "event_id"), "value", resamples=1000)
+    return shown(found, "decision", "undefined")
 
 
 @query("frechet_interval")

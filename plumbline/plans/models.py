@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import vector_mean
-from plumbline.operators import rates, scorers
+from plumbline.operators import checks, rates, scorers
 from plumbline.plans.registry import query, r6
 
 
@@ -51,3 +51,19 @@ SELECT p_partkey, CASE WHEN contains(p_type, split_part(p_name, ' ', 1)) THEN NU
 def verify_with(read):
     rows = scorers.verify_with(read("part").select("p_partkey", "p_type", "p_name"), "p_type", "p_name", long_word_finder)
     return rows.select("p_partkey", "omission.word", "omission.support")
+
+
+def bar_maker():
+    """An output for each text, none for one that begins with b: a bar for each letter a, and one for the text."""
+    return lambda texts, sizes: [None if t.startswith("b") else [float(size)] + [1.0] * t.count("a") for t, size in zip(texts, sizes, strict=True)]
+
+
+@query("generate_with", """
+SELECT p_partkey, CASE WHEN starts_with(p_name, 'b') THEN 'no output for the request' WHEN NOT contains(p_name, 'a') THEN 'flat' END AS fault,
+       CASE WHEN NOT starts_with(p_name, 'b') THEN length(p_name) - length(replace(p_name, 'a', '')) + 1 END::INT AS width,
+       CASE WHEN NOT starts_with(p_name, 'b') THEN p_size::DOUBLE END AS first FROM part WHERE p_size > 1""")
+def generate_with(read):
+    asked = read("part").where("p_size > 1").select("p_partkey", "p_name", "p_size")
+    made = scorers.generate_with(asked, ["p_name", "p_size"], bar_maker)
+    faults = checks.output_checks(made, "p_partkey", "output")
+    return made.join(faults, "p_partkey", "left").select("p_partkey", "fault", F.when(F.col("output").isNotNull(), F.size("output")).alias("width"), F.get("output", F.lit(0)).alias("first"))
