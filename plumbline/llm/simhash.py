@@ -285,11 +285,17 @@ def _peeled(mixed: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFram
         sizes = mixed.groupBy("entry", "root").agg(F.count("*").alias("size"), F.min("node").alias("leaves"))
         ends = sizes.groupBy("entry").agg(F.min(F.struct("size", "leaves", "root")).alias("e")).select("entry", "e.leaves", F.col("e.root").alias("its"))
         told = settle(mixed.join(ends, "entry"))
-        pairs = told.where("root <> its").select(F.least("leaves", "node").alias("a"), F.greatest("leaves", "node").alias("b")).distinct()
-        found = settle(_alike(_likely_pairs(pairs, nodes, likeness, words), sets, likeness))
+        pairs = told.where("root <> its").select(F.least("leaves", "node").alias("a"), F.greatest("leaves", "node").alias("b"), F.col("root").alias("u"), F.col("its").alias("v"))
+        pairs = settle(pairs.dropDuplicates(["a", "b"]))
+        found = settle(_alike(_likely_pairs(pairs.select("a", "b"), nodes, likeness, words), sets, likeness))
+        left = told.where("node <> leaves").select("entry", "node", "root")
         if found.limit(1).count():
-            links = settle(links.unionByName(found))
-        mixed = _mixed(told.where("node <> leaves"), components(links, "a", "b"))
+            links = links.unionByName(found)
+            # only the groups that these links bring together take another root
+            moved = components(found.join(pairs, ["a", "b"]), "u", "v").select(F.col("node").alias("was"), F.col("root").alias("becomes"))
+            left = left.join(moved, F.col("root") == F.col("was"), "left").select("entry", "node", F.coalesce("becomes", "root").alias("root"))
+        several = left.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("entry")
+        mixed = settle(left.join(several, "entry"))
         if not mixed.limit(1).count():
             break
     return links, mixed
