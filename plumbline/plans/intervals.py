@@ -183,7 +183,8 @@ class Evenness(Aggregate):
        .split("c_r AS")[0].rstrip().rstrip(",") + """,
 c AS (SELECT p_brand, r, category, sum(w) AS w FROM c_d GROUP BY 1, 2, 3),
 t AS (SELECT p_brand, r, sum(w) AS drawn FROM c GROUP BY 1, 2),
-s AS (SELECT p_brand, r, any_value(drawn) AS drawn, -sum(CASE WHEN w > 0 THEN w / drawn * ln(w / drawn) ELSE 0 END) AS stat FROM c JOIN t USING (p_brand, r) WHERE drawn > 0 GROUP BY 1, 2)
+e AS (SELECT p_brand, r, any_value(drawn) AS drawn, -sum(CASE WHEN w > 0 THEN w / drawn * ln(w / drawn) ELSE 0 END) AS stat FROM c JOIN t USING (p_brand, r) GROUP BY 1, 2),
+s AS (SELECT p_brand, r, drawn, CASE WHEN drawn > 0 THEN stat ELSE max(stat) FILTER (r < 0) OVER (PARTITION BY p_brand) END AS stat FROM e)
 SELECT p_brand, round(max(stat) FILTER (r < 0), 6) AS value, round(quantile_cont(stat, 0.025) FILTER (r >= 0), 6) AS low,
        round(quantile_cont(stat, 0.975) FILTER (r >= 0), 6) AS high, (max(drawn) FILTER (r < 0))::BIGINT AS n FROM s GROUP BY 1""")
 def statistic_interval(read):
