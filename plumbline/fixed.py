@@ -92,8 +92,8 @@ REQUIRED_METRICS = ("fid_floor", "cer_real", "retrieval_real")
 
 # -- name patterns --
 PAGE_NAME = r"(?i)^(\d{4})-(\d+)(?:-cropped)?\.(?:tif|tiff|png|jpg)$"
-PART_NAME = r"^(\d{4})-(\d+)-(\d+)-(\d+)-(.+)$"
-LINE_NAME = r"^(\d{4})-(\d+)-(\d+)$"
+PART_NAME = r"^(\d{4,})-(\d+)-(\d+)-(\d+)-(.+)$"
+LINE_NAME = r"^(\d{4,})-(\d+)-(\d+)$"
 IMAGE_SUFFIX = r"(?i)\.(?:tif|tiff|png|jpg)$"
 CODE_PREFIX = "ANSWERS"
 

@@ -81,6 +81,14 @@ def test_lines(spark, tmp_path):
     assert reasons.reconciles(reasons.drop_report(scanned), scanned).first()["agree"]
 
 
+def test_writers_past_four_digits(spark):
+    listed = spark.createDataFrame([(f"/t/words/{w}-7-1-2-a.tif",) for w in ("0999", "10000", "59999", "999")] + [("/t/lines/10000-7-1.tif",)], "path string")
+    scanned = {r["path"][9:].split("-")[0]: (r["writer_id"], r["reason"]) for r in files.scan_parts(listed, tx.alphabet("english"), ()).collect()}
+    assert scanned == {"0999": ("0999", None), "10000": ("10000", None), "59999": ("59999", None), "999": (None, fixed.UNPARSED_NAME)}
+    line = files.scan_groups(listed, tx.alphabet("english"), keep_incomplete=True).first()
+    assert (line["writer_id"], line["text"]) == ("10000", "a")
+
+
 def test_copies_of_parts_are_all_kept(spark):
     rows = [("g", 0, "a")] * 3 + [("g", 1, "b")] + [("h", 1, "x"), ("i", 0, "p"), ("i", 0, "q"), ("i", 2, "r")]
     built = reassemble(spark.createDataFrame(rows, "g string, i int, t string"), ["g"], "i", "t")
