@@ -113,11 +113,17 @@ def pack_size(spark: SparkSession, path: str) -> DataFrame:
     return listed.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
-def pack_compact(spark: SparkSession, path: str, destination: str, bytes_per_file: int = 256 * 1024 * 1024) -> DataFrame:
-    """Rewrite a pack into files of about ``bytes_per_file``; returns the new header."""
+def pack_compact(
+    spark: SparkSession, path: str, destination: str, bytes_per_file: int = 256 * 1024 * 1024, files: int | None = None
+) -> DataFrame:
+    """Rewrite a pack into files of about ``bytes_per_file``, or into ``files`` of them; returns the new header.
+
+    A file is one task's, which sorts its records outside memory and writes them row group by row group.
+    """
     header = read_header(spark, path).first()
-    size = pack_size(spark, path).first()["bytes"] or 0
-    files = max(1, -(-size // bytes_per_file))
+    if files is None:
+        size = pack_size(spark, path).first()["bytes"] or 0
+        files = max(1, -(-size // bytes_per_file))
     return pack_write(
         pack_read(spark, path), destination, header["height"], header["charset"], header["source"], dict(header["config"]), files=files
     )

@@ -154,6 +154,19 @@ def test_pack(spark):
         packs.pack_read(spark, path)
 
 
+def test_compact_into_files_asked_for(spark, monkeypatch, read):
+    from plumbline.plans import stores
+
+    path, split, whole = (fresh_path(spark, "pack") for _ in range(3))
+    packs.pack_write(records(spark), path, 64, files=4)
+    packs.pack_compact(spark, path, split, bytes_per_file=1500)
+    packs.pack_compact(spark, path, whole, bytes_per_file=1500, files=1)
+    assert packs.pack_size(spark, split).first()["files"] > 1 == packs.pack_size(spark, whole).first()["files"]
+    assert [r["key"] for r in packs.pack_read(spark, whole).collect()] == sorted(r["key"] for r in packs.pack_read(spark, path).collect())
+    monkeypatch.setattr(packs.pack_compact, "__defaults__", (1000, None))  # a pack of many times the size of a file
+    assert stores.pack_compact(read).first()["files"] == 1
+
+
 def test_pack_refusals(spark):
     path = fresh_path(spark, "pack")
     with pytest.raises(packs.PackError, match="twice"):
