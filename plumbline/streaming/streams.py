@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +16,9 @@ from plumbline.operators.reasons import Rule, first_reason
 from plumbline.operators.selection import acceptable, badness
 from plumbline.session import fresh_path
 
+#: Groups that ``stream_first_ok`` deals its requests out to; a call takes milliseconds, whatever it holds.
+REQUEST_BUCKETS = 1024
+
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
     """Parquet files as they arrive in ``folder``; the schema is given, never inferred."""
@@ -107,57 +112,74 @@ def stream_choose(draws: DataFrame, request: str) -> DataFrame:
     return chosen.select(request, F.coalesce("first", "least").alias("r")).select(request, "r.*")
 
 
-def stream_first_ok(draws: DataFrame, request: str, ts: str, lateness: str, patience: str = "10 minutes") -> DataFrame:
+def _least_bad(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each request's least bad draw, beside its newest time and whether it was settled."""
+    by = rows.groupby("name", dropna=False, sort=False)
+    rows = rows.assign(seen=by["seen"].transform("max"), done=by["done"].transform("max"))
+    return rows.sort_values(["level", "score", "attempt"], kind="stable").drop_duplicates("name")
+
+
+def stream_first_ok(
+    draws: DataFrame, request: str, ts: str, lateness: str, patience: str = "10 minutes", buckets: int = REQUEST_BUCKETS
+) -> DataFrame:
     """(request, attempt, score, ok) once per request, as soon as it is settled.
 
     The first acceptable draw to arrive settles a request; without one, the least
     bad is given when no draw came for ``patience`` of event time. Later draws are
     ignored for as long as they come within ``patience`` of each other; then the
-    request is forgotten. State per request is one draw, however many arrive.
+    request is forgotten. State per request is one draw, however many arrive. Requests
+    are dealt out to ``buckets`` by hash, and a bucket's are settled together: a call for
+    each of them takes longer than all else. A call holds its bucket's open requests.
     """
     wait = int(pd.Timedelta(patience).total_seconds() * 1000)
     bad = badness()
+    level = sum((bad[c].cast("int") * w for c, w in (("smear", 4), ("omitted", 2), ("doubled", 1))), F.lit(0))
     scored = (
         draws.where(F.col("score").isNotNull())
         .withColumn("ok", F.coalesce(acceptable(), F.lit(False)))
-        .select(request, "attempt", "score", "ok", ts,
-                F.array(*[bad[c].cast("double") for c in ("smear", "omitted", "doubled", "score", "attempt")]).alias("bad"))
-        .withWatermark(ts, lateness)
+        # the name travels as text: pandas has no exact whole numbers beside NULL
+        .select(F.pmod(F.xxhash64(request), F.lit(buckets)).cast("int").alias("bucket"), F.col(request).cast("string").alias("name"),
+                F.col("attempt").cast("int").alias("attempt"), F.col("score").cast("double").alias("score"), "ok", level.alias("level"),
+                F.col(ts).alias("ts"))
+        .withWatermark("ts", lateness)
     )
     kind = draws.schema[request].dataType.simpleString()
-    out = f"{request} {kind}, attempt int, score double, ok boolean"
+    kept = pa.schema([("name", pa.string()), ("level", pa.int32()), ("score", pa.float64()), ("attempt", pa.int32()),
+                      ("seen", pa.int64()), ("done", pa.bool_())])
 
-    def settle_request(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def row(attempt, score, ok):
-            return pd.DataFrame({request: [key[0]], "attempt": [attempt], "score": [score], "ok": [ok]})
-
-        done, bad, attempt, score, seen = state.get if state.exists else (False, None, 0, 0.0, 0)
-        if state.hasTimedOut:
-            if not done:
-                yield row(attempt, score, False)
+    def settle_requests(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        good = None
+        for frame in [] if state.hasTimedOut else frames:
+            seen = frame["ts"].to_numpy().astype("datetime64[ms]").astype("int64")
+            rows = frame.assign(seen=np.maximum(seen, 0), done=False)
+            fine = rows.loc[rows["ok"], ["name", "attempt", "score"]]
+            good = (fine if good is None else pd.concat([good, fine])).sort_values("attempt", kind="stable").drop_duplicates("name")
+            rows = rows[kept.names]
+            held = _least_bad(rows if held is None else pd.concat([held, rows]))
+        if good is not None and len(good):
+            new = good[~good["name"].isin(held.loc[held["done"], "name"])]
+            yield new.assign(ok=True)[["name", "attempt", "score", "ok"]]
+            held["done"] |= held["name"].isin(new["name"])
+        watermark = state.getCurrentWatermarkMs()
+        over = held["seen"] + wait < watermark
+        given = held[over & ~held["done"]]
+        if len(given):
+            yield given.assign(ok=False)[["name", "attempt", "score", "ok"]]
+        held = held[~over]
+        if not len(held):
             state.remove()
             return
-        good = None
-        for frame in frames:
-            seen = max(seen, int(frame[ts].to_numpy().max().astype("datetime64[ms]").astype("int64")))
-            if done:
-                continue
-            for b, a, s, fine in zip(*(frame[c].to_numpy() for c in ("bad", "attempt", "score", "ok")), strict=True):
-                if fine and (good is None or a < good[0]):
-                    good = (int(a), float(s))
-                rank = [float(x) for x in b]
-                if bad is None or rank < list(bad):
-                    bad, attempt, score = rank, int(a), float(s)
-        if good and not done:
-            done = True
-            yield row(good[0], good[1], True)
-        state.update((done, bad, attempt, score, seen))
-        state.setTimeoutTimestamp(max(seen + wait, state.getCurrentWatermarkMs() + 1))
-
-    return scored.groupBy(request).applyInPandasWithState(
-        settle_request, out, "done boolean, bad array<double>, attempt int, score double, seen bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept) as writer:
+            writer.write_table(pa.Table.from_pandas(held, kept, preserve_index=False))
+        state.update((sink.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(max(int(held["seen"].min()) + wait, watermark + 1))
+
+    settled = scored.groupBy("bucket").applyInPandasWithState(
+        settle_requests, "name string, attempt int, score double, ok boolean", "held binary", "append", GroupStateTimeout.EventTimeTimeout,
     )
+    return settled.select(F.col("name").cast(kind).alias(request), "attempt", "score", "ok")
 
 
 def complete_first_ok(given: DataFrame, draws: DataFrame, request: str) -> DataFrame:

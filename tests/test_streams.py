@@ -77,6 +77,24 @@ def test_first_acceptable(spark):
     assert {r["request"]: (r["attempt"], r["ok"]) for r in running.collect()} == rows
 
 
+def test_requests_of_one_bucket_settle_apart(spark):
+    folder = fresh_path(spark, "draws")
+    rows = [draw(r, a, 0.9 if a < 3 or r % 3 else 0.3, r) for r in range(40) for a in (2, 1, 3)]
+    feed(spark.createDataFrame([r for r in rows if r[1] == 2], DRAW), folder)
+    feed(spark.createDataFrame([r for r in rows if r[1] != 2], DRAW), folder)
+    feed(spark.createDataFrame([draw(0, 4, 0.1, 45), draw(1, 4, 0.1, 45)], DRAW), folder)
+    feed(spark.createDataFrame([draw(100, 1, 0.1, 500)], DRAW), folder)
+    found = {}
+    for buckets in (1, 3, 1024):
+        out = fresh_path(spark, "out")
+        settled = streams.stream_first_ok(streams.file_stream(spark, folder, DRAW, 1), "request", "ts", "60 minutes", buckets=buckets)
+        streams.drain(settled, out, "append")
+        found[buckets] = sorted(map(tuple, streams.stored(spark, out, settled.schema).drop("epoch").collect()))
+    assert found[1] == found[3] == found[1024]
+    expected = {(r, 3, 0.3, True) if r % 3 == 0 else (r, 1, 0.9, False) for r in range(2, 40)} | {(0, 3, 0.3, True), (1, 4, 0.1, True), (100, 1, 0.1, True)}
+    assert found[1] == sorted(expected)
+
+
 def test_open_requests_come_out_when_the_input_ends(spark):
     folder, out = fresh_path(spark, "draws"), fresh_path(spark, "out")
     feed(spark.createDataFrame([draw(1, 1, 0.9, 0), draw(1, 2, 0.3, 1), draw(2, 1, 0.9, 0), draw(3, 1, None, 0), draw(None, 1, 0.2, 0)], DRAW), folder)
