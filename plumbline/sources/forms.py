@@ -27,9 +27,13 @@ def read_forms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def forms_from_text(df: DataFrame, xml: Column, keep: list[str] | None = None) -> DataFrame:
-    """The same rows from a column of XML documents."""
+    """The same rows from a column of XML documents.
+
+    The row is exploded from an array of one, so that a document is parsed once: a later filter would be moved below a plain
+    projection, with a parse for every field it asks for.
+    """
     parsed = F.from_xml(xml, FORM_SCHEMA, {"mode": "FAILFAST", "rowTag": "form"})
-    return df.select(*(keep or []), parsed.alias("__form")).select(*(keep or []), "__form.*")
+    return df.select(*(keep or []), F.explode(F.array(parsed)).alias("__form")).select(*(keep or []), "__form.*")
 
 
 def all_lines() -> Column:

@@ -116,6 +116,15 @@ def test_forms(spark, tmp_path):
     assert {r["word_id"]: r["reason"] for r in lenient.collect()}["c03-000a-01-00"] == fixed.MISSING_IMAGE
 
 
+def test_a_form_is_parsed_once(spark):
+    texts = spark.createDataFrame([(1, FORM), (2, '<form id="z"><line id="z-0"><word text="q"/></line></form>')], "n int, xml string")
+    found = forms.validate_forms(forms.forms_from_text(texts, F.col("xml"), ["n"]), "n")
+    assert [(r["form"], len(r["problems"])) for r in found.collect()] == [(2, 2)]
+    scanned = forms.scan_forms(forms.forms_from_text(texts, F.col("xml")), tx.alphabet("english"))
+    for rows in (found, scanned):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
 def test_numbered_text_and_codes(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\r\ntwo\n\nfour\n")
     rows = files.numbered_text(spark, str(tmp_path)).orderBy("line_no").collect()
