@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from plumbline import fixed
 
 
+#: Bytes of text that are worked on at once; batches are bounded by rows only.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """``texts`` cut into runs of about ``limit`` bytes, or of one longer text and what comes before it."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // limit)) + 1).tolist(), len(texts)]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        yield texts.slice(start, end - start)
+
+
 class Alphabet:
     """An ordered alphabet. Index 0 pads, 1 stands for anything else, characters start at 2."""
 
@@ -38,7 +50,7 @@ class Alphabet:
     def encode(self, text: Column) -> Column:
         """One index per character, as array<int>.
 
-        A batch's texts are turned into code points at once and looked up in a table;
+        The texts of a piece of a batch are turned into code points at once and looked up in a table;
         built-in array functions take a lambda call per character, fifty times as long.
         """
         table = np.full(0x110000, fixed.UNK_INDEX, dtype=np.int32)
@@ -47,8 +59,7 @@ class Alphabet:
         known = int(max(map(ord, self.characters))) + 1
         table = table[:known].copy()
 
-        @F.arrow_udf("array<int>")
-        def codes(texts: pa.Array) -> pa.Array:
+        def looked_up(texts: pa.Array) -> pa.Array:
             whole = "".join(t or "" for t in texts.to_pylist())
             points = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
             found = np.where(points < known, table[np.minimum(points, known - 1)], np.int32(fixed.UNK_INDEX))
@@ -57,6 +68,12 @@ class Alphabet:
             mask = texts.is_null() if texts.null_count else None
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()), mask=mask)
 
+        @F.arrow_udf("array<int>")
+        def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                for part in pieces(texts):
+                    yield looked_up(part)
+
         return codes(text)
 
     def decode(self, indices: Column, keep_unknown: bool = False) -> Column:

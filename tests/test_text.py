@@ -80,6 +80,19 @@ def test_alphabet(spark):
         column(spark, [([999],)], "a array<int>", english.decode(F.col("a")))
 
 
+def test_long_texts_are_encoded_in_pieces(spark):
+    import pyarrow as pa
+
+    texts = ["ab", None, "x" * 30, "", "é" * 10, "", "c"]
+    cut = [p.to_pylist() for p in tx.pieces(pa.array(texts), 16)]
+    assert len(cut) > 2 and sum(cut, []) == texts and [p.to_pylist() for p in tx.pieces(pa.array([], pa.string()), 16)] == [[]]
+    held = max(sum(len((t or "").encode()) for t in p) for p in cut)
+    assert held <= 30 + 16
+    long = [(f"{i}" * 300_000,) for i in range(10)] + [(None,), ("",)]
+    codes = column(spark, long, "a string", tx.alphabet("english").encode(F.col("a")))
+    assert [c and (len(c), set(c)) for c in codes] == [(300_000, {tx.alphabet("english").characters.index(str(i)) + 2}) for i in range(10)] + [None, []]
+
+
 def test_registry():
     for bad in ("", "aba"):
         with pytest.raises(ValueError):
