@@ -11,26 +11,46 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 READ_BATCH = 32
 EMBED_BATCH = 64
+#: Records that are given back at once, about.
+PIECE_ROWS = 512
+#: Bytes of a batch of records, long texts or short.
+BATCH_BYTES, BATCH_CONF, SPARKS_OWN = f"{2 << 20}b", "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Records come to tasks in batches of ``BATCH_BYTES``, unless the session was given another bound than Spark's own."""
+    if spark.conf.get(BATCH_CONF) == SPARKS_OWN:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
+def _answered(
+    frames: Iterator[pd.DataFrame], model: Callable, inputs: list[str], answer: Callable, out: str, batch: int
+) -> Iterator[pd.DataFrame]:
+    """Frames with their answers, a few model batches at a time, so that a frame's answers are never held together."""
+    step = batch * max(1, PIECE_ROWS // batch)
+    for frame in frames:
+        for start in range(0, len(frame), step):
+            piece = frame.iloc[start : start + step]
+            found: list = []
+            for at in range(0, len(piece), batch):
+                part = piece.iloc[at : at + batch]
+                given = model(*[part[c].tolist() for c in inputs])
+                if len(given) != len(part):
+                    raise ValueError(f"{len(given)} answers for {len(part)} records")
+                found.extend(answer(given))
+            yield piece.assign(**{out: pd.Series(found, index=piece.index, dtype=object)})
 
 
 def _in_batches(df: DataFrame, inputs: list[str], factory: Callable[[], Callable], answer: Callable, out: str, kind: str, batch: int) -> DataFrame:
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    _bound_batches(df.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        for frame in frames:
-            found: list = []
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                given = model(*[part[c].tolist() for c in inputs])
-                if len(given) != len(part):
-                    raise ValueError(f"{len(given)} answers for {len(part)} records")
-                found.extend(answer(given))
-            yield frame.assign(**{out: pd.Series(found, index=frame.index, dtype=object)})
+        return _answered(frames, factory(), inputs, answer, out, batch)
 
     return df.mapInPandas(run, f"{types}, {out} {kind}")
 

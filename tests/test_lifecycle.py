@@ -85,6 +85,16 @@ def test_wrong_number_of_answers_stops(spark):
     assert {r["t"]: r["output"] for r in made.collect()} == {"a": [1.0, 2.0], "b": None}
 
 
+def test_records_and_answers_come_in_small_pieces(spark):
+    import pandas as pd
+
+    frame = pd.DataFrame({"n": range(2000)})
+    given = list(scorers._answered(iter([frame]), lambda ns: [n + 1 for n in ns], ["n"], list, "m", 64))
+    assert [len(g) for g in given] == [512, 512, 512, 464] and pd.concat(given)["m"].tolist() == list(range(1, 2001))
+    scorers.read_with(spark.range(3), "id", lambda: lambda ids: [str(i) for i in ids])
+    assert spark.conf.get(scorers.BATCH_CONF) == scorers.BATCH_BYTES
+
+
 def test_scored_draws(spark):
     requests = spark.createDataFrame([(1, "about the", 90.0)], "request long, text string, predicted double")
     draws = spark.createDataFrame([(1, 1, "about the the", 45.0), (1, 2, None, None)], "request long, attempt int, reading string, size double")
