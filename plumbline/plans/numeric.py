@@ -75,7 +75,7 @@ p AS (SELECT page, event_id, anchor, gap FROM g WHERE gap <= 3
       QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY gap, anchor) = 1)
 SELECT m.page, m.event_id, anchor, round(gap, 6) AS gap FROM m LEFT JOIN p USING (page, event_id)""")
 def attach_nearest_boxes(read):
-    hours = F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000.0
+    hours = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600.0  # in the SQL's two steps: one rounds otherwise
     rows = read("events").select(
         "event_id", "event_type", F.pmod("user_id", F.lit(10)).alias("page"), hours.alias("x0"), F.col("value").alias("y0"),
         (hours + 2).alias("x1"), (F.col("value") + 1 + F.pmod("user_id", F.lit(3))).alias("y1"),

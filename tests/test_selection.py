@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, joins, marks, selection, tone
+from plumbline.operators import checks, joins, marks, selection, tiles, tone
 from plumbline.operators.breaker import breaker
 
 SCHEMA = "request int, attempt int, score double, overrun int, support double, width_ratio double, doubled string, similarity double"
@@ -179,6 +179,29 @@ def test_nearest_boxes(spark):
                 assert found[i] == (None, None)
 
 
+def test_crowded_boxes_leave_at_the_first_they_touch(spark, monkeypatch):
+    monkeypatch.setattr(marks, "CHUNK", 7)
+    rng = np.random.default_rng(5)
+    spots = [*rng.uniform(0, 3, size=(150, 2)), *rng.uniform(0, 90, size=(60, 2))]
+    rows = [(int(k), 0, float(x), float(y), float(x + 1), float(y + 1), bool(a)) for k, (x, y), a in zip(rng.permutation(210), spots, rng.random(210) < 0.5)]
+    df = spark.createDataFrame(rows, "id long, g int, x0 double, y0 double, x1 double, y1 double, anchor boolean")
+
+    def gap(p, b):
+        return float(np.sqrt(max(0, b[2] - p[4], p[2] - b[4]) ** 2 + max(0, b[3] - p[5], p[3] - b[5]) ** 2))
+
+    expected = {p[0]: min((gap(p, b), b[0]) for b in rows if b[-1]) for p in rows if not p[-1]}
+    looked = []
+    clear = marks._clear
+    kernels = []
+    monkeypatch.setattr(marks, "tiled_cogroup", lambda l, r, by, lk, rk, kernel, *rest: kernels.append(kernel) or tiles.tiled_cogroup(l, r, by, lk, rk, kernel, *rest))
+    got = {r["id"]: (r["gap"], r["anchor"]) for r in marks.attach_nearest_boxes(df.where("not anchor"), df.where("anchor"), ["g"], "id", 4.0).collect()}
+    assert got == {k: v if v[0] <= 4.0 else (None, None) for k, v in expected.items()}
+    near = df.toPandas().query("x0 < 3 and y0 < 3").assign(__cx=0, __cy=0)
+    monkeypatch.setattr(marks, "_clear", lambda *a: (looked.append(np.broadcast(a[0], a[2]).size), clear(*a))[1])
+    kernels[0](near[~near.anchor], near[near.anchor])
+    assert 0 < sum(looked) / 2 < 0.7 * (~near.anchor).sum() * near.anchor.sum()
+
+
 def test_peaks(spark):
     centres = [30, 60, 95]
     bins = spark.createDataFrame([("a", c + o, 50.0 / (1 + abs(o))) for c in centres for o in range(-4, 5)] + [("a", 78, 0.5)], "s string, b int, x double")
