@@ -88,12 +88,38 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def order_of_names(names: np.ndarray) -> np.ndarray:
+    """Places of the suffixes of a string of names in order, by doubled lengths; its last name is the least and occurs once.
+
+    A suffix's rank is the place at which its group of so far equal ones begins; only groups of several are looked at again.
+    """
+    order = np.argsort(names, kind="stable")
+    symbols = names[order]
+    fresh = np.append(True, symbols[1:] != symbols[:-1])
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    open_places, step = np.flatnonzero(~(fresh & np.append(fresh[1:], True))), 1
+    while len(open_places):
+        suffixes = order[open_places]
+        # suffixes with `step` names in common don't hold the last name there, so both have a place `step` on
+        key = rank[suffixes] * len(names) + rank[suffixes + step]
+        by = np.argsort(key, kind="stable")
+        suffixes, key = suffixes[by], key[by]
+        fresh = np.append(True, key[1:] != key[:-1])
+        order[open_places] = suffixes
+        rank[suffixes] = open_places[fresh][np.cumsum(fresh) - 1]
+        open_places = open_places[~(fresh & np.append(fresh[1:], True))]
+        step *= 2
+    return order
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Places of the suffixes of ``text`` in order. Its last symbol is 0 and occurs nowhere else.
 
     Suffixes are of the smaller or larger type as they are less or greater than their successor. The substrings between leftmost
-    smaller places are sorted by one induction and named; where names repeat, the string of names is sorted the same way. From the
-    order of the leftmost smaller suffixes a second induction gives all.
+    smaller places are sorted by one induction and named; where names repeat, doubling sorts the string of names. From the
+    order of the leftmost smaller suffixes a second induction gives all. An induction goes from symbol to symbol: what a symbol's
+    suffixes put in order is dealt out together, runs of one symbol a step at a time.
     """
     n = len(text)
     if n == 1:
@@ -105,32 +131,48 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     sizes = np.bincount(text)
     ends = np.cumsum(sizes)
+    starts = ends - sizes
+    kind = np.int16 if len(sizes) < 1 << 15 else np.int64
     symbol_before = np.append(-1, text[:-1])
-    into_larger = np.append(np.where(np.append(False, ~smaller[:-1]), symbol_before, -1), -1).tolist()
-    into_smaller = np.append(np.where(np.append(False, smaller[:-1]), symbol_before, -1), -1).tolist()
+    into_larger = np.where(np.append(False, ~smaller[:-1]), symbol_before, -1).astype(kind)
+    into_smaller = np.where(np.append(False, smaller[:-1]), symbol_before, -1).astype(kind)
+    present = np.flatnonzero(sizes).tolist()
+
+    def deal(suffixes: np.ndarray, before: np.ndarray, array: np.ndarray, room: np.ndarray, way: int) -> None:
+        """The predecessors of ``suffixes``, in their order, to the next places of their symbols, upwards or downwards."""
+        symbols = before[suffixes]
+        wanted = symbols >= 0
+        symbols = symbols[wanted]
+        if not len(symbols):
+            return
+        by = np.argsort(symbols, kind="stable")
+        count = np.bincount(symbols, minlength=len(room))
+        nth = np.arange(len(by)) - np.repeat(np.cumsum(count) - count, count)
+        first = np.repeat(room if way > 0 else room - 1, count)
+        array[first + way * nth] = suffixes[wanted][by] - 1
+        room += way * count
 
     def induce(order: np.ndarray) -> np.ndarray:
         """All suffixes from leftmost smaller ones, in ``order`` within each symbol."""
         by = order[np.argsort(text[order], kind="stable")]
         symbols = text[by]
         count = np.bincount(symbols, minlength=len(sizes))
-        place = ends[symbols] - np.cumsum(count)[symbols] + np.arange(len(by))
         array = np.full(n, -1, np.int64)
-        array[place] = by
-        held, heads, tails = array.tolist(), (ends - sizes).tolist(), ends.tolist()
-        for suffix in held:
-            symbol = into_larger[suffix]
-            if symbol >= 0:
-                at = heads[symbol]
-                held[at] = suffix - 1
-                heads[symbol] = at + 1
-        for suffix in reversed(held):
-            symbol = into_smaller[suffix]
-            if symbol >= 0:
-                at = tails[symbol] - 1
-                held[at] = suffix - 1
-                tails[symbol] = at
-        return np.array(held, np.int64)
+        array[ends[symbols] - np.cumsum(count)[symbols] + np.arange(len(by))] = by
+        heads, tails = starts.copy(), ends.copy()
+        for symbol in present:
+            at = starts[symbol]
+            while at < (upto := heads[symbol]):
+                deal(array[at:upto], into_larger, array, heads, 1)
+                at = upto
+            deal(array[ends[symbol] - count[symbol]:ends[symbol]], into_larger, array, heads, 1)
+        for symbol in reversed(present[1:]):
+            upto = ends[symbol]
+            while (at := tails[symbol]) < upto:
+                deal(array[at:upto][::-1], into_smaller, array, tails, -1)
+                upto = at
+            deal(array[starts[symbol]:heads[symbol]][::-1], into_smaller, array, tails, -1)
+        return array
 
     if len(leftmost) > 1:
         is_leftmost = np.zeros(n, bool)
@@ -150,7 +192,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         names[ordered] = np.append(0, np.cumsum(~same))
         reduced = names[leftmost]
         if reduced.max() + 1 < len(leftmost):
-            order = leftmost[suffix_array(reduced)]
+            order = leftmost[order_of_names(reduced)]
         else:
             order = ordered
     else:
