@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices
 from plumbline.llm.components import components
+from plumbline.llm.prefixtree import FAMILY, like_components
 from plumbline.session import settle
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -148,8 +149,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROW
 WIDE_SHINGLE, WIDE, LIKENESS = 5, 6, 0.8
 #: Tables, and the bits of SimHash segment and number of least shingles that make up a table's key.
 TABLES, LIKE_BITS, LEAST = 32, 4, 3
-#: Eight times the rounds in which a table entry's unconnected texts meet one of theirs, before two tables have to agree.
-WIDE_CROWDED = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, TABLES * LEAST), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -269,46 +268,34 @@ def _stars(met: DataFrame) -> DataFrame:
 
 
 def _mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(entry, node, root): entries whose nodes aren't all connected yet."""
+    """(node): nodes of entries whose nodes aren't all connected yet."""
     rooted = met.select("entry", "node").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
         "entry", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-    return settle(rooted.join(sizes.select("entry"), "entry"))
+    return settle(rooted.join(sizes.select("entry"), "entry").select("node").distinct())
 
 
-def _peeled(mixed: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, likeness: float, words: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(links, what is left): in every round one node of each entry's smallest root meets the entry's nodes of other roots, and leaves the entry.
+def _texts_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text): the nodes of ``wanted`` (node, key, least) under their numbers, with a text of their set."""
 
-    A round makes one pair for a node of an entry at most, whatever the entry's size.
-    """
-    for _ in range(rounds):
-        sizes = mixed.groupBy("entry", "root").agg(F.count("*").alias("size"), F.min("node").alias("leaves"))
-        ends = sizes.groupBy("entry").agg(F.min(F.struct("size", "leaves", "root")).alias("e")).select("entry", "e.leaves", F.col("e.root").alias("its"))
-        told = settle(mixed.join(ends, "entry"))
-        pairs = told.where("root <> its").select(F.least("leaves", "node").alias("a"), F.greatest("leaves", "node").alias("b"), F.col("root").alias("u"), F.col("its").alias("v"))
-        pairs = settle(pairs.dropDuplicates(["a", "b"]))
-        found = settle(_alike(_likely_pairs(pairs.select("a", "b"), nodes, likeness, words), sets, likeness))
-        left = told.where("node <> leaves").select("entry", "node", "root")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            # only the groups that these links bring together take another root
-            moved = components(found.join(pairs, ["a", "b"]), "u", "v").select(F.col("node").alias("was"), F.col("root").alias("becomes"))
-            left = left.join(moved, F.col("root") == F.col("was"), "left").select("entry", "node", F.coalesce("becomes", "root").alias("root"))
-        several = left.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("entry")
-        mixed = settle(left.join(several, "entry"))
-        if not mixed.limit(1).count():
-            break
-    return links, mixed
-
-
-def like_links(nodes: DataFrame, docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = WIDE_CROWDED) -> DataFrame:
-    """(a, b): pairs of at least ``likeness``, enough to connect what meets in the tables and is that alike.
-
-    ``nodes`` has a number and a distinct set in each row. First all of an entry are compared with its least node. What that leaves
-    unconnected in an entry is peeled: one node after another meets all of other roots and leaves. Entries that still hold
-    several roots after ``crowded`` / 8 such rounds are dealt out by a second key, another table's, and peeled again.
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                held = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), shingle).tobytes()) == k.as_py() for k, t in zip(part.column(1), part.column(2), strict=True)]
+                yield part.filter(pa.array(held, pa.bool_())).select([0, 2])  # a doc_id can have other texts too
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), "text")
+    found = texts.join(wanted, "least").select(F.col("node").alias("doc_id"), "key", "text")
+    return found.mapInArrow(own, "doc_id bigint, text string")
+
+
+def like_links(nodes: DataFrame, docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = FAMILY) -> DataFrame:
+    """(a, b): links that connect what meets in the tables and is at least ``likeness``, in whole hundredths, alike.
+
+    ``nodes`` has a number and a distinct set in each row. First all of an entry are compared with its least node. The nodes of all
+    entries that this leaves in several groups are joined exactly, by their sets (``prefixtree``), whatever their number or their
+    entries' size: each is tied to the least node that it reaches. ``crowded`` is that join's bound of what one task holds.
     """
-    rounds = max(1, crowded // 8)
     listed = settle(nodes.select("node", F.explode("entries").alias("entry")))
     ends = listed.groupBy("entry").agg(F.min("node").alias("lowest"), F.count("*").alias("size")).where("size > 1").drop("size")
     met = settle(listed.join(ends, "entry"))
@@ -316,20 +303,12 @@ def like_links(nodes: DataFrame, docs: DataFrame, likeness: float = LIKENESS, sh
     mixed = _mixed(met, components(links, "a", "b"))
     if not mixed.limit(1).count():
         return links
-    wanted = mixed.select("node").distinct()
-    sets = settle(_sets(docs, wanted.join(nodes.select("node", "key", "least"), "node"), shingle))
-    links, full = _peeled(mixed, links, nodes, sets, likeness, words, rounds)
-    if full.limit(1).count():
-        others = full.select("entry", "node").join(nodes.select("node", "entries"), "node")
-        dealt = settle(others.select("node", F.col("entry").alias("first"), F.explode("entries").alias("other")).where("first <> other").select(
-            "node", F.xxhash64(F.least("first", "other"), F.greatest("first", "other")).alias("entry")).distinct())
-        again = _mixed(dealt, components(links, "a", "b"))
-        if again.limit(1).count():
-            links, _ = _peeled(again, links, nodes, sets, likeness, words, rounds)
-    return links
+    rest = settle(_texts_of(docs, mixed.join(nodes.select("node", "key", "least"), "node"), shingle))
+    tied = like_components(rest, shingle, round(100 * likeness), crowded)
+    return links.unionByName(tied.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
-def like_groups(docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = WIDE_CROWDED) -> DataFrame:
+def like_groups(docs: DataFrame, likeness: float = LIKENESS, shingle: int = WIDE_SHINGLE, words: int = WIDE, crowded: int = FAMILY) -> DataFrame:
     """(doc_id, component_id): one row for every input row, groups linked by likeness; equal sets are always linked.
 
     Texts without words, NULL ones included, have the empty set and form one group.

@@ -125,6 +125,22 @@ def test_likeness_groups_like_brute_force(spark, crowded):
     assert [found[i] for i in range(len(texts))] == expected
 
 
+@pytest.mark.parametrize("crowded", [2000, 3])
+def test_one_entry_of_many_groups_loses_no_link(spark, crowded):
+    """Forty pairs, alike in themselves only, under one key: more groups than any number of rounds would peel."""
+    random.seed(12)
+    texts = []
+    for _ in range(40):
+        base = ["".join(random.choices("abcdefghij", k=5)) for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base, "more"])]
+    sets = [simhash.shingle_set(t) for t in texts]
+    rows = [(i, i, bytes(simhash.xxhash.xxh3_128_digest(s.tobytes())), len(s), simhash.wide_fingerprint(s).view(np.int64).tolist(), [7]) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, least long, key binary, n int, wide array<long>, entries array<long>")
+    docs = spark.createDataFrame([*enumerate(texts), (4, "another text of that document")], "doc_id long, text string")
+    found = {frozenset((r.a, r.b)) for r in simhash.like_links(nodes, docs, crowded=crowded).collect()}
+    assert found == {frozenset((i, i + 1)) for i in range(0, 80, 2)}
+
+
 def test_keys_of_alike_sets_meet():
     rng = np.random.default_rng(4)
     for common, own in ((4, 1), (40, 5), (400, 50)):  # likenesses of 0.8, as one of 5, and as 5 and 50 of each side's own
