@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.ipc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,10 +98,11 @@ def _rank() -> Column:
     return F.floor(F.log2("n") * 8)
 
 
-def head_of(table: DataFrame, most: int, most_bytes: int, entry: Callable) -> tuple[dict[str, tuple], int, bool]:
-    """The most frequent words with ``entry`` of their ids, the least step they reach down to, and whether any word is left out.
+def head_of(table: DataFrame, most: int, most_bytes: int) -> tuple[bytes, int, bool]:
+    """The most frequent words with their ids, the least step they reach down to, and whether any word is left out.
 
-    Whole steps are taken while both bounds hold, so what is sent to the driver and to the tasks is bounded at any size of table.
+    Whole steps are taken while both bounds hold, so what is sent to the driver and to the tasks is bounded at any size of table. The
+    driver holds the words as Arrow bytes only, never as objects of their own.
     """
     steps = table.groupBy(_rank().alias("step")).agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("size")).collect()
     least, words, size, left = 1 << 30, 0, 0, False
@@ -111,7 +113,18 @@ def head_of(table: DataFrame, most: int, most_bytes: int, entry: Callable) -> tu
             break
         least = step["step"]
     head = table.where(_rank() >= least).select("word", "ids").toArrow()
-    return dict(zip(head.column(0).to_pylist(), map(entry, head.column(1).to_pylist()), strict=True)), least, left
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, head.schema) as writer:
+        writer.write_table(head)
+    return sink.getvalue().to_pybytes(), least, left
+
+
+def _known(held: dict, entry: Callable) -> dict[str, tuple]:
+    """The broadcast words with ``entry`` of their ids, made once in a worker and kept in the place of the bytes they came in."""
+    if "known" not in held:
+        head = pa.ipc.open_stream(held.pop("packed")).read_all()
+        held["known"] = dict(zip(head.column(0).to_pylist(), map(entry, head.column(1).to_pylist()), strict=True))
+    return held["known"]
 
 
 def pieces_of(path: str) -> list[str]:
@@ -140,7 +153,7 @@ def _assembler(docs: DataFrame, path: str, head, entry: Callable, finish: Callab
     """
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        known = _known(head.value, entry)
         open_text = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for part in slices(batch, *(("packed", SLICE_BYTES // 3) if packed else ("text",))):
@@ -177,8 +190,8 @@ def _rare_words(words: Iterable[str], known: dict) -> list[str]:
 def _encode_all(docs: DataFrame, path: str, entry: Callable, finish: Callable, schema: str, head_words: int, head_bytes: int) -> DataFrame:
     spark = docs.sparkSession
     table = settle(word_table(count_words(docs), path))
-    words, least, left = head_of(table, head_words, head_bytes, entry)
-    head = spark.sparkContext.broadcast(words)
+    words, least, left = head_of(table, head_words, head_bytes)
+    head = spark.sparkContext.broadcast({"packed": words})
     texts = docs.select(F.col("doc_id").cast("bigint"), "text")
     if not left:
         return _assembler(texts, path, head, entry, finish, schema, False)
@@ -190,7 +203,7 @@ def _encode_all(docs: DataFrame, path: str, entry: Callable, finish: Callable, s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary())], names=["doc_id", "mark", "packed"])
 
     def missing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, asked = head.value, set()
+        known, asked = _known(head.value, entry), set()
         for batch in batches:
             for part in slices(batch):
                 marks, places, rare = [], [], []

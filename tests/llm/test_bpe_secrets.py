@@ -46,6 +46,19 @@ def test_query_on_all_documents(spark, tokenizer, read):
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_driver_holds_no_words_of_its_own(spark):
+    """20,000 words in the head: objects for each of them took the driver several MB, Arrow bytes take less than one."""
+    import tracemalloc
+
+    table = spark.range(20_000).selectExpr("translate(lpad(hex(id), 8, '0'), '0123456789', 'ghijklmnop') AS word", "1L AS n", "array(1, 2, 3) AS ids")
+    tracemalloc.start()
+    packed, _, left = bpe.head_of(table, 500_000, 16 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(packed, bytes) and not left and peak < 2 << 20
+    assert len(bpe._known({"packed": packed}, tuple)) == 20_000
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
     equal, message = compare(QUERIES[name](spark, "/root/testdata/sf0.001"), connect("/root/testdata/sf0.001"), ORACLES[name])
