@@ -2,8 +2,8 @@
 
 Every preference, a document labelled good over one labelled bad, says that the score of the first exceeds that of the second with
 probability sigmoid(difference). Scores are linear in features of the text, so the logistic loss is one on differences of
-features. Features are cut at quantiles of the sample and each cell has a coefficient. The threshold is the quantile of the
-scores below which as many documents lie as were labelled bad.
+features. Features are cut at quantiles of the sample and each cell has a coefficient. The threshold is the exact quantile of the
+scores of all labelled documents below which as many lie as were labelled bad.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import logistic
 from plumbline.llm.common import bounded_sample, held_out, slices
+from plumbline.operators.skew import exact_quantiles
+from plumbline.session import settle
 
 #: Documents of each label that the ranking is fitted on, at most, and preferences drawn for each of them.
 SAMPLE, RIVALS = 4000, 6
@@ -74,7 +76,6 @@ def cells(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, sample: int = SAMPLE) -> Ranking | None:
     """The ranking learned from labelled documents outside the held-out rows; None where both labels aren't there."""
     known = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(modulus, remainder))
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = bounded_sample(known, "quality", sample, "doc_id")
     # at most twice the sample's size, whatever the table's: small enough to meet the texts where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -97,14 +98,28 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, sample
     n = max(len(good), len(bad)) * RIVALS
     winners, losers = good[np.arange(n) % len(good)], bad[(np.arange(n) * 7 + np.arange(n) // len(good)) % len(bad)]
     w = logistic.fit(z[winners] - z[losers], np.ones(n), np.full(n, 1.0), PENALTY)
-    scores = z @ w
-    # sampled rows stand for all of their label
-    weight = np.where(y == 1, counts[1] / len(good), counts[0] / len(bad))
-    by = np.argsort(scores, kind="stable")
-    below = np.cumsum(weight[by])
-    at = int(np.searchsorted(below, counts[0]))
-    threshold = float(scores[by[max(0, min(at, len(by) - 1))]] + scores[by[min(at + 1, len(by) - 1)]]) / 2
-    return Ranking(cuts, w, threshold, 1.0)
+    ranking = Ranking(cuts, w, 0.0, 1.0)
+    ranking.threshold = threshold(raw_scores(docs.where(~held_out(modulus, remainder)), ranking).join(known, "doc_id"))
+    return ranking
+
+
+def raw_scores(docs: DataFrame, ranking: Ranking) -> DataFrame:
+    """(doc_id, raw) of every whole text; only these two, not texts, then meet the labels."""
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                x = np.array([features(t.as_py()) for t in part.column(1)], float)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ranking.raw(x))], names=["doc_id", "raw"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(score, "doc_id bigint, raw double")
+
+
+def threshold(scored: DataFrame) -> float:
+    """The middle between the scores (raw, quality) at which as many rows lie below as are labelled bad, over all rows."""
+    scored = settle(scored.select("raw", "quality"))
+    n, bad = scored.agg(F.count("*"), F.count(F.when(F.col("quality") == 0, 1))).first()
+    return exact_quantiles(scored, [], F.col("raw"), [min(1.0, max(0.0, (bad - 0.5) / max(1, n - 1)))]).first()["q"][0]
 
 
 def predict(docs: DataFrame, ranking: Ranking | None) -> DataFrame:

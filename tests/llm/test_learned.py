@@ -67,6 +67,17 @@ def test_scores_held_out(spark, name, label, cut, least):
     assert sum(p == y for _, p, y in rows) / len(rows) > least
 
 
+def test_quality_threshold_over_all_labelled_rows(spark):
+    """A sample of thirty documents a label fits the ranking; the threshold is still that of a sort of all of them."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    ranking = quality.fit(docs, labels, 4, 2, sample=30)
+    known = {r.doc_id: r.quality for r in labels.where("quality IN (0, 1)").where(~quality.held_out(4, 2)).collect()}
+    rows = [(r.text, known[r.doc_id]) for r in docs.collect() if r.doc_id in known]
+    scores = np.sort(ranking.raw(np.array([quality.features(t) for t, _ in rows], float)))
+    bad = sum(q == 0 for _, q in rows)
+    assert ranking.threshold == pytest.approx((scores[bad - 1] + scores[bad]) / 2, abs=1e-9)
+
+
 def test_scores_of_odd_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (2, "")], "doc_id long, text string").selectExpr("*", "'a' AS score", "'b' AS predicted")
