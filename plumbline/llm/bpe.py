@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SLICE_BYTES, slices
+from plumbline.llm.common import SLICE_BYTES, bound_batches, slices
 from plumbline.session import settle
 
 #: Bounds of the table handed to all tasks.
@@ -189,6 +189,7 @@ def _rare_words(words: Iterable[str], known: dict) -> list[str]:
 
 def _encode_all(docs: DataFrame, path: str, entry: Callable, finish: Callable, schema: str, head_words: int, head_bytes: int) -> DataFrame:
     spark = docs.sparkSession
+    bound_batches(spark)
     table = settle(word_table(count_words(docs), path))
     words, least, left = head_of(table, head_words, head_bytes)
     head = spark.sparkContext.broadcast({"packed": words})

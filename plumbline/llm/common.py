@@ -6,16 +6,24 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch of rows that goes to a task, long texts or short.
+BATCH_BYTES, BATCH_CONF, SPARKS_OWN = f"{2 << 20}b", "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows come to tasks in batches of about ``BATCH_BYTES``, unless the session was given another bound than Spark's own."""
+    if spark.conf.get(BATCH_CONF) == SPARKS_OWN:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes; one longer row is a run of its own.
 
-    Arrow batches are bounded by rows, not bytes. Working slice by slice bounds a task's memory by ``limit`` and its longest text.
+    Arrow batches are bounded by rows, and by bytes loosely. Working slice by slice bounds a task's memory by ``limit`` and its longest text.
     """
     lengths = batch.column(batch.schema.names.index(column))
     lengths = lengths.cast(pa.large_binary()) if not pa.types.is_large_binary(lengths.type) else lengths

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import bounded_sample, held_out, slices
+from plumbline.llm.common import bound_batches, bounded_sample, held_out, slices
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -39,7 +39,9 @@ SAMPLE = 3000
 GROUPS, CELLS, LEAST, SWITCH, SCRIPT_SHARE = (1, 2, 3, 4), 16, 3, 8.0, 0.005
 #: Distinct words whose scores a task remembers.
 REMEMBERED = 300_000
-SLICE = 8 << 20
+#: Words whose letter groups are worked on at once, and bytes of text labelled at once: they bound what a task holds besides its words.
+AT_ONCE = 8192
+SLICE = 2 << 20
 
 
 def script_of(letter: str) -> str:
@@ -86,6 +88,7 @@ class Model:
 
 def fit(docs: DataFrame, modulus: int, remainder: int, sample: int = SAMPLE) -> Model:
     """The model of the labelled documents outside the held-out rows, of which a bounded sample by hash is read."""
+    bound_batches(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out(modulus, remainder)).select("doc_id", "text", "lang")
     chosen = bounded_sample(labelled, "lang", sample, "doc_id")
 
@@ -99,9 +102,12 @@ def fit(docs: DataFrame, modulus: int, remainder: int, sample: int = SAMPLE) ->
             known, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
             if not known:
                 continue
-            cells, starts = cells_of(known)
-            weight = np.repeat(times, np.diff(np.append(starts, len(cells[0]))))
-            total = sum(np.bincount(c[c >= 0], weights=weight[c >= 0], minlength=1 << CELLS) for c in cells)
+            total = np.zeros(1 << CELLS)
+            for at in range(0, len(known), AT_ONCE):
+                cells, starts = cells_of(known[at:at + AT_ONCE])
+                weight = np.repeat(times[at:at + AT_ONCE], np.diff(np.append(starts, len(cells[0]))))
+                for c in cells:
+                    total += np.bincount(c[c >= 0], weights=weight[c >= 0], minlength=1 << CELLS)
             rows += [(lang, int(cell), int(total[cell])) for cell in np.flatnonzero(total)]
             letters: Counter[str] = Counter()
             for word, n in seen.items():
@@ -150,7 +156,12 @@ class Words:
         self.letters = np.zeros(1 << 12, np.int64)
 
     def learn(self, words: list[str], start: int) -> None:
-        """Enter the rows of new words: the sum over their letter groups of the languages' log-probabilities, the best one's taken off."""
+        """Enter the rows of new words, a bounded number at once."""
+        for at in range(0, len(words), AT_ONCE):
+            self._enter(words[at:at + AT_ONCE], start + at)
+
+    def _enter(self, words: list[str], start: int) -> None:
+        """The sum over the words' letter groups of the languages' log-probabilities, the best one's taken off."""
         cells, starts = cells_of(words)
         sums = np.zeros((len(self.model.languages), len(words)), np.float32)
         for at in cells:
@@ -252,6 +263,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     ``und`` with score zero and no spans for a NULL text, one without letters, or a model of no languages. Ties go to the language
     first in name. Columns of these names are replaced; all other columns and all rows stay.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "spans")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     schema = ", ".join([*fields, "lang_pred string", "score double", "spans array<struct<start:int,end:int,lang:string>>"])

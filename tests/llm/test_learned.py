@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plumbline.llm import decontaminate, language, quality, toxicity
 from plumbline.llm.queries import QUERIES
@@ -170,3 +171,39 @@ def test_token_rules_take_linear_time():
         started = time.perf_counter()
         toxicity.suspect(toxicity.without_edges(word))
         assert time.perf_counter() - started < 2
+
+
+def test_language_learns_many_words_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = list(dict.fromkeys("".join(w) for w in rng.choice(list("abcdefghijklmnopé"), (60_000, 8))))
+    model = language.Model(["a", "b"], rng.normal(size=(2, 1 << language.CELLS)).astype(np.float32), {n: np.array([True, True]) for n in language.NAMES})
+    tracemalloc.start()
+    whole = language.Words(model)
+    rows = whole(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 << 20
+    monkeypatch.setattr(language, "AT_ONCE", 7)
+    small = language.Words(model)
+    assert (small(words[:1000]) == rows[:1000]).all()
+    assert (small.table[:, :1000] == whole.table[:, :1000]).all() and (small.letters[:1000] == whole.letters[:1000]).all()
+
+
+def test_language_gets_texts_in_small_batches(spark):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, f"{64 << 20}b")
+    try:
+        docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 2000) AS text", "'en' AS lang")
+        language.predict(docs, language.Model([], np.zeros((0, 1 << language.CELLS), np.float32), {}))
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+        found = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(found) > 8 << 20 and max(found) < 3 << 20
+    finally:
+        spark.conf.set(conf, before)
