@@ -1,7 +1,8 @@
 """Jaccard join of word-shingle sets through prefix trees.
 
 Shingles stand in one order over the corpus: rare ones first. How many sets hold a shingle is counted in buckets of shingles, to which
-every block of texts sends its distinct shingles; back come those that another set holds too. A set that shares too few of its
+every block of texts sends its distinct shingles, as packed differences of their sorted hashes; for those that another set holds too a
+number comes back, their place among the bucket's, which from there on stands for the shingle. A set that shares too few of its
 shingles to be alike to any other goes no further. Of two sets that are alike, the first few shingles of both in this order have one
 in common; sets are dealt to the least set that has such a shingle, their family. A family's sets are put in a prefix tree, in
 which sets with the same beginning share a path. Every set walks the tree; the overlap of a path is counted once for all below it,
@@ -40,6 +41,7 @@ MANY = 0xFFFF
 TOKEN_BITS = 56
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_NAME = np.uint64((1 << TOKEN_BITS) - 1)
 
 
 # -- sets ------------------------------------------------------------------------------------------------------------------------
@@ -132,12 +134,66 @@ def key_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+# -- numbers on their way --------------------------------------------------------------------------------------------------------
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as one plane for each of their bytes, lowest first, compressed where that helps; of zeros only the length stays."""
+    if not len(values):
+        return b""
+    width = (int(values.max()).bit_length() + 7) // 8
+    planes = []
+    for plane in np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T):
+        small = pa.compress(plane, codec="zstd", asbytes=True) if plane.any() else b""
+        planes.append(small if len(small) < len(plane) else plane.tobytes())
+    return np.array([len(values), width, *map(len, planes)], "<u4").tobytes() + b"".join(planes)
+
+
+def unpack(cell) -> np.ndarray:
+    """The numbers of a cell of ``pack``."""
+    view = memoryview(cell)
+    if not len(view):
+        return np.zeros(0, np.uint64)
+    n, width = np.frombuffer(view[:8], "<u4").tolist()
+    values, at = np.zeros((n, 8), np.uint8), 8 + 4 * width
+    for i, size in enumerate(np.frombuffer(view[8:at], "<u4").tolist()):
+        if size:
+            plane = view[at:at + size]
+            values[:, i] = np.frombuffer(plane if size == n else pa.decompress(plane, n, codec="zstd"), np.uint8)
+            at += size
+    return values.view("<u8").ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(cell) -> np.ndarray:
+    return np.cumsum(unpack(cell), dtype=np.uint64)
+
+
+def pack_set(ordered: np.ndarray) -> bytes:
+    """A set's shingles in order: steps from class to class, and from number to number within one."""
+    kind, name = ordered >> np.uint64(TOKEN_BITS), ordered & _NAME
+    turn = np.diff(kind, prepend=np.uint64(0))
+    return pack(turn << np.uint64(TOKEN_BITS) | np.where(turn > 0, name, np.diff(name, prepend=np.uint64(0))))
+
+
+def unpack_set(cell) -> np.ndarray:
+    values = unpack(cell)
+    turn, step = values >> np.uint64(TOKEN_BITS), values & _NAME
+    name, starts = np.cumsum(step, dtype=np.uint64), np.flatnonzero(turn)
+    if len(starts):
+        name[starts[0]:] -= np.repeat((name - step)[starts], np.diff(np.append(starts, len(values))))
+    return np.cumsum(turn, dtype=np.uint64) << np.uint64(TOKEN_BITS) | name
+
+
 # -- how many sets hold a shingle ------------------------------------------------------------------------------------------------
 
 SENT = "bucket bigint, block bigint, tokens binary, sets binary, times binary, own binary"
-BACK = "block bigint, tokens binary, sets binary, classes binary, own binary"
-MARKED = "doc_id bigint, key binary, n bigint, tokens binary"
-#: What a block keeps of its own: its documents, and the places of shingles that several of its sets hold.
+BACK = "block bigint, bucket bigint, names binary, sets binary, classes binary, own binary"
+MARKED = "doc_id bigint, key binary, n bigint, shared bigint, tokens binary"
+#: What a block keeps of its own, beside who holds the shingles that several of its sets hold, in their order: its documents.
 OWN = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("set", pa.int32())])
 
 
@@ -173,12 +229,12 @@ def _block_rows(block: int, ids: list, sets: list[np.ndarray], buckets: int) ->
     times = np.diff(np.append(first, len(token)))
     several = np.repeat(times > 1, times)
     own = _ipc(pa.table([ids, keys, [len(s) for s in sets], numbers], schema=OWN))
-    rows = [(-1 - block, block, token[several].tobytes(), holder[several].tobytes(), b"", own)]
+    rows = [(-1 - block, block, b"", pack(holder[several]), pack(times[times > 1]), own)]
     token, holder = token[first], np.where(times > 1, MANY, holder[first]).astype(np.uint16)
     bucket = (token >> np.uint64(TOKEN_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
-        rows.append((int(bucket[a]), block, token[a:b].tobytes(), holder[a:b].tobytes(), times[a:b][times[a:b] > 1].astype(np.uint32).tobytes(), None))
+        rows.append((int(bucket[a]), block, pack_sorted(token[a:b]), pack(holder[a:b]), pack(times[a:b][times[a:b] > 1]), None))
     return _batch(SENT, list(zip(*rows, strict=True)))
 
 
@@ -208,66 +264,74 @@ def _class_of(held_by: np.ndarray) -> np.ndarray:
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket: how many sets hold each shingle. To every block go back those of its shingles that more than one set holds."""
+    """One bucket: how many sets hold each shingle. For those of its shingles that more than one set holds every block gets their places among them."""
     if table.column("own")[0].is_valid:
-        return pa.table([table.column(c) for c in ("block", "tokens", "sets", "times", "own")], names=["block", "tokens", "sets", "classes", "own"])
-    cells = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
-    holders = [np.frombuffer(t.as_buffer(), np.uint16) for t in table.column("sets")]
+        return pa.table([table.column(c) for c in ("block", "bucket", "tokens", "sets", "times", "own")], names=["block", "bucket", "names", "sets", "classes", "own"])
+    cells = [unpack_sorted(t.as_buffer()) for t in table.column("tokens")]
+    holders = [unpack(t.as_buffer()).astype(np.uint16) for t in table.column("sets")]
     times = []
     for holder, several in zip(holders, table.column("times"), strict=True):
         each = np.ones(len(holder), np.int64)
-        each[holder == MANY] = np.frombuffer(several.as_buffer(), np.uint32)
+        each[holder == MANY] = unpack(several.as_buffer())
         times.append(each)
     token = np.concatenate(cells)
     order = np.argsort(token, kind="stable")
     token = token[order]
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[:len(token)])
     held_by = np.add.reduceat(np.concatenate(times)[order], first)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.repeat(held_by, np.diff(np.append(first, len(order))))
-    rows, at = [], 0
-    for block, cell, holder in zip(table.column("block").to_pylist(), cells, holders, strict=True):
-        mine = back[at:at + len(cell)]
-        at += len(cell)
-        shared = mine > 1
+    shared = np.flatnonzero(held_by > 1)
+    kind, place = _class_of(held_by[shared]).astype(np.uint8), np.zeros(len(first), np.uint32)
+    place[shared] = np.arange(1, len(shared) + 1, dtype=np.uint32)
+    back = np.empty(len(order), np.uint32)  # places from 1 on, 0 for what no other set holds
+    back[order] = np.repeat(place, np.diff(np.append(first, len(order))))
+    rows, at, bucket = [], 0, table.column("bucket")[0].as_py()
+    for block, holder in zip(table.column("block").to_pylist(), holders, strict=True):
+        mine = back[at:at + len(holder)]
+        at += len(holder)
+        shared = mine > 0
         if shared.any():
-            rows.append((block, cell[shared].tobytes(), holder[shared].tobytes(), _class_of(mine[shared]).astype(np.uint8).tobytes(), None))
-    return pa.Table.from_batches([_batch(BACK, list(zip(*rows, strict=True)) or [[]] * 5)])
+            name = mine[shared] - np.uint32(1)
+            rows.append((block, bucket, pack_sorted(name), pack(holder[shared]), pack(kind[name]), None))
+    return pa.Table.from_batches([_batch(BACK, list(zip(*rows, strict=True)) or [[]] * 6)])
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """One block: its documents, and with the first of each set its shared shingles, rare ones first, if they are enough to be alike to another."""
+def _gather(table: pa.Table, buckets: int) -> pa.Table:
+    """One block: its documents, and with the first of each set its shared shingles, rare ones first, if they are enough to be alike to another.
+
+    A shingle's number is made of its bucket and its place there. Those of several sets come back in the order in which the block keeps their holders.
+    """
     own = next(i for i, o in enumerate(table.column("own")) if o.is_valid)
     docs = pa.ipc.open_stream(table.column("own")[own].as_buffer()).read_all()
-    several = np.frombuffer(table.column("tokens")[own].as_buffer(), np.uint64)
-    holder_of_several = np.frombuffer(table.column("sets")[own].as_buffer(), np.uint16)
-    back = table.filter(pa.compute.is_null(table.column("own")))
-    joined = [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in back.column(c))])
-              for c, kind in (("tokens", np.uint64), ("sets", np.uint16), ("classes", np.uint8))]
-    order = np.argsort(joined[0], kind="stable")
-    token, holder, kind = (x[order] for x in joined)
+    times, holder_of_several = (unpack(table.column(c)[own].as_buffer()) for c in ("classes", "sets"))
+    back = table.filter(pa.compute.is_null(table.column("own"))).sort_by("bucket")
+    name = [unpack_sorted(x.as_buffer()) * np.uint64(buckets) + np.uint64(b) for x, b in zip(back.column("names"), back.column("bucket").to_pylist(), strict=True)]
+    kind = [unpack(x.as_buffer()) << np.uint64(TOKEN_BITS) for x in back.column("classes")]
+    ordered = np.concatenate([np.zeros(0, np.uint64), *(k | n for k, n in zip(kind, name, strict=True))])
+    holder = np.concatenate([np.zeros(0, np.uint16), *(unpack(x.as_buffer()).astype(np.uint16) for x in back.column("sets"))])
     single = holder != MANY
-    at = np.searchsorted(token, several)
-    token, holder, kind = (np.concatenate(x) for x in ((token[single], several), (holder[single], holder_of_several), (kind[single], kind[at])))
-    ordered = kind.astype(np.uint64) << np.uint64(TOKEN_BITS) | token
+    ordered = np.concatenate((ordered[single], np.repeat(ordered[~single], times.astype(np.int64))))
+    holder = np.concatenate((holder[single], holder_of_several.astype(np.uint16)))
     order = np.lexsort((ordered, holder))
     ordered, holder = ordered[order], holder[order]
     number, sizes = docs.column("set").to_numpy(), docs.column("n").to_numpy()
     found: list[bytes | None] = [None] * len(number)
+    many: list[int | None] = [None] * len(number)
     _, firsts = np.unique(number, return_index=True)
     bounds = np.searchsorted(holder, np.arange(len(firsts) + 1))
     for k, row in enumerate(firsts.tolist()):
         shared = int(bounds[k + 1] - bounds[k])
         if shared and 100 * shared >= ALIKE * int(sizes[row]):
-            found[row] = ordered[bounds[k]:bounds[k + 1]].tobytes()
-    return pa.table([*(docs.column(c) for c in ("doc_id", "key", "n")), pa.array(found, pa.binary())], names=["doc_id", "key", "n", "tokens"])
+            found[row], many[row] = pack_set(ordered[bounds[k]:bounds[k + 1]]), shared
+    return pa.table([*(docs.column(c) for c in ("doc_id", "key", "n")), pa.array(many, pa.int64()), pa.array(found, pa.binary())],
+                    names=["doc_id", "key", "n", "shared", "tokens"])
 
 
 def marked_sets(docs: DataFrame, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, key, n, tokens): every document with its set's digest and size; with some document of each set that may have a partner its shared shingles in order."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = _send(docs, 1 + total // bucket_bytes, shingle, block_bytes).groupBy("bucket").applyInArrow(_count, BACK)
-    return counted.groupBy("block").applyInArrow(_gather, MARKED)
+    """(doc_id, key, n, shared, tokens): every document with its set's digest and size; with some document of each set that may have a partner its
+    shared shingles in order, packed, and their number."""
+    buckets = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes
+    counted = _send(docs, buckets, shingle, block_bytes).groupBy("bucket").applyInArrow(_count, BACK)
+    return counted.groupBy("block").applyInArrow(lambda table: _gather(table, buckets), MARKED)
 
 
 # -- the tree --------------------------------------------------------------------------------------------------------------------
@@ -401,7 +465,7 @@ def _prefixes(nodes: DataFrame, alike: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [np.frombuffer(t.as_buffer(), np.int64) for t in part.column(2)]
+                sets = [unpack_set(t.as_buffer()).view(np.int64) for t in part.column(2)]
                 tokens = [s[:prefix_of(n, len(s), alike)] for n, s in zip(part.column(1).to_pylist(), sets, strict=True)]
                 nodes = np.repeat(part.column(0).to_numpy(), [len(t) for t in tokens])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(nodes)], names=["token", "node"])
@@ -424,7 +488,7 @@ def _join_families(rows: DataFrame, alike: int) -> DataFrame:
                 if (family, part, sub) != now:
                     yield done(family_links(members, alike))
                     now, members = (family, part, sub), []
-                members.append((node, n, np.frombuffer(tokens.as_py(), np.uint64), root, held, walks))
+                members.append((node, n, unpack_set(tokens.as_buffer()), root, held, walks))
         yield done(family_links(members, alike))
 
     keys = ["family", "part", "sub"]
@@ -432,7 +496,7 @@ def _join_families(rows: DataFrame, alike: int) -> DataFrame:
 
 
 def like_links(nodes: DataFrame, alike: int = ALIKE, family: int = FAMILY, family_tokens: int = FAMILY_TOKENS) -> DataFrame:
-    """(a, b): links between ``nodes`` (node, n, tokens), all alike, enough to connect whatever is alike.
+    """(a, b): links between ``nodes`` (node, n, shared, tokens), all alike, enough to connect whatever is alike.
 
     A family beyond ``family`` members or ``family_tokens`` shingles is dealt to several tasks, each with the family's least member. Members
     that aren't connected to that one afterwards walk past all parts' trees, in blocks; no pair of the family is left out.
@@ -440,8 +504,8 @@ def like_links(nodes: DataFrame, alike: int = ALIKE, family: int = FAMILY, famil
     first = settle(_prefixes(nodes, alike))
     ends = first.groupBy("token").agg(F.min("node").alias("family"), F.count("*").alias("held")).where("held > 1").select("token", "family")
     met = settle(first.join(ends, "token").select("family", "node").distinct())
-    sized = met.join(nodes.select("node", (F.octet_length("tokens") / 8).cast("bigint").alias("size")), "node")
-    parts = F.ceil(F.greatest(F.count("*") / family, F.sum("size") / family_tokens)).cast("bigint").alias("parts")
+    sized = met.join(nodes.select("node", "shared"), "node")
+    parts = F.ceil(F.greatest(F.count("*") / family, F.sum("shared") / family_tokens)).cast("bigint").alias("parts")
     families = settle(sized.groupBy("family").agg(F.count("*").alias("members"), parts))
     several = families.where("members > 1")
     dealt = met.join(several, "family").select("family", "parts", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
@@ -493,9 +557,10 @@ def like_components(docs: DataFrame, shingle: int = SHINGLE, alike: int = ALIKE,
     """
     marked = settle(marked_sets(docs, shingle, block_bytes, bucket_bytes))
     rows = marked.select("doc_id", "key", "n")
-    sets = marked.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("tokens").alias("tokens"))
+    sets = marked.where("n > 0").groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.max("tokens").alias("tokens"))
     nodes = settle(sets.where("tokens IS NOT NULL OR copies > 1").withColumn("node", F.monotonically_increasing_id()))
-    roots = components(like_links(nodes.where("tokens IS NOT NULL").select("node", "n", "tokens"), alike, family, family_tokens), "a", "b").withColumnRenamed("node", "member")
+    roots = components(like_links(nodes.where("tokens IS NOT NULL").select("node", "n", "shared", "tokens"), alike, family, family_tokens), "a", "b").withColumnRenamed("node", "member")
     rooted = settle(nodes.select("key", "least", "copies", "node").join(roots, F.col("node") == F.col("member"), "left")
                     .select("key", "least", "copies", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -89,6 +89,29 @@ def test_empty_table(spark):
     assert prefixtree.like_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("values", [[], [0], [0] * 300, [5], [255, 256], [0, 1 << 63, 2 ** 64 - 1], list(range(7, 3000, 3)), [1] * 500 + [1 << 40]])
+def test_packed_numbers_come_back(values):
+    values = np.array(values, np.uint64)
+    assert (prefixtree.unpack(prefixtree.pack(values)) == values).all() and len(prefixtree.unpack(prefixtree.pack(values))) == len(values)
+    assert (prefixtree.unpack_sorted(prefixtree.pack_sorted(np.sort(values))) == np.sort(values)).all()
+    kinds = np.random.default_rng(5).choice(np.array([4, 9, 255], np.uint64), len(values))
+    ordered = np.unique(kinds << np.uint64(56) | values >> np.uint64(8))
+    assert (prefixtree.unpack_set(prefixtree.pack_set(ordered)) == ordered).all()
+
+
+def test_bytes_on_their_way(spark):
+    """What is sent for each shingle, and what its set keeps of it, in bytes: 10 and 8 would be over the disk's limit."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 56, 500).astype(np.uint64)) for _ in range(400)]
+    sent = prefixtree._block_rows(0, list(range(400)), sets, 8)
+    assert sum(sent.column(c).nbytes for c in range(2, 5)) < 7.5 * sum(map(len, sets))
+    words = [[f"w{n}x{i}" for i in range(400)] for n in range(15)]
+    rows = [(10 * n + k, " ".join(w[:396] + [f"{k}y{n}"] + w[397:])) for n, w in enumerate(words) for k in range(2)]
+    kept = prefixtree.marked_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("tokens IS NOT NULL").collect()
+    assert [r.shared for r in kept] == [len(prefixtree.unpack_set(r.tokens)) for r in kept] == [392] * 30
+    assert sum(len(r.tokens) for r in kept) < 3 * 392 * 30
+
+
 def test_tree_leaves_connected_crowds():
     """A crowd of like sets is linked by about as many links as it has members, in either role."""
     rng = np.random.default_rng(3)
