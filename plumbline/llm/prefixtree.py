@@ -37,6 +37,9 @@ FAMILY, FAMILY_TOKENS = 2_000, 3_000_000
 #: Copies of a set beyond which its name goes to all tasks, so that its rows needn't meet in one.
 HOT = 1_000_000
 
+#: Numbers from which their planes are compressed one by one; shorter ones are left to what compresses shuffles and files.
+LONG = 4_096
+
 MANY = 0xFFFF
 TOKEN_BITS = 56
 _ODD = 0x9E3779B97F4A7C15
@@ -138,15 +141,16 @@ def key_of(tokens: np.ndarray) -> bytes:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers as one plane for each of their bytes, lowest first, compressed where that helps; of zeros only the length stays."""
+    """Whole numbers as one plane for each of their bytes, lowest first; long ones are compressed where that helps, or left out if all are zeros."""
     if not len(values):
         return b""
     width = (int(values.max()).bit_length() + 7) // 8
-    planes = []
-    for plane in np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T):
-        small = pa.compress(plane, codec="zstd", asbytes=True) if plane.any() else b""
-        planes.append(small if len(small) < len(plane) else plane.tobytes())
-    return np.array([len(values), width, *map(len, planes)], "<u4").tobytes() + b"".join(planes)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    head = np.array([len(values), width], "<u4").tobytes()
+    if len(values) < LONG:
+        return head + planes.tobytes()
+    cells = [min(plane.tobytes(), pa.compress(plane, codec="zstd", asbytes=True), key=len) if plane.any() else b"" for plane in planes]
+    return head + np.array([len(c) for c in cells], "<u4").tobytes() + b"".join(cells)
 
 
 def unpack(cell) -> np.ndarray:
@@ -155,7 +159,11 @@ def unpack(cell) -> np.ndarray:
     if not len(view):
         return np.zeros(0, np.uint64)
     n, width = np.frombuffer(view[:8], "<u4").tolist()
-    values, at = np.zeros((n, 8), np.uint8), 8 + 4 * width
+    values = np.zeros((n, 8), np.uint8)
+    if n < LONG:
+        values[:, :width] = np.frombuffer(view[8:], np.uint8).reshape(width, n).T
+        return values.view("<u8").ravel()
+    at = 8 + 4 * width
     for i, size in enumerate(np.frombuffer(view[8:at], "<u4").tolist()):
         if size:
             plane = view[at:at + size]
